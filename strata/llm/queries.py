@@ -10,6 +10,107 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.col("nd_class").alias("class_id"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                                      ELSE [array_to_string(w, ' ')] END) AS s
+  FROM docs WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+       JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n
+  HAVING count(*) >= 0.8 * (p.n + q.n - count(*))
+), reach(x, y) AS (
+  SELECT doc_id, doc_id FROM docs UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x
+"""
+
+
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.search import top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+OP2_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+"""
+
+
+def op3_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.packing import pack
+    from strata.llm.tokens import public_path
+
+    return pack(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.language import held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs.select("doc_id", "text"), labelled=docs)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), F.col("li_lang").alias("lang_pred"), F.col("li_score").alias("score"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.language import held_out
+    from strata.llm.toxicity import toxicity
+
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.bpe import encode_decode
+    from strata.llm.tokens import public_path
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_decode(docs, public_path("word_bpe_49k.json"), outputs=("bpe_ids_sha256", "bpe_decoded_sha256"))
+    return out.select("doc_id", F.col("bpe_n_tokens").alias("n_tokens"), F.col("bpe_ids_sha256").alias("ids_sha256"), F.col("bpe_decoded_sha256").alias("decoded_sha256"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.substrings import dedup_substrings
+
+    out = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("sd_n_words").alias("n_words"), F.col("sd_n_removed").alias("n_removed"), F.sha2("sd_kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs WHERE len(w) >= 13)
+), least_id AS (SELECT s, min(doc_id) AS d FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN least_id USING (s) WHERE d < doc_id
+), ws AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs WHERE len(w) > 0),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k FROM ws ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)
+"""
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.licenses import scan
 
@@ -81,5 +182,9 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op4_license_scan, op7_quality_rules, op10_chat_format)}
-SQL = {"op10_chat_format": OP10_SQL}
+_ALL = (
+    op1_minhash_neardup, op2_topk_search, op3_bestfit_packing, op4_license_scan, op5_language_id,
+    op6_toxicity, op7_quality_rules, op8_bpe_chunks, op9_substring_dedup, op10_chat_format,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
