@@ -44,6 +44,7 @@ def grams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     buf[at] = _LOWER[data[offsets[0] : offsets[-1]]]
     # Of a run of spaces one stays; the padding of a text is such a run.
     keep = (buf != 32) | np.r_[True, buf[:-1] != 32]
+    keep[begins] = True
     owner = np.repeat(np.arange(len(lengths)), wide)
     buf, owner = buf[keep], owner[keep[: len(owner)]]
     n = len(buf)
