@@ -213,7 +213,8 @@ def near_duplicates(
     guests = sizes.where("blocks > 1").select("hub", F.col("hub").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rows_ = homes.select("hub", "node", "blocks", "block").unionByName(guests).distinct()
     wanted = members.select(F.col("node").alias("id")).distinct()
-    texts = materialize(source.where("id is not null").join(wanted, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "nd-texts")
+    # Sorted and merged at every size: a side that is small enough to broadcast here grows with the input.
+    texts = materialize(source.where("id is not null").join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "nd-texts")
     with_text = lambda df: df.join(texts.withColumnRenamed("id", "node"), "node")
 
     def tied(table: pa.Table, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Forest]:
