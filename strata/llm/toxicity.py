@@ -4,11 +4,12 @@ Known are texts confirmed as toxic, and many texts of which nothing is known. Wi
 p the risk of a classifier is p times its loss on the positives taken as such, plus its loss on
 the unlabelled texts taken as negatives, less p times that on the positives; the last two together
 estimate the loss on the true negatives and are not let below zero. A linear model over the
-presence of byte 5-grams is fitted to it in numpy.
+presence of byte grams is fitted to it in numpy.
 
-Grams are exact numbers of 5 bytes of text in lower case whose ASCII punctuation and white space
-are single spaces. Those that set positives apart are chosen once, from counts over a bounded
-sample; scoring is one scan that looks every gram of every text up among the chosen ones.
+Grams are 5, 7 and 8 bytes of text in lower case whose ASCII punctuation and white space are
+single spaces; a gram is kept exactly, as one 64-bit number. Those that set positives apart are
+chosen once, from counts over a bounded sample; scoring is one scan that looks every gram of every
+text up among the chosen ones.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from strata.llm import words as W
 from strata.llm.language import held_out
 from strata.llm.store import materialize
 
-GRAM = 5
+GRAMS = (5, 7, 8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 for _b in range(128):
@@ -35,7 +36,11 @@ for _b in range(128):
 
 
 def grams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, text) for every place of every text, a text standing between spaces."""
+    """(gram, text) for every place and length of every text, a text standing between spaces.
+
+    The highest byte of a gram shorter than 8 is F0 and its length, which no UTF-8 text has there
+    together with ASCII before it; 8 bytes stand for themselves.
+    """
     lengths = np.diff(offsets)
     wide = lengths + 8
     begins = np.cumsum(wide) - wide
@@ -47,12 +52,15 @@ def grams(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     keep[begins] = True
     owner = np.repeat(np.arange(len(lengths)), wide)
     buf, owner = buf[keep], owner[keep[: len(owner)]]
-    n = len(buf)
     buf = np.r_[buf, np.full(8, 32, np.uint8)]
-    eight = np.ndarray((n,), "<u8", buf, strides=(1,))
-    value = (eight & np.uint64((1 << 8 * GRAM) - 1))[: len(owner)]
-    same = owner[: len(owner) - GRAM + 1] == owner[GRAM - 1 :]
-    return value[: len(same)][same], owner[: len(same)][same]
+    eight = np.ndarray((len(owner),), "<u8", buf, strides=(1,))
+    values, owners = [], []
+    for n in GRAMS:
+        value = eight if n == 8 else (eight & np.uint64((1 << 8 * n) - 1)) | np.uint64((0xF0 + n) << 56)
+        same = owner[: max(0, len(owner) - n + 1)] == owner[n - 1 :]
+        values.append(value[: len(same)][same])
+        owners.append(owner[: len(same)][same])
+    return np.concatenate(values), np.concatenate(owners)
 
 
 @dataclass
@@ -88,7 +96,7 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(text: np.ndarray, gram: np.ndarray, positive: np.ndarray, n_grams: int, prior: float, *, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(text: np.ndarray, gram: np.ndarray, positive: np.ndarray, n_grams: int, prior: float, *, epochs: int = 400, rate: float = 0.05, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam over
     whole passes. Where the estimated loss on negatives is below zero, the step undoes it."""
     w, b = np.zeros(n_grams), 0.0
@@ -111,7 +119,7 @@ def fit(text: np.ndarray, gram: np.ndarray, positive: np.ndarray, n_grams: int,
     return w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, positives: int, unlabelled: int, chosen: int, seed: int = 0) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, positives: int, unlabelled: int, chosen: int, least_gain: float = 8.0, seed: int = 0) -> Model | None:
     known = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("id"), "toxic")
     n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     n_docs = docs.count()
@@ -143,10 +151,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, positiv
 
     fp = F.sum("p") / F.lit(float(max(1, n_pos)))
     fu = F.sum("u") / F.lit(float(max(1, n_unl)))
-    negative = F.greatest((fu - F.lit(prior) * fp) / F.lit(1 - prior), F.lit(0.0))
-    odds = F.log((fp + 1e-3) / (negative + 1e-3))
-    stats = sample.mapInArrow(count, "gram long, p long, u long").groupBy("gram").agg(F.sum("p").alias("n"), odds.alias("odds"), (fp * odds).alias("gain"))
-    best = stats.where((F.col("n") >= 3) & (F.col("odds") >= 1.5)).orderBy(F.desc("gain"), "gram").limit(chosen)
+    # How far the positives that have a gram exceed what unlabelled texts let expect, as a log
+    # likelihood ratio of Poisson counts; the expected are those of at least half an unlabelled text.
+    expected = F.lit(float(n_pos)) * F.greatest(fu, F.lit(0.5 / max(1, n_unl)))
+    gain = F.sum("p") * F.log(F.sum("p") / expected) - (F.sum("p") - expected)
+    stats = sample.mapInArrow(count, "gram long, p long, u long").groupBy("gram").agg(F.sum("p").alias("n"), gain.alias("gain"), (fp / F.greatest(fu, F.lit(1e-9))).alias("lift"))
+    best = stats.where((F.col("n") >= 3) & (F.col("gain") >= least_gain) & (F.col("lift") >= 3.0)).orderBy(F.desc("gain"), "gram").limit(chosen)
     table = np.sort(best.select("gram").toArrow().column(0).to_numpy().astype(np.uint64))
     if not len(table):
         return None
@@ -163,8 +173,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, positiv
     rows = sample.mapInArrow(mark, "positive boolean, grams array<int>").toArrow()
     lists = rows.column("grams").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
-    weights, bias = fit(np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(), rows.column("positive").to_numpy(), len(table), prior)
-    return Model(table, weights, bias)
+    owner, gram, positive = np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(), rows.column("positive").to_numpy(zero_copy_only=False)
+    weights, bias = fit(owner, gram, positive, len(table), prior)
+    z = bias + np.bincount(owner, weights[gram], len(positive))
+    return Model(table, weights, bias + shift(z[~positive], bias, prior))
+
+
+def shift(z: np.ndarray, bias: float, prior: float, at: float = 0.7) -> float:
+    """What to add so that scores pass `at` about where the class prior puts the line among the
+    unlabelled: halfway between the quantiles that leave 0.95 and 1.1 times the prior above them,
+    and above the texts without any chosen gram, whose z is the bias."""
+    above = z[z > bias + 1e-6]
+    if not len(above):
+        return 0.0
+    line = float(np.quantile(z, [1 - 0.95 * prior, max(0.0, 1 - 1.1 * prior)]).mean())
+    return float(np.log(at / (1 - at)) - max(line, bias + 0.5 * (float(np.quantile(above, 0.1)) - bias)))
 
 
 def toxicity(
