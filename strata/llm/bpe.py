@@ -27,17 +27,26 @@ from strata.llm import words as W
 ROLL = 16
 
 
-class Memory(dict):
-    """Forgets the oldest entry beyond its size."""
+class Memory:
+    """What was put in last or asked for lately, in two generations of at most `size` entries."""
 
     def __init__(self, size: int) -> None:
-        super().__init__()
         self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
 
     def put(self, key, value) -> None:
-        if len(self) >= self.size:
-            del self[next(iter(self))]
-        self[key] = value
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 def segments(buf: np.ndarray, chunk_bits: int) -> list[tuple[int, int, bool]]:
@@ -85,11 +94,11 @@ class Codec:
         self.plain = self.tokenizer.decoder is None
         self.cores, self.joins, self.few = Memory(1 << 13), Memory(1 << 14), Memory(1 << 15)
         self.encoded = self.reused = self.repaired = 0
+        self.batch = tokens.batch_encoder(path)
 
     def _encode(self, texts: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False) if texts else []
         self.encoded += len(texts)
-        return [x.ids for x in found]
+        return self.batch([t.decode() for t in texts])
 
     def _some(self, text: bytes) -> list[int]:
         """Ids of a few words."""
@@ -124,14 +133,12 @@ class Codec:
         None without agreement."""
         n = 1
         while True:
-            x, y = self._words_back(buf, a, low, n), self._words_on(buf, b, high, n)
+            x, y = self._window(buf, a, b, low, high, n)
             window = buf[x:y]
             key = (window, a - x, b - x)
             found = self.joins.get(key)
             if found is None:
-                whole, before, after = self._encode([window])[0], self._some(buf[x:a]) if x < a else [], self._some(buf[b:y]) if b < y else []
-                middle = whole[len(before) : len(whole) - len(after)]
-                found = (middle, before, after) if before + middle + after == whole and len(before) + len(after) <= len(whole) else ()
+                found = self._join(self._encode([window])[0], self._some(buf[x:a]) if x < a else [], self._some(buf[b:y]) if b < y else [])
                 self.joins.put(key, found)
             if found:
                 middle, before, after = found
@@ -142,6 +149,32 @@ class Codec:
                 return None
             n *= 4
 
+    def _window(self, buf: bytes, a: int, b: int, low: int, high: int, n: int) -> tuple[int, int]:
+        return self._words_back(buf, a, low, n), self._words_on(buf, b, high, n)
+
+    def _join(self, whole: list[int], before: list[int], after: list[int]) -> tuple:
+        """What a window says about its join; () if it doesn't begin and end as its words do."""
+        middle = whole[len(before) : len(whole) - len(after)]
+        return (middle, before, after) if before + middle + after == whole and len(before) + len(after) <= len(whole) else ()
+
+    def _ahead(self, texts: list[bytes], cut: list) -> None:
+        """Encodes the smallest window of every join that isn't known, in one call."""
+        wanted: dict[tuple, None] = {}
+        few: dict[bytes, None] = {}
+        for t, parts in zip(texts, cut, strict=True):
+            for k, (a, b, core) in enumerate(parts):
+                if not core:
+                    x, y = self._window(t, a, b, parts[k - 1][0] if k else a, parts[k + 1][1] if k + 1 < len(parts) else b, 1)
+                    key = (t[x:y], a - x, b - x)
+                    if self.joins.get(key) is None:
+                        wanted[key] = None
+                        few.update(dict.fromkeys(p for p in (t[x:a], t[b:y]) if p and self.few.get(p) is None))
+        for p, ids in zip(few, self._encode(list(few)), strict=True):
+            self.few.put(p, ids)
+        for key, whole in zip(wanted, self._encode([w for w, _, _ in wanted]), strict=True):
+            window, a, b = key
+            self.joins.put(key, self._join(whole, self._some(window[:a]) if a else [], self._some(window[b:]) if b < len(window) else []))
+
     def encode(self, texts: list[bytes]) -> list[list[list[int]]]:
         """For each text the ids of its parts. Cores that are new are encoded in one call."""
         cut = [segments(np.frombuffer(t, np.uint8), self.chunk_bits) for t in texts]
@@ -162,6 +195,7 @@ class Codec:
         for piece, ids in zip(new, self._encode(list(new)), strict=True):
             here[piece] = ids
             self.cores.put(piece, ids)
+        self._ahead(texts, cut)
         out = []
         for t, parts in zip(texts, cut, strict=True):
             found: list[list[int]] | None = []
