@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from strata.plans import graph_queries, history_queries, ledger_queries, text_queries
+
+_PARTS = (history_queries, text_queries, ledger_queries, graph_queries)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
