@@ -80,6 +80,11 @@ def domain_sites(docs: DataFrame, least: int = 3) -> DataFrame:
     return tables.unionByName(lists).where(F.size("keys") >= least)
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end; null if nothing is left."""
+    return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
+
+
 def section(text: Column, heading: str) -> Column:
     """The lines under `## heading` up to the next heading of that depth; empty for none."""
     return F.regexp_extract(F.concat(F.lit("\n"), text, F.lit("\n")), rf"(?s)\n##\s+{heading}[ \t]*\n(.*?)(?=\n##?\s|\z)", 1)
@@ -95,7 +100,7 @@ def spec(text: Column) -> Column:
     """struct<name, intent, claims, invariants, refutations> of a component's spec."""
     return F.struct(
         F.nullif(F.trim(F.regexp_extract(text, r"(?m)^#\s+(.+)$", 1)), F.lit("")).alias("name"),
-        F.nullif(F.trim(section(text, "intent")), F.lit("")).alias("intent"),
+        stripped(section(text, "intent")).alias("intent"),
         bullets(section(text, "claims")).alias("claims"),
         bullets(section(text, "invariants")).alias("invariants"),
         bullets(section(text, "refutations")).alias("refutations"),

@@ -45,7 +45,8 @@ def load_config(root: str, name: str = "strata.json") -> Config:
 
 
 def scan(spark: SparkSession, root: str, *, extensions: tuple[str, ...] = (), ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(path, content): files under root by relative path, without dot files and ignored folders."""
+    """(path, content): files under root by relative path, without dot files and ignored folders.
+    The scan leaves out files without a byte."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/") + "/"
     path = F.substring_index(F.regexp_replace("path", "^file:/+", "/"), base, -1)
@@ -171,7 +172,7 @@ def test_report(outputs: DataFrame, kind: str) -> DataFrame:
     objects = python_column(json_objects, "array<string>", F.col("text"))
     schema, key = (_VITEST, "testResults") if kind == "vitest" else (_PYTEST, "tests")
     parsed = F.transform("objects", lambda o: F.from_json(o, schema))
-    last = F.element_at(F.filter("parsed", lambda r: r[key].isNotNull()), -1)
+    last = F.try_element_at(F.filter("parsed", lambda r: r[key].isNotNull()), F.lit(-1))
     rows = outputs.withColumn("objects", objects).withColumn("parsed", parsed).where(F.exists("parsed", lambda r: r[key].isNotNull())).select("run", last.alias("r"))
     if kind == "vitest":
         t = rows.select("run", F.explode("r.testResults").alias("f")).select("run", F.col("f.name").alias("file"), F.explode("f.assertionResults").alias("a"))

@@ -242,7 +242,7 @@ def test_selection_ignores_order(spark):
 def test_oracles(spark):
     results = spark.createDataFrame([("suite > a b", "passed", 5.0), ("suite > a c", "failed", 7.0), ("suite > d", "skipped", None)], "full_name string, status string, duration double")
     names = spark.createDataFrame([("a b",), ("a",), ("d",), ("zz",)], "name string")
-    assert rows(claims.oracle_results(names, results)) == [("a", "fail", 12.0), ("a b", "pass", 5.0), ("d", "none-ran", None), ("zz", "vanished", None)]
+    assert rows(claims.oracle_results(names, results)) == [("a b", "pass", 5.0), ("a", "fail", 12.0), ("d", "none-ran", None), ("zz", "vanished", None)]
 
 
 def test_fitting_prefix(spark):

@@ -70,7 +70,7 @@ def test_compaction(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    for name, body in {"src/a.py": b"x\ny\n", "src/b.bin": b"\0\n", ".git/c.py": b"", "src/core/core.spec.md": b"# C\n", "tests/test_a.py": b"", "node_modules/z.py": b"q"}.items():
+    for name, body in {"src/a.py": b"x\ny\n", "src/b.bin": b"\0\n", ".git/c.py": b"", "src/core/core.spec.md": b"# C\n", "tests/test_a.py": b"x", "node_modules/z.py": b"q"}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(body)
     found = project.scan(spark, str(tmp_path), ignore=("node_modules",))
