@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strata.operators import activity as V
+from strata.operators import assembly as A
+from strata.operators import history as H
 from strata.operators import ledger as L
 from strata.operators import ratchet as D
+from strata.operators.claims import fitting_prefix
 from strata.plans import roles as R
 
 
@@ -159,9 +163,51 @@ def novelty_verdicts(spark, d):
     return states.select("o_custkey", "surface", "level", "proviso", "state")
 
 
+def hook_observation(spark, d):
+    e = R.table(spark, d, "events")
+    return A.hook_observation(e.select(F.col("user_id").alias("session"), F.nullif("event_type", F.lit("view")).alias("bundle_hash")), "purchase")
+
+
+def due_sections(spark, d):
+    """For each priority the orders since its last one, by a distributed row number."""
+    o = R.table(spark, d, "orders")
+    placed, _ = H.places(o.select(F.col("o_orderkey").alias("hash"), "o_orderdate"), F.desc("o_orderdate"), F.desc("hash"))
+    sections = o.groupBy(F.col("o_orderpriority").alias("section")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("commit"))
+    known = sections.unionByName(spark.createDataFrame([("lost", -1)], "section string, commit long"))
+    return A.due(known, placed.select("hash", (F.col("place") - 1).alias("ord")))
+
+
+def structural_dims(spark, d):
+    p, s = R.table(spark, d, "part"), R.table(spark, d, "supplier")
+    prose = F.when(F.col("p_size") > 10, F.col("p_type")).otherwise(F.lit(" "))
+    symbols = p.select(F.concat(F.lit("s:"), "p_partkey").alias("id"), F.lit("symbol").alias("kind"), F.col("p_brand").alias("component"), R.part_path().alias("path"), prose.alias("prose"))
+    files = s.select(F.concat(F.lit("f:"), "s_suppkey").alias("id"), F.lit("file").alias("kind"), F.nullif(F.concat(F.lit("n:"), "s_nationkey"), F.lit("n:3")).alias("component"), R.supplier_path().alias("path"), F.lit(None).cast("string").alias("prose"))
+    return D.structural_dims(symbols.unionByName(files), s.select(R.supplier_path().alias("path"), (F.col("s_suppkey") % 100).alias("lines")))
+
+
+def budgeted_context(spark, d):
+    """The turns of each conversation that fit 3,000 bytes with a footer about the withheld ones."""
+    c = R.table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), F.octet_length("text").alias("bytes"))
+    return fitting_prefix(c, 3000, 25)
+
+
+def attributed_activity(spark, d):
+    """Events as host payloads: whose they are, their identity, and the commands they show."""
+    e = R.table(spark, d, "events")
+    body = F.struct(
+        F.when(F.col("value") > 10, F.concat(F.lit("u"), "user_id")).alias("session_id"), F.when(F.col("event_type") == "purchase", F.concat(F.lit("a"), "user_id")).alias("agent_id"), F.lit("Bash").alias("tool_name"),
+        F.struct(F.concat(F.lit("tool "), F.when(F.col("value") > 50, "verify").otherwise("list"), F.lit(" --fast")).alias("command")).alias("tool_input"),
+        F.struct(F.when(F.col("value") > 60, F.floor(F.col("value") / 80).cast("int")).alias("exit_code")).alias("tool_response"),
+    )
+    rows = e.select("event_id", F.when(F.col("event_type") == "click", "PostToolUse").otherwise("Stop").alias("event"), F.to_json(body).alias("payload"))
+    rows = rows.select("event_id", V.attribution(F.col("event"), F.col("payload")).alias("a"), V.command(F.col("payload"), "tool").alias("c"))
+    return rows.select("event_id", "a.session", "a.parent_session", "a.agent_id", "a.attribution", "c.kind", "c.result", "c.exit_code")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        hook_observation, due_sections, structural_dims, budgeted_context, attributed_activity,
         activity_counts, activity_latest, command_counts, ledger_supersession, session_summary, decision_positions, observed_band, raised_findings, merged_claims,
         experiment_outcomes, result_totality, dangling_refs, mass_excursions, mass_reconcile, effective_baseline, snapshot_diff, surface_delta, novelty_verdicts,
     )
@@ -185,6 +231,20 @@ _SURFACE = """s AS (SELECT 'export' AS kind, l_partkey || '/' || l_suppkey AS na
 b AS (SELECT DISTINCT kind, name, member FROM s WHERE old), a AS (SELECT DISTINCT kind, name, member FROM s WHERE NOT old)"""
 
 SQL = {
+    "hook_observation": """WITH n AS (SELECT user_id AS session, count(*) FILTER (WHERE event_type = 'purchase') AS exact, count(*) FILTER (WHERE event_type NOT IN ('purchase', 'view')) AS stale, count(*) FILTER (WHERE event_type = 'view') AS direct FROM events GROUP BY 1)
+        SELECT *, CASE WHEN exact > 0 THEN 'observed' WHEN stale > 0 THEN 'stale' ELSE 'unobserved' END AS state FROM n""",
+    "due_sections": """WITH o AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS ord FROM orders),
+        s AS (SELECT o_orderpriority AS section, max(ord) AS commits FROM o GROUP BY 1 UNION ALL SELECT 'lost', NULL), r AS (SELECT *, row_number() OVER (ORDER BY commits DESC NULLS LAST, section) AS r FROM s)
+        SELECT section, commits, CASE WHEN commits IS NULL THEN 'uncountable' WHEN commits < 10 THEN 'current' WHEN r <= 3 THEN 'due' ELSE 'withheld' END AS state FROM r""",
+    "structural_dims": """WITH f AS (SELECT CASE WHEN s_nationkey <> 3 THEN 'n:' || s_nationkey END AS c, s_suppkey % 100 AS lines FROM supplier)
+        SELECT 'lines|' || c AS key, CAST(sum(lines) AS DOUBLE) AS value, 'lines' AS unit FROM f WHERE c IS NOT NULL GROUP BY 1 UNION ALL SELECT 'lines', CAST(sum(lines) AS DOUBLE), 'lines' FROM f
+        UNION ALL SELECT 'files', CAST(count(*) AS DOUBLE), NULL FROM supplier UNION ALL SELECT 'symbols', CAST(count(*) AS DOUBLE), NULL FROM part UNION ALL SELECT 'undocumented', CAST(count(*) FILTER (WHERE p_size <= 10) AS DOUBLE), NULL FROM part""",
+    "budgeted_context": """WITH r AS (SELECT conv_id AS doc, turn AS ord, CAST(octet_length(encode(text)) AS INTEGER) AS bytes, row_number() OVER w AS n, sum(octet_length(encode(text))) OVER w AS s, count(*) OVER (PARTITION BY conv_id) - row_number() OVER w AS rest FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        m AS (SELECT doc, max(n) AS most FROM r WHERE s + CASE WHEN rest > 0 THEN 25 + length(CAST(rest AS VARCHAR)) ELSE 0 END <= 3000 GROUP BY doc) SELECT r.doc, ord, bytes FROM r JOIN m ON m.doc = r.doc AND n <= most""",
+    "attributed_activity": """WITH e AS (SELECT event_id, event_type = 'click' AS shared, CASE WHEN value > 10 THEN 'u' || user_id END AS parent, CASE WHEN event_type = 'purchase' THEN 'a' || user_id END AS agent, CASE WHEN value > 60 THEN CAST(floor(value / 80) AS INTEGER) END AS code, value > 50 AS v FROM events)
+        SELECT event_id, coalesce(agent, parent, 'unknown') AS session, CASE WHEN agent IS NOT NULL OR shared THEN parent END AS parent_session, agent AS agent_id,
+               CASE WHEN agent IS NOT NULL THEN 'agent' WHEN parent IS NULL THEN 'unknown' WHEN shared THEN 'parent-fallback' ELSE 'session' END AS attribution,
+               CASE WHEN v THEN 'verification' END AS kind, CASE WHEN NOT coalesce(v, false) THEN NULL WHEN code IS NULL THEN 'unknown' WHEN code = 0 THEN 'success' ELSE 'failure' END AS result, CASE WHEN v THEN code END AS exit_code FROM e""",
     "activity_counts": f"WITH {_LEFT} SELECT event_type AS event, count(*) AS n FROM left_ GROUP BY 1",
     "activity_latest": f"WITH {_LEFT} SELECT user_id, count(*) AS n, arg_max(event_type, event_id) AS latest FROM left_ GROUP BY 1",
     "command_counts": """SELECT event_type AS kind, count(*) AS total, count(*) FILTER (WHERE value > 20 AND value <= 80) AS success, count(*) FILTER (WHERE value > 80) AS failure,

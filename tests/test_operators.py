@@ -283,3 +283,29 @@ def test_globs():
 
     assert re.match(C.glob_regex("src/*.ts"), "src/a.ts") and not re.match(C.glob_regex("src/*.ts"), "src/b/a.ts")
     assert re.match(C.glob_regex("src/**.ts"), "src/b/a.ts") and not re.match(C.glob_regex("a.c"), "abc")
+
+
+def test_doubts(spark):
+    from strata.operators import activity
+
+    df = spark.createDataFrame([(["the decoder broke"],), (["the decoder is fine"],), (["[instrument] off"],), (["weather"],)], "c array<string>")
+    assert [r[0] for r in df.select(activity.doubts_apparatus(F.get("c", F.lit(0)))).collect()] == [True, False, True, False]
+    assert [len(r[0]) for r in df.select(activity.with_doubt(F.col("c"))).collect()] == [2, 2, 1, 2]
+
+
+def test_commands(spark):
+    from strata.operators import activity
+
+    said = ["tool verify", "npx tool regulate --x=1", "tool verify | cat", "echo tool verify", "tool other", ' tool verify', "tool verify\nrm"]
+    df = spark.createDataFrame([(c,) for c in said], "c string").select(F.to_json(F.struct(F.lit("Bash").alias("tool_name"), F.struct(F.col("c").alias("command")).alias("tool_input"))).alias("p"))
+    assert [r[0] for r in df.select(activity.command(F.col("p"), "tool")["name"]).collect()] == ["verify", "regulate", None, None, None, None, None]
+
+
+def test_identity(spark):
+    from strata.operators import activity
+
+    df = spark.createDataFrame([("s", "e", "t1", None), ("s", "e", "t1", None), ("s", "e", "t2", None), ("s", "e", None, None)], "s string, e string, t string, u string")
+    ids = [r[0] for r in df.select(activity.event_identity(F.col("s"), F.col("e"), F.col("t"), F.col("u"))).collect()]
+    assert ids[0] == ids[1] != ids[2] and ids[3] is None and len(ids[0]) == 18
+    keys = [r[0] for r in df.select(activity.replay_key(F.col("t"), F.col("u"))).collect()]
+    assert keys[0] == keys[1] != keys[2] and keys[3] is None
