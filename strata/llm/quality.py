@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.columns import SPACE, WORD_CHAR, let, words_of
+from strata.llm.columns import SPACE, WORD_CHAR, let, matches, once, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -40,18 +40,22 @@ def line_fails(
     `boilerplate_words` words holds a phrase of BOILERPLATE, or one word makes up a line of at
     least `repeat_words`. A blank line never fails.
     """
-    n_words = F.size(words_of(line))
-    symbols = F.regexp_count(line, F.lit(SYMBOLS))
-    shouts = F.regexp_count(line, F.lit(rf"[!?]{{2,}}(?={SPACE}|$)"))
-    bars = F.regexp_count(line, F.lit(rf"(?<!{WORD_CHAR})[|»›•](?!{WORD_CHAR})"))
+    symbols = matches(line, SYMBOLS)
+    shouts = matches(line, rf"[!?]{{2,}}(?={SPACE}|$)")
+    bars = matches(line, rf"[|»›•](?<!{WORD_CHAR}.)(?!{WORD_CHAR})")
     phrase = "|".join(x.replace(" ", " +") for x in BOILERPLATE)
-    return (n_words > 0) & (
-        ((symbols >= 3) & (symbols >= symbol_share * F.length(line)))
-        | ((shouts >= 2) & (shouts >= shout_share * n_words))
-        | ((bars >= 2) & (bars >= bar_share * n_words))
-        | ((n_words <= boilerplate_words) & F.lower(line).rlike(phrase))
-        | ((n_words >= repeat_words) & (F.size(F.array_distinct(words_of(line))) == 1))
-    )
+
+    def broken(words: Column) -> Column:
+        n = F.size(words)
+        return (n > 0) & (
+            let(symbols, lambda k: (k >= 3) & (k >= symbol_share * F.length(line)))
+            | let(shouts, lambda k: (k >= 2) & (k >= shout_share * n))
+            | let(bars, lambda k: (k >= 2) & (k >= bar_share * n))
+            | ((n <= boilerplate_words) & F.lower(line).rlike(phrase))
+            | ((n >= repeat_words) & (F.size(F.array_distinct(words)) == 1))
+        )
+
+    return let(words_of(line), broken)
 
 
 def words_in_repeated_windows(words: Column, width: int = 5) -> Column:
@@ -102,30 +106,33 @@ def quality(
 
     A null text counts as empty. A text without words has fewer than min_words and isn't kept.
     clean_text is the text without the failing lines, unchanged if none fails; null stays null.
-    Input columns keep their names; a column that has a name of the result's is overwritten.
+    Input columns stay, but for those whose names begin with the prefix.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    word_chars = lambda c: F.length(F.regexp_replace(c, F.lit(f"{SPACE}+"), F.lit("")))
-    lines = F.split(t, "\n")
-    with_word = F.filter(lines, lambda x: x.rlike(WORD_CHAR))
-    rows = docs.withColumns({f"{prefix}{k}": v for k, v in {"words": words_of(t), "fails": F.exists(lines, lambda x: line_fails(x))}.items()})
-    words, fails = F.col(f"{prefix}words"), F.col(f"{prefix}fails")
-    kept_lines = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
-    rows = rows.withColumns(
-        {
-            f"{prefix}n_words": F.size(words).cast("long"),
-            f"{prefix}word_chars": F.length(F.array_join(words, "")).cast("long"),
-            f"{prefix}n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
-            f"{prefix}n_dup_lines": let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            f"{prefix}n_repeat_words": words_in_repeated_windows(words).cast("long"),
-            f"{prefix}clean_text": F.when(fails, kept_lines).otherwise(F.col(text)),
-        }
-    ).drop(f"{prefix}words")
-    n, repeat = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
-    left, whole = word_chars(F.coalesce(F.col(f"{prefix}clean_text"), F.lit(""))), F.col(f"{prefix}word_chars")
-    return (
-        rows.withColumn(f"{prefix}base_failed", (n < min_words) | (F.lit(100) * repeat > F.lit(max_repeat_percent) * n))
-        .withColumn(f"{prefix}lost", F.when(fails & (whole > 0), F.lit(1.0) - left / whole).otherwise(F.lit(0.0)))
-        .withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}lost") <= max_lost))
-        .drop(f"{prefix}fails")
-    )
+    spaces = F.lit(f"{SPACE}+")
+    judged = F.transform(F.split(t, "\n"), lambda x: F.struct(x.alias("line"), line_fails(x).alias("fails")))
+
+    def cleaned(lines: Column) -> Column:
+        kept = F.array_join(F.transform(F.filter(lines, lambda x: ~x["fails"]), lambda x: x["line"]), "\n")
+        return F.when(F.exists(lines, lambda x: x["fails"]), kept)
+
+    def counts(words: Column, clean: Column) -> Column:
+        with_word = F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD_CHAR))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            matches(t, SYMBOLS).cast("long").alias("n_symbols"),
+            let(with_word, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            words_in_repeated_windows(words).cast("long").alias("n_repeat_words"),
+            F.length(F.regexp_replace(clean, spaces, F.lit(""))).alias("left"),
+            clean.alias("clean"),
+        )
+
+    found = let(words_of(t), lambda w: let(let(judged, cleaned), lambda c: counts(w, c)))
+    rows = once(docs.drop(*[c for c in docs.columns if c.startswith(prefix)]), found, f"{prefix}found")
+    q = F.col(f"{prefix}found")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    base = (q["n_words"] < min_words) | (F.lit(100) * q["n_repeat_words"] > F.lit(max_repeat_percent) * q["n_words"])
+    lost = F.when(q["left"].isNotNull() & (q["word_chars"] > 0), F.lit(1.0) - q["left"] / q["word_chars"]).otherwise(F.lit(0.0))
+    made = {n: q[n] for n in names} | {"clean_text": F.coalesce(q["clean"], F.col(text)), "base_failed": base, "lost": lost, "kept": ~base & (lost <= max_lost)}
+    return rows.withColumns({f"{prefix}{n}": c for n, c in made.items()}).drop(f"{prefix}found")
