@@ -51,8 +51,8 @@ def prose_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as sites: the suppliers of an order are its keys."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("keys"))
+    """Orders as sites: the parts of an order are its keys."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("keys"))
     return rows.where(F.size("keys") >= 3).select(
         F.col("l_orderkey").alias("id"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("name"),
         F.element_at(F.array(*[F.lit(x) for x in ("union", "shape", "table", "md-table", "switch")]), (F.col("l_orderkey") % 5 + 1).cast("int")).alias("kind"),

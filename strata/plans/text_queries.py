@@ -21,8 +21,8 @@ pairs AS (SELECT a, b, shared, floor(shared / CAST(nx + ny - shared AS DOUBLE) *
 """
 
 _SITES = """
-sites AS (SELECT l_orderkey AS id, list_distinct(list(l_suppkey)) AS keys, l_orderkey % 7 AS file,
-                 list_extract(['union', 'shape', 'table', 'md-table', 'switch'], CAST(l_orderkey % 5 + 1 AS INTEGER)) AS kind FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) >= 3),
+sites AS (SELECT l_orderkey AS id, list_distinct(list(l_partkey)) AS keys, l_orderkey % 7 AS file,
+                 list_extract(['union', 'shape', 'table', 'md-table', 'switch'], CAST(l_orderkey % 5 + 1 AS INTEGER)) AS kind FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_partkey) >= 3),
 ex AS (SELECT id, unnest(keys) AS t FROM sites),
 df AS (SELECT t, count(*) AS df FROM ex GROUP BY t),
 cand AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, count(*) FILTER (WHERE df = 2) AS exclusive FROM ex a JOIN ex b ON a.t = b.t AND a.id < b.id JOIN df ON df.t = a.t WHERE df <= {max_df} GROUP BY 1, 2),
@@ -45,7 +45,8 @@ def prose_diverged(spark, d):
     return S.prose_pairs(R.prose_units(spark, d)).where("not identical").orderBy(F.desc("similarity"), F.desc("shared"), "a", "b").limit(12)
 
 
-_LOOSE = {"min_shared": 2, "containment": 0.3, "max_df": 700}
+#: Orders share few parts: looser than the defaults, which are for keys of code.
+_LOOSE = {"min_shared": 2, "containment": 0.3, "max_df": 60}
 
 
 def domain_pairs(spark, d):
@@ -74,8 +75,8 @@ def content_ids(spark, d):
     )
 
 
-def prefix_of_markdown(spark, d):
-    """Sections, fences and list markers of documents taken as markdown."""
+def markdown_prose(spark, d):
+    """Lines of documents taken as markdown that are prose, without list marks."""
     return M.prose_lines(R.table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"))
 
 
@@ -86,7 +87,7 @@ def html_sinks(spark, d):
     return rows.groupBy(F.substring_index("sink", "=", 1).alias("context")).agg(F.count("*").alias("sites"), F.count_distinct("page_id").alias("pages"), F.count_distinct("sink").alias("expressions"))
 
 
-QUERIES = {f.__name__: f for f in (prose_pairs, prose_diverged, domain_pairs, domain_pairs_shown, normalized_words, content_ids, prefix_of_markdown, html_sinks)}
+QUERIES = {f.__name__: f for f in (prose_pairs, prose_diverged, domain_pairs, domain_pairs_shown, normalized_words, content_ids, markdown_prose, html_sinks)}
 
 SQL = {
     "prose_pairs": f"WITH {_UNITS} SELECT a, b, CAST(shared AS INTEGER) AS shared, similarity, identical FROM pairs",
@@ -102,7 +103,7 @@ SQL = {
         o_orderstatus AS family, CAST(nullif(regexp_extract(o_orderpriority, '(-?[0-9]+(\\.[0-9]+)?)', 1), '') AS DOUBLE) AS "last",
         CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age
         FROM (SELECT *, o_orderkey * 37 AS s FROM orders)""",
-    "prefix_of_markdown": """WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+    "markdown_prose": """WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS said, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
         f AS (SELECT *, sum(CASE WHEN regexp_matches(said, '^\\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line) AS fences FROM l)
         SELECT file, CAST(line AS INTEGER) AS line, regexp_replace(trim(said), '^([-*+]|[0-9]+\\.)\\s+', '') AS said FROM f
         WHERE fences % 2 = 0 AND NOT regexp_matches(said, '^\\s*(```|~~~)') AND NOT regexp_matches(said, '^\\s*(#|\\|)') AND trim(said) <> ''""",
