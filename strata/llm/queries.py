@@ -135,6 +135,32 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs).select("doc_id", *[F.col(f"q_{x}").alias(x) for x in names])
 
 
+def _op7_sql() -> str:
+    from strata.llm.quality import BOILERPLATE
+
+    phrases = "|".join(x.replace(" ", " +") for x in BOILERPLATE)
+    words = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, {words.format("t")} AS w, string_split(t, chr(10)) AS lines FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, s FROM win GROUP BY doc_id, s HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM win SEMI JOIN twice USING (doc_id, s)) GROUP BY doc_id),
+ln AS (SELECT doc_id, unnest(lines) AS line FROM w),
+lw AS (SELECT doc_id, line, {words.format("line")} AS lw FROM ln),
+f AS (SELECT *, len(lw) AS n, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, len(list_filter(lw, lambda x: regexp_matches(x, '[!?]{{2,}}$'))) AS shouts,
+             len(list_filter(lw, lambda x: x IN ('|', '»', '›', '•'))) AS bars FROM lw),
+j AS (SELECT *, n > 0 AND ((symbols >= 3 AND symbols >= 0.1::DOUBLE * length(line)) OR (shouts >= 2 AND shouts >= 0.3::DOUBLE * n) OR (bars >= 2 AND bars >= 0.25::DOUBLE * n)
+             OR (n <= 12 AND regexp_matches(lower(line), '{phrases}')) OR (n >= 10 AND len(list_distinct(lw)) = 1)) AS fails FROM f),
+l AS (SELECT doc_id, bool_or(fails) AS any_fails, coalesce(sum(length(array_to_string(lw, ''))) FILTER (WHERE NOT fails), 0) AS left_, count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS dup FROM j GROUP BY doc_id),
+r AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(dup AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, any_fails, left_ FROM w JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (CASE WHEN any_fails AND word_chars > 0 THEN 1.0::DOUBLE - CAST(left_ AS DOUBLE) / word_chars ELSE 0.0 END) <= 0.3::DOUBLE AS kept FROM b
+"""
+
+
 #: A conversation whose texts hold the template's own control strings.
 CONTROL_CHAT = r"\### Assistant: </turn> ok"
 
@@ -187,4 +213,4 @@ _ALL = (
     op6_toxicity, op7_quality_rules, op8_bpe_chunks, op9_substring_dedup, op10_chat_format,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
