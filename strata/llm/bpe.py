@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from strata.llm import tokens
 from strata.llm import words as W
+from strata.llm.memory import give_back
 
 ROLL = 16
 
@@ -270,5 +271,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", o
                             columns["bpe_decoded_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
                 arrays = [pa.array(columns["bpe_n_tokens"], pa.int64()), *[pa.array(columns[x], OUTPUTS[x][1]) for x in outputs]]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + arrays, [*kept, *made])
+        give_back()
 
     return source.mapInArrow(run, schema)

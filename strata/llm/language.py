@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.llm import words as W
+from strata.llm.memory import give_back
 
 WIDTHS = (2, 3, 4)
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -203,5 +204,6 @@ def identify(
                             score[k] = min(1.0, sums[k, best[k]] / weight[k])
                 names = pa.array([net.languages[b] if b >= 0 else "und" for b in best], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + [names, pa.array(score)], [*kept, "li_lang", "li_score"])
+        give_back()
 
     return source.mapInArrow(run, schema)

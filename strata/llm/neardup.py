@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import words as W
+from strata.llm.memory import give_back
 from strata.llm.components import components
 from strata.llm.store import materialize
 
@@ -194,6 +195,7 @@ def near_duplicates(
                     ],
                     ["id", "h1", "h2", "n", "keys"],
                 )
+        give_back()
 
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     signed = materialize(source.mapInArrow(sign, "id long, h1 long, h2 long, n long, keys array<long>"), "nd-signed")

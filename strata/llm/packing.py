@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm import tokens
+from strata.llm.memory import give_back
 from strata.llm.store import materialize
 
 _ITEM = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>"
@@ -145,6 +146,7 @@ def pack(
         packer.pack()
         packer.keep(promoted)
         yield pa.RecordBatch.from_pydict(packer.rows(seat, False), _BIN_ARROW)
+        give_back()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bins = materialize(source.mapInArrow(local, _BIN), "pack-0")

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.llm import words as W
+from strata.llm.memory import give_back
 from strata.llm.store import input_bytes, partitions
 
 _SENT = "sd_bucket int, sd_block int, sd_load binary"
@@ -114,7 +115,7 @@ def _among(keys: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == keys
 
 
-def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
     """docs plus sd_n_words, sd_n_removed, sd_spans (array of the removed runs: first word, end
     word) and sd_kept (the words that stay, joined by one space).
 
@@ -124,13 +125,14 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
     other. Windows are compared by 64-bit hashes.
     """
     spark_parts = partitions(docs)
-    n_blocks = max(2 * spark_parts, -(-(input_bytes(docs) or 0) // block_bytes))
-    n_buckets = max(spark_parts, n_blocks // 2)
+    n_blocks = max(3 * spark_parts, -(-(input_bytes(docs) or 0) // block_bytes))
+    n_buckets = max(spark_parts, n_blocks // 3)
     dealt = docs.withColumn("sd_block", F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int"))
 
     def seeds(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         b = Block(table, doc_id, text, width, seed)
         keys, _, many = _least(b.anchors(), b.ids[b.doc])
+        give_back()
         return _sent(key[0].as_py(), keys, n_buckets, many.astype(np.uint8))
 
     def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -150,6 +152,7 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
         b = Block(table, doc_id, text, width, seed)
         chosen = _among(b.anchors(), _gathered(answers))
         keys, low, _ = _least(b.windows()[chosen], b.ids[b.doc[chosen]])
+        give_back()
         return _sent(key[0].as_py(), keys, n_buckets, low)
 
     def earliest(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -210,6 +213,7 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
             ("sd_kept", pa.array(kept, pa.binary()).cast(pa.string())),
         ):
             out = out.append_column(name, column)
+        give_back()
         return out
 
     by_block = lambda df: df.groupBy("sd_block")

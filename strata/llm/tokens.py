@@ -9,6 +9,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from strata.llm.memory import give_back
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
@@ -71,6 +73,8 @@ def _ranks(file: dict, suffix: str, marker: bytes, first: int) -> dict[bytes, in
         said = [t[: len(t) - len(suffix)] if t in ends else t for t in some]
         if any(e.ids != [vocab[t]] for t, e in zip(some, alone.encode_batch_fast(said, add_special_tokens=False), strict=True)):
             return None
+    del alone, said
+    give_back()
     return {(_own_bytes(t[: len(t) - len(suffix)], byte) + marker) if t in ends else _own_bytes(t, byte): i for t, i in own.items()}
 
 

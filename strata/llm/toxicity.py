@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from strata.llm import words as W
 from strata.llm.language import held_out
+from strata.llm.memory import give_back
 from strata.llm.store import materialize
 
 GRAMS = (5, 7, 8)
@@ -213,5 +214,6 @@ def toxicity(
                 n = part.num_columns - 1
                 score = model.scores(*W.text_bytes(part.column(n))) if model else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(n)], pa.array(score)], [*kept, "tox_score"])
+        give_back()
 
     return source.mapInArrow(run, schema)
