@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """rows plus a column whose value is computed once for each row.
+
+    Of a generator's output no filter or later column can pull the expression behind it down
+    or repeat it, as the optimizer does with the columns of a projection.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def round2(x: Column) -> Column:
     """Half up on the binary value, as floor(100 x + 0.5) / 100; round() would round the decimal text."""
     return F.floor(x * F.lit(100.0) + F.lit(0.5)) / F.lit(100.0)

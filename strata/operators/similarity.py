@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.functions.columns import round2, shingles
+from strata.functions.columns import once, round2, shingles
+from strata.sources.shared import materialize
 
 
 def rare_postings(sets: DataFrame, max_df: int) -> tuple[DataFrame, DataFrame]:
@@ -32,15 +33,16 @@ def candidate_pairs(sets: DataFrame, max_df: int) -> DataFrame:
 def prose_pairs(units: DataFrame, *, k: int = 6, min_words: int = 12, floor: float = 0.5, max_df: int = 6) -> DataFrame:
     """(a, b, shared, similarity, identical) of units(id, file, words): Jaccard over all shingles of
     pairs from different files that have a rare shingle in common."""
-    live = units.where(F.size("words") >= min_words).select("id", "file", "words", shingles(F.col("words"), k).alias("tokens"))
+    given = once(units.select("id", "file", F.col("words").alias("_given")), F.col("_given"), "words").drop("_given")
+    # Read four times below, so it is written once.
+    live = materialize(once(given.where(F.size("words") >= min_words), shingles(F.col("words"), k), "tokens"), "prose")
     pairs = candidate_pairs(live.select("id", "tokens"), max_df).select("a", "b")
     side = lambda c: live.select(*[F.col(x).alias(f"{c}_{x}") for x in ("id", "file", "words", "tokens")])
     both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id")).where("a_file <> b_file")
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    both = once(both, F.size(F.array_intersect("a_tokens", "b_tokens")), "shared")
     union = F.size("a_tokens") + F.size("b_tokens") - F.col("shared")
     return (
-        both.withColumn("shared", shared)
-        .withColumn("exact", F.coalesce(F.col("shared") / F.nullif(union, F.lit(0)), F.lit(0.0)))
+        both.withColumn("exact", F.coalesce(F.col("shared") / F.nullif(union, F.lit(0)), F.lit(0.0)))
         .where(F.col("exact") >= floor)
         .select("a", "b", "shared", round2(F.col("exact")).alias("similarity"), (F.col("a_words") == F.col("b_words")).alias("identical"))
     )
