@@ -1,39 +1,5 @@
-"""Tables between the steps of an operator, in the folder that all executors share."""
+"""Tables between the steps of an operator, as the library keeps them."""
 
-from __future__ import annotations
+from strata.sources.shared import input_bytes, materialize, partitions, shared_folder
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where it is unset and executors are threads of
-    this process a folder of this machine is set instead."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="strata-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage is cut, and a lost
-    executor costs no more than the files it had not yet read."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/strata/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def input_bytes(df: DataFrame) -> int | None:
-    """The optimizer's estimate of the rows' size, from file sizes; None where it has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return None if size > 1 << 57 else size
-
-
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["input_bytes", "materialize", "partitions", "shared_folder"]
