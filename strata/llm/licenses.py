@@ -32,13 +32,16 @@ class Rule:
     score: float
 
 
-#: Licenses with versions: label stem, keyword, regex of the name, versions.
+#: Licenses with versions: label stem, keyword, regex of the name, versions. Whatever the regex
+#: matches contains the keyword: names without a common one are entries of their own.
 VERSIONED = (
     ("apache", "apache", "apache (?:software )?license", ("1.0", "1.1", "2.0")),
-    ("gpl", "general public", "gnu general public license|gnu gpl|gpl", ("1.0", "2.0", "3.0")),
+    ("gpl", "gpl", "gnu gpl|gpl", ("1.0", "2.0", "3.0")),
+    ("gpl", "general public", "gnu general public license", ("1.0", "2.0", "3.0")),
     ("lgpl", "gpl", "gnu lgpl|lgpl", ("2.0", "2.1", "3.0")),
-    ("lgpl", "lesser general", "(?:gnu )?(?:lesser|library) general public license", ("2.0", "2.1", "3.0")),
-    ("agpl", "affero", "(?:gnu )?affero general public license|gnu agpl|agpl", ("1.0", "3.0")),
+    ("lgpl", "general public", "(?:gnu )?(?:lesser|library) general public license", ("2.0", "2.1", "3.0")),
+    ("agpl", "agpl", "gnu agpl|agpl", ("1.0", "3.0")),
+    ("agpl", "affero", "(?:gnu )?affero general public license", ("1.0", "3.0")),
     ("gfdl", "free documentation", "(?:gnu )?free documentation license", ("1.1", "1.2", "1.3")),
     ("mpl", "mozilla", "mozilla public license", ("1.0", "1.1", "2.0")),
     ("epl", "eclipse", "eclipse public license", ("1.0", "2.0")),

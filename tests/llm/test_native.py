@@ -87,6 +87,51 @@ def test_license_prefilter_lets_every_rule_through(spark):
     assert [r.t for r in df.where("not m").collect()] == []
 
 
+def spelled(pattern):
+    """Every text that a rule's pattern says, a repeated part as seldom as it may be and once."""
+    out = [""]
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "NOT_LITERAL":
+            more = ["z"]
+        elif name == "IN":
+            more = [chr(a if str(kind) == "LITERAL" else a[0]) for kind, a in arg]
+        elif name == "BRANCH":
+            more = [x for branch in arg[1] for x in spelled(branch)]
+        elif name == "SUBPATTERN":
+            more = spelled(arg[3])
+        elif name == "MAX_REPEAT":
+            more = [x * n for n in sorted({arg[0], max(arg[0], 1)}) for x in spelled(arg[2])]
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_license_keywords_follow_from_the_rules():
+    """Of every rule every alternative: it must contain the rule's keyword and an anchor."""
+    anchors, lost = set(licenses.ANCHORS), []
+    for r in licenses.build_rules():
+        for text in spelled(re._parser.parse(r.regex)):
+            assert re.fullmatch(r.regex, text)
+            words = re.findall("[a-z0-9]+", text)
+            if r.keyword not in " ".join(words) or not anchors & set(words):
+                lost.append((r.label, r.keyword, text))
+    assert lost == []
+
+
+def test_license_short_names(spark):
+    said = {
+        "licensed under the GPL v2": "gpl-2.0", "GNU GPL version 3": "gpl-3.0", "GPLv3": "gpl-3.0", "GPL-2.0": "gpl-2.0", "AGPL-3.0": "agpl-3.0", "the GNU AGPLv3": "agpl-3.0", "LGPL 2.1": "lgpl-2.1",
+        "GPL v2 or later": "gpl-2.0-or-later", "GNU Library General Public License, version 2": "gpl,lgpl-2.0",
+    }
+    out = licenses.scan(docs(spark, list(said))).orderBy("doc_id").collect()
+    assert [r.lic_labels for r in out] == list(said.values())
+    assert all(r.lic_score >= 0.95 for r in out)
+
+
 def brute_unsuppressed(found):
     return sorted(d for d in found if not any(e != d and e[0] <= d[0] and e[1] >= d[1] and (e[2] > d[2] or e[2] == d[2] and (e[:2] != d[:2] or e[3] < d[3])) for e in found))
 
