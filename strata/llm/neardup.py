@@ -1,8 +1,10 @@
 """Near-duplicate classes: ProbMinHash signatures, banding, exact verification, components.
 
-Shingles are runs of five words with weight 1 + ln(count). Each weighted shingle is a Poisson
-process whose arrivals each hit one register; a register keeps the shingle that arrived first, so
-two registers agree with the probability Jaccard similarity of the weights. Arrivals are drawn up
+Shingles are runs of five words. Each weighted shingle is a Poisson process whose arrivals each
+hit one register; a register keeps the shingle that arrived first, so two registers agree with the
+probability Jaccard similarity of the weights. Here every shingle of a text weighs the same however
+often it occurs: then that similarity is the Jaccard similarity of the sets of shingles, which is
+what pairs are verified by, and the bands miss no more than is said below. Arrivals are drawn up
 to a horizon at which all registers of a text are expected to be filled, later only for texts
 with empty registers: what arrives after the last register was filled can't win any more.
 
@@ -62,13 +64,16 @@ def shingles(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray
     return s[order], t[order], counts, np.stack(whole, 1)
 
 
-def prob_minhash(s: np.ndarray, text: np.ndarray, n_texts: int, registers: int) -> np.ndarray:
-    """(n_texts, registers) of 32-bit shingle hashes; the registers of a text without shingles are all ones."""
+def prob_minhash(s: np.ndarray, text: np.ndarray, n_texts: int, registers: int, *, counted: bool = True) -> np.ndarray:
+    """(n_texts, registers) of 32-bit shingle hashes; the registers of a text without shingles are all ones.
+
+    A shingle's weight is 1 + ln(count) if counted, else 1.
+    """
     out = np.full(n_texts * registers, _EMPTY)
     if len(s):
         key = np.sort((text.astype(np.uint64) << np.uint64(44)) | (s >> np.uint64(20)))
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        weight = 1.0 + np.log(np.diff(np.r_[first, len(key)]))
+        weight = 1.0 + np.log(np.diff(np.r_[first, len(key)])) if counted else np.ones(len(first))
         key = key[first]
         text = (key >> np.uint64(44)).astype(np.int64)
         element = W.mix((key & np.uint64((1 << 44) - 1)) + _STEP)
@@ -184,7 +189,7 @@ def near_duplicates(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 s, owner, counts, whole = shingles(part.column(1), width)
-                keys = band_keys(prob_minhash(s, owner, part.num_rows, bands * rows), bands)
+                keys = band_keys(prob_minhash(s, owner, part.num_rows, bands * rows, counted=False), bands)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),

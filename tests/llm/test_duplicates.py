@@ -98,6 +98,31 @@ def test_heavier_shingles_win_more():
     assert abs(share[:4].sum() - 4 * weight / (4 * weight + 40)) < 0.05
 
 
+def repetitive(rng, n, edits=0):
+    """n pairs of texts that differ in how often a passage is repeated, the second of each also in `edits` words."""
+    out = []
+    for _ in range(n):
+        a = prose(rng, 100)
+        out += [" ".join(a), " ".join(edited(rng, a, edits) + a[-20:] * 49)]
+    return out
+
+
+def test_registers_agree_by_the_similarity_that_is_verified():
+    rng = random.Random(6)
+    for edits in (0, 1, 3):
+        texts = repetitive(rng, 1, edits)
+        s, owner, _, _ = neardup.shingles(pa.array(texts), 5)
+        got = neardup.prob_minhash(s, owner, 2, 4096, counted=False)
+        sets = [shingle_set(t) for t in texts]
+        assert abs((got[0] == got[1]).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.05
+
+
+def test_classes_of_repeated_passages(spark):
+    texts = repetitive(random.Random(7), 60) + repetitive(random.Random(8), 60, 1)
+    out = dict(neardup.near_duplicates(table(spark, texts)).collect())
+    assert [out[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(40)] + [(500, k) for k in range(501, 600)]
