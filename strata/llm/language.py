@@ -167,13 +167,13 @@ def learn(docs: DataFrame, *, doc_id: str, text: str, lang: str, window: int, pe
 
 def identify(
     docs: DataFrame, *, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    window: int = 256, per_language: int = 500, windows: int = 4,
+    window: int = 256, per_language: int = 500, windows: int = 4, untrained: str | None = "und",
 ) -> DataFrame:
     """docs plus li_lang and li_score: the likeliest of the languages learned from `labelled` (docs
     themselves by default), and its probability.
 
-    A text that is null or has no letter is `und` with score 0, and so is every text if no row is
-    labelled. The prediction reads the text only. Bounds of the sample: per_language texts of each
+    A text that is null or has no letter is `und` with score 0. If there is no row to learn from, every
+    other text is `untrained`, with score 0. The prediction reads the text only. Bounds of the sample: per_language texts of each
     language, `windows` windows of each. Columns of docs stay; one with a name of the result's is
     overwritten.
     """
@@ -189,20 +189,21 @@ def identify(
                 part = batch.slice(at, 128)
                 column = part.column(part.num_columns - 1)
                 n, best, score = part.num_rows, np.full(part.num_rows, -1), np.zeros(part.num_rows)
+                offsets, data = W.text_bytes(column)
                 if net:
                     sums, weight = np.zeros((n, len(net.languages))), np.zeros(n)
-                    offsets, data = W.text_bytes(column)
                     for i, j in W._slices(offsets):
                         w, owner, used = cut_windows(offsets[i : j + 1], data, net.window)
                         p = net.probabilities(w, tables)
                         np.add.at(sums, owner + i, p * used[:, None])
                         np.add.at(weight, owner + i, used)
-                    for k in range(n):
-                        raw = data[offsets[k] : offsets[k + 1]].tobytes()
-                        if raw and (_ASCII_LETTER.search(raw) or any(map(str.isalpha, raw.decode()))):
-                            best[k] = int(sums[k].argmax())
-                            score[k] = min(1.0, sums[k, best[k]] / weight[k])
-                names = pa.array([net.languages[b] if b >= 0 else "und" for b in best], pa.string())
+                for k in range(n):
+                    raw = data[offsets[k] : offsets[k + 1]].tobytes()
+                    if raw and (_ASCII_LETTER.search(raw) or any(map(str.isalpha, raw.decode()))):
+                        best[k] = int(sums[k].argmax()) if net else 0
+                        score[k] = min(1.0, sums[k, best[k]] / weight[k]) if net else 0.0
+                languages = net.languages if net else [untrained]
+                names = pa.array([languages[b] if b >= 0 else "und" for b in best], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + [names, pa.array(score)], [*kept, "li_lang", "li_score"])
         give_back()
 

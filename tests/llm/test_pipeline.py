@@ -62,6 +62,13 @@ def test_stages(spark, rows):
     assert sorted(p.doc_id for p in pieces) == ids(cut)
 
 
+def test_languages_without_labels(spark):
+    texts = ["Some words.", "1234 5678", None, "", "\u00e9t\u00e9", "\u6f22\u5b57", "-- 1 a"]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["language_id"](spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(i, texts[i]) for i in (0, 4, 5, 6)]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
