@@ -8,7 +8,7 @@ what pairs are verified by, and the bands miss no more than is said below. Arriv
 to a horizon at which all registers of a text are expected to be filled, later only for texts
 with empty registers: what arrives after the last register was filled can't win any more.
 
-Texts with equal words are one node. Nodes that share a band are candidates. Of each band bucket
+Texts with equal words are one node, with a number of its own: ids may repeat. Nodes that share a band are candidates. Of each band bucket
 the hub is the node with the most neighbours over all its bands; a node belongs to the groups of
 its hubs, so nodes that share a bucket share a group, and a family of copies is a few groups
 instead of all pairs. A group is dealt to blocks of bounded size that each also hold the hub.
@@ -163,7 +163,17 @@ def similar(column: pa.ChunkedArray, width: int, at_least: float, left: np.ndarr
     return np.stack([left[i], right[j]], 1)
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **how) -> DataFrame:
+    """(doc_id, nd_class) for each row of docs: the least id of the class that the row is in.
+
+    Other arguments and the classes are those of classes(). If an id has several texts, each of its
+    rows is in the class of its own text, and classes with the same least id have the same nd_class;
+    classes() tells them apart.
+    """
+    return classes(docs, doc_id=doc_id, **how).select(doc_id, "nd_class")
+
+
+def classes(
     docs: DataFrame,
     *,
     doc_id: str = "doc_id",
@@ -174,14 +184,17 @@ def near_duplicates(
     rows: int = 6,
     block_texts: int = 256,
 ) -> DataFrame:
-    """(doc_id, nd_class) for each row of docs: the least id of the class that the row is in.
+    """(doc_id, nd_text, nd_group, nd_class) for each row of docs: xxhash64 of the text, a number that the
+    rows of a class have in common and no others (arbitrary; null for a class of one row as said
+    below), and the least id of the class.
 
     Words are runs of characters other than the space and 09 to 0D, unchanged. Two texts are
     linked if the Jaccard similarity of their sets of five-word shingles is at_least 0.8 or more,
     or their words are equal; classes are connected. At a similarity of 0.8 the 24 bands of 6
     registers miss a pair with a probability of 0.0007, and less above. A text without words
     (null, empty) is a class of its own; so is every row with a null id, whose class is null.
-    Rows with the same id and text are in one class. Other columns of docs play no part.
+    Rows with the same id and text are in one class; rows with the same id and different texts are
+    so only if their texts are linked. Other columns of docs play no part.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,19 +206,20 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(whole[:, 0].view(np.int64)),
                         pa.array(whole[:, 1].view(np.int64)),
                         pa.array(counts),
                         pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1).view(np.int64))),
                     ],
-                    ["id", "h1", "h2", "n", "keys"],
+                    ["id", "said", "h1", "h2", "n", "keys"],
                 )
         give_back()
 
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = materialize(source.mapInArrow(sign, "id long, h1 long, h2 long, n long, keys array<long>"), "nd-signed")
-    nodes = signed.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes, "nd-nodes")
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("said"))
+    signed = materialize(source.mapInArrow(sign, "id long, said long, h1 long, h2 long, n long, keys array<long>"), "nd-signed")
+    nodes = signed.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "said")).alias("least"), F.first("keys").alias("keys"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "least.id", "least.said", "h1", "h2", "keys"), "nd-nodes")
 
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -219,10 +233,10 @@ def near_duplicates(
     homes = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     guests = sizes.where("blocks > 1").select("hub", F.col("hub").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rows_ = homes.select("hub", "node", "blocks", "block").unionByName(guests).distinct()
-    wanted = members.select(F.col("node").alias("id")).distinct()
+    wanted = members.select("node").distinct().join(nodes.select("node", "id", "said"), "node")
     # Sorted and merged at every size: a side that is small enough to broadcast here grows with the input.
-    texts = materialize(source.where("id is not null").join(wanted.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")), "nd-texts")
-    with_text = lambda df: df.join(texts.withColumnRenamed("id", "node"), "node")
+    texts = materialize(source.where("id is not null").join(wanted.hint("merge"), ["id", "said"]).groupBy("id", "said", "node").agg(F.max("text").alias("text")).select("node", "text"), "nd-texts")
+    with_text = lambda df: df.join(texts, "node")
 
     def tied(table: pa.Table, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Forest]:
         nodes_ = table.column("node").to_numpy()
@@ -270,9 +284,17 @@ def near_duplicates(
     edges = first.where("a <> b").select("a", "b").unionByName(second)
     roots = components(edges, "nd-components")
 
-    classes = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("class"))
+    least = nodes.select("node", "id").join(roots, "node").groupBy("root").agg(F.min("id").alias("class"))
+    found = nodes.select("node", "id", "h1", "h2").join(roots.join(least, "root"), "node", "left")
+    found = found.select("h1", "h2", F.coalesce("root", "node").alias("group"), F.coalesce("class", "id").alias("class"))
+    alone = (F.col("n") == 0) | F.col("id").isNull()
     return (
-        signed.select("id", "h1", "h2", "n")
-        .join(classes, ["h1", "h2"], "left")
-        .select(F.col("id").alias(doc_id), F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("class")).alias("nd_class"))
+        signed.select("id", "said", "h1", "h2", "n")
+        .join(found, ["h1", "h2"], "left")
+        .select(
+            F.col("id").alias(doc_id),
+            F.col("said").alias("nd_text"),
+            F.when(~alone, F.col("group")).alias("nd_group"),
+            F.when(alone, F.col("id")).otherwise(F.col("class")).alias("nd_class"),
+        )
     )

@@ -69,6 +69,22 @@ def test_languages_without_labels(spark):
     assert sorted((r.doc_id, r.text) for r in out.collect()) == [(i, texts[i]) for i in (0, 4, 5, 6)]
 
 
+def test_one_id_with_several_texts(spark):
+    """Of rows that share an id only those with similar texts are duplicates."""
+    from strata.llm.neardup import near_duplicates
+
+    rng = random.Random(5)
+    a, b, c, d = ([f"{x}{rng.randrange(10**6)}" for _ in range(80)] for x in "abcd")
+    said = [(3, a), (3, b), (8, [*a, "tail"]), (9, [*b, "tail"]), (10, c), (10, [*a[1:]]), (11, d), (11, [*d, "tail"]), (3, a)]
+    rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in said] + [(12, None, "en", "s", 0), (12, "", "en", "s", 0), (12, rng.choice(c), "en", "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((r.doc_id, r.nd_class) for r in near_duplicates(docs).collect())
+    assert got == [(3, 3), (3, 3), (3, 3), (8, 3), (9, 3), (10, 3), (10, 10), (11, 11), (11, 11), (12, 12), (12, 12), (12, 12)]
+    out = dict(corpus_pipeline.STAGES)["minhash_neardup"](spark, docs, "")
+    left = [(r.doc_id, (r.text or "")[:1]) for r in out.collect()]
+    assert out.columns == docs.columns and sorted(left) == [(3, "a"), (3, "b"), (10, "c"), (11, "d"), (12, ""), (12, ""), (12, "c")]
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 50
