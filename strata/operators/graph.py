@@ -57,18 +57,23 @@ def overlaps(scopes: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node): what can be reached from seeds(node) over edges(source, target), seeds included.
 
-    A round joins only the nodes found last, and drops those known already.
+    A round joins only the nodes found last, and drops those known already, until none is new: as
+    many rounds as the farthest node has hops.
     """
     found = frontier = seeds.select("node").distinct()
-    for _ in range(depth):
+    turn = 0
+    while True:
+        turn += 1
         step = edges.join(frontier, F.col("source") == F.col("node"), "left_semi").select(F.col("target").alias("node")).distinct()
         frontier = materialize(step.join(found, "node", "left_anti"), "reach")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        if turn % 16 == 0:
+            found = materialize(found, "reach")
     return found
 
 

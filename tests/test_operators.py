@@ -309,3 +309,11 @@ def test_identity(spark):
     assert ids[0] == ids[1] != ids[2] and ids[3] is None and len(ids[0]) == 18
     keys = [r[0] for r in df.select(activity.replay_key(F.col("t"), F.col("u"))).collect()]
     assert keys[0] == keys[1] != keys[2] and keys[3] is None
+
+
+def test_reach_has_no_bound(spark):
+    from strata.operators import graph
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(70, 3), (100, 101)], "source long, target long").coalesce(1)
+    got = graph.reach(edges, spark.createDataFrame([(0,)], "node long").coalesce(1)).collect()
+    assert sorted(r.node for r in got) == list(range(71))
