@@ -116,12 +116,14 @@ def pack(
     A text's tokens end with end_id; a null text is empty and so has one token. Texts longer than
     a sequence are cut into whole sequences, with the rest as first piece. Ids may be null or
     repeat. Sequences are gapless; their numbers are unique and otherwise arbitrary. An empty
-    table gives no rows.
+    table gives no rows. A task packs whenever its open bins have doubled, `pending` at least, and
+    closes none but the nearly full until its last text is in: it holds the numbers of at most one
+    open bin for each half sequence of its partition (and their ids if keep_ids).
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seat = tokens.encoder(tokenizer_path), TaskContext.get().partitionId()
-        packer = Packer(0, seat, length, slack)
+        packer, most = Packer(0, seat, length, slack), pending
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -136,9 +138,9 @@ def pack(
                             packer.finish(n, [item])
                         else:
                             packer.open.append((n, [item]))
-                if len(packer.open) >= pending:
+                if len(packer.open) >= most:
                     packer.pack()
-                    packer.keep(pending // 2)
+                    most = max(pending, 2 * len(packer.open))
                 if packer.done:
                     rest, packer.open = packer.open, []
                     yield pa.RecordBatch.from_pydict(packer.rows(seat, False), _BIN_ARROW)

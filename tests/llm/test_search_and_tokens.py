@@ -160,3 +160,13 @@ def test_best_fit_is_tight():
     assert sorted(i for _, items in out for i in items) == list(range(500))
     assert all(u == sum(size[i] for i in items) <= 100 for u, items in out)
     assert len(out) <= 1.05 * sum(u for u, _ in bins) / 100
+
+
+def test_small_texts_fill_bins_of_earlier_ones(spark):
+    """In one task, more bins than it packs at once, and what fills them only after them."""
+    from strata.llm import packing, tokens
+
+    rows = [(i, "house " * (600 if i < 1024 else 400)) for i in range(2048)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = packing.pack(docs, tokens.public_path("byte_bpe_50k.json"), pending=64).collect()
+    assert len(out) == 2048 and len({r.sequence_id for r in out}) == 1024
