@@ -208,9 +208,31 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+
+def op10_chat_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the machine refuses each conversation: the position of a turn, the number of turns if the
+    conversation ends too early, null if it is in order."""
+    from strata.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).select("conv_id", "n_turns", "bad_turn")
+
+
+OP10_ORDER_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, row_number() OVER w - 1 AS i, lag(coalesce(role, '')) OVER w AS before
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))
+)
+SELECT conv_id, count(*) AS n_turns,
+       CAST(coalesce(min(i) FILTER (WHERE NOT CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
+                                                   WHEN before = 'user' THEN role = 'assistant' ELSE false END),
+                     CASE WHEN arg_max(role, i) <> 'assistant' THEN count(*) END) AS INTEGER) AS bad_turn
+FROM t GROUP BY conv_id
+"""
+
 _ALL = (
     op1_minhash_neardup, op2_topk_search, op3_bestfit_packing, op4_license_scan, op5_language_id,
     op6_toxicity, op7_quality_rules, op8_bpe_chunks, op9_substring_dedup, op10_chat_format,
+    op10_chat_order,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op10_chat_order": OP10_ORDER_SQL}

@@ -167,6 +167,22 @@ def test_chat_machine(spark, roles, bad):
     assert chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first().bad_turn == bad
 
 
+def test_chat_order_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from strata.llm import queries
+
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["user", "assistant"] * 4 + ["system", "tool", "", None]), rng.choice(["x", None])) for c in range(80) for t in range(rng.randrange(1, 5))]
+    rows += [(100, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(6)] + [(101, 0, "assistant", "x"), (102, 0, "user", "x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.QUERIES["op10_chat_order"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(queries.SQL["op10_chat_order"]).fetchall())
+    assert got[-3:] == [(100, 6, None), (101, 1, 0), (102, 1, 1)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality.quality(none).count() == licenses.scan(none).count() == 0
