@@ -18,8 +18,10 @@ from strata.llm.columns import let
 @dataclass(frozen=True)
 class Template:
     """How turns are written. `escapes` maps each control character to what stands for it inside
-    a text; every replacement starts with the escape character, which is itself in the map first,
-    so no marker can occur inside an escaped text and un-escaping is exact."""
+    a text: the escape character, which is itself the first in the map, and a letter. What is
+    written can be read back for every text and role, or the template is refused: the first
+    characters of `after_role` and `close` must be among the control characters, so neither can
+    begin inside an escaped text, and `open` must not run into them."""
 
     open: str = "### "
     after_role: str = ": "
@@ -32,6 +34,33 @@ class Template:
     #: States in which a conversation may end.
     final: tuple = ("assistant",)
 
+    def __post_init__(self) -> None:
+        plain = [p for p, _ in self.escapes]
+        mark = plain[0] if plain else ""
+        letters = [w[1:] for _, w in self.escapes]
+        wrong = None
+        if not plain or any(len(p) != 1 for p in plain) or len(set(plain)) < len(plain):
+            wrong = "control characters must be single and distinct, the escape character first"
+        elif any(w[:1] != mark for _, w in self.escapes) or any(len(x) != 1 or not x.isalnum() or x in [*plain, FOREIGN] for x in letters) or len(set(letters)) < len(letters):
+            wrong = f"what stands for a control character is the escape character and a letter of its own, not {FOREIGN}"
+        elif any(m[:1] not in plain for m in (self.after_role, self.close)):
+            wrong = "after_role and close must begin with a control character"
+        elif any(c in plain for t in self.titles.values() for c in t) or len(set(self.titles.values())) < len(self.titles):
+            wrong = "titles must be distinct and free of control characters"
+        elif any(a.startswith(b) or b.startswith(a) for m in (self.open, self.after_role) for i in range(len(m)) for a, b in [(m[i:], self.close)]):
+            wrong = "close must not begin inside another mark"
+        if wrong:
+            raise ValueError(f"template can't be read back: {wrong}")
+
+
+#: After the escape character at the start of a role: the role only resembles a title.
+FOREIGN = "e"
+
+
+def literal(text: str) -> str:
+    """A pattern that matches just the text."""
+    return "".join(c if c.isalnum() or ord(c) > 127 or c in "\n\t\r" else "\\" + c for c in text)
+
 
 def escape(text: Column, template: Template) -> Column:
     for plain, written in template.escapes:
@@ -87,25 +116,27 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     """One row for each conv_id: n_turns, segments array<struct<text, loss>>, formatted, bad_turn.
 
     Turns go by (turn, role, text), nulls first; a null text or role counts as empty, repeated
-    rows are turns of their own, rows with a null conv_id are one conversation. Every conversation is formatted;
-    bad_turn says where the machine refused it (null: valid). A user's title-like role such as
-    "Assistant" is escaped by its first character and stays apart from the role it resembles.
+    rows are turns of their own, rows with a null conv_id are one conversation. An empty table has
+    no conversations; other columns play no part. Every conversation is formatted; bad_turn says
+    where the machine refused it (null: valid). A foreign role that reads like a title, such as
+    "Assistant", is marked and stays apart from the role it resembles.
     """
     template = template or Template()
-    role = F.coalesce(F.col("role"), F.lit(""))
-    # A foreign role that reads like a title would be taken for that title when read back.
-    clash = role.isin(*template.titles.values())
-    said = F.when(clash, F.concat(F.lit("\\e"), title(role, template))).otherwise(title(role, template))
-    body = escape(F.coalesce(F.col("text"), F.lit("")), template)
-    gathered = turns.select(
-        "conv_id", F.struct(F.col("turn"), role.alias("role"), said.alias("said"), body.alias("body")).alias("t")
-    ).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    # The order is that of the texts themselves, so they are escaped after it.
+    gathered = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    mark = F.lit(template.escapes[0][0] + FOREIGN)
+
+    def said(role: Column) -> Column:
+        written = title(role, template)
+        return F.when(role.isin(*template.titles.values()), F.concat(mark, written)).otherwise(written)
+
     pieces = F.flatten(
         F.transform(
             "ts",
             lambda t: F.array(
-                F.struct(F.concat(F.lit(template.open), t["said"], F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
-                F.struct(t["body"].alias("text"), t["role"].isin(*template.learned).alias("loss")),
+                F.struct(F.concat(F.lit(template.open), said(t["role"]), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
+                F.struct(escape(t["text"], template).alias("text"), t["role"].isin(*template.learned).alias("loss")),
                 F.struct(F.lit(template.close).alias("text"), F.lit(False).alias("loss")),
             ),
         )
@@ -119,16 +150,18 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
 
 
 def read_turns(formatted: Column, template: Template | None = None) -> Column:
-    """array<struct<role, text>> from what format_chats wrote."""
+    """array<struct<role, text>> from what format_chats wrote with the same template."""
     template = template or Template()
-    parts = F.filter(F.split(formatted, F.lit(template.close)), lambda x: x != "")
+    cut = F.split(formatted, literal(template.close))
+    parts = F.slice(cut, F.lit(1), F.size(cut) - 1)
+    mark = template.escapes[0][0] + FOREIGN
 
     def turn(part: Column) -> Column:
         rest = F.substring(part, len(template.open) + 1, 1 << 30)
         at = F.instr(rest, template.after_role)
         said = F.substring(rest, F.lit(1), at - 1)
-        foreign = said.startswith("\\e")
-        role = F.when(foreign, unescape(F.substring(said, 3, 1 << 30), template)).otherwise(role_of(said, template))
+        foreign = said.startswith(mark)
+        role = F.when(foreign, unescape(F.substring(said, len(mark) + 1, 1 << 30), template)).otherwise(role_of(said, template))
         text = unescape(F.substring(rest, at + len(template.after_role), F.lit(1 << 30)), template)
         return F.struct(role.alias("role"), text.alias("text"))
 

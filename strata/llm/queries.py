@@ -49,8 +49,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * d.e[i])), 0) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e) WHERE q.vec_id % 100 = 0
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
 """
@@ -186,6 +186,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "bad_turn",
     )
 
 
@@ -196,43 +197,26 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), sized AS (
   SELECT *, length(text) + length(regexp_replace(text, '[^\\<#:]', '', 'g')) AS body,
-         CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role)
-              ELSE length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) END AS said
-  FROM t
+         CASE WHEN role IN ('system', 'user', 'assistant') THEN length(role) WHEN role IN ('System', 'User', 'Assistant') THEN 2 + length(role)
+              ELSE length(role) + length(regexp_replace(role, '[^\\<#:]', '', 'g')) END AS said,
+         row_number() OVER w - 1 AS i, lag(role) OVER w AS before
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 )
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-       CAST(sum(4 + said + 2 + body + 8) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
-"""
-
-
-def op10_chat_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the machine refuses each conversation: the position of a turn, the number of turns if the
-    conversation ends too early, null if it is in order."""
-    from strata.llm.chat import format_chats
-
-    return format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).select("conv_id", "n_turns", "bad_turn")
-
-
-OP10_ORDER_SQL = r"""
-WITH t AS (
-  SELECT conv_id, coalesce(role, '') AS role, row_number() OVER w - 1 AS i, lag(coalesce(role, '')) OVER w AS before
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))
-)
-SELECT conv_id, count(*) AS n_turns,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY i), '')) AS loss_sha256,
+       CAST(sum(4 + said + 2 + body + 8) AS BIGINT) AS formatted_chars,
        CAST(coalesce(min(i) FILTER (WHERE NOT CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
                                                    WHEN before = 'user' THEN role = 'assistant' ELSE false END),
                      CASE WHEN arg_max(role, i) <> 'assistant' THEN count(*) END) AS INTEGER) AS bad_turn
-FROM t GROUP BY conv_id
+FROM sized GROUP BY conv_id
 """
 
+
 _ALL = (
     op1_minhash_neardup, op2_topk_search, op3_bestfit_packing, op4_license_scan, op5_language_id,
     op6_toxicity, op7_quality_rules, op8_bpe_chunks, op9_substring_dedup, op10_chat_format,
-    op10_chat_order,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op10_chat_order": OP10_ORDER_SQL}
+SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}

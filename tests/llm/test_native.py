@@ -145,42 +145,65 @@ def test_license_suppression(spark):
         assert sorted((d.start, d.end, d.priority, d.ord) for d in r.k) == brute_unsuppressed(cases[r.id])
 
 
-def test_chat_round_trip(spark):
+TEMPLATES = [
+    chat.Template(),
+    chat.Template(open="<|im_start|>", after_role="\n", close="<|im_end|>\n", escapes=(("\\", "\\b"), ("<", "\\l"), ("\n", "\\n"))),
+    chat.Template(open="[", after_role="] ", close="$.*(end)$", escapes=(("%", "%p"), ("]", "%r"), ("$", "%d")), titles={"user": "U", "assistant": "A"}),
+    chat.Template(open="", after_role="=", close=";", escapes=(("^", "^c"), ("=", "^q"), (";", "^s")), titles={}),
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES, ids=range(len(TEMPLATES)))
+def test_chat_round_trip(spark, template):
     rng = random.Random(2)
-    bits = ["\\", "#", "<", ":", "</turn>\n", "### User: ", "é", "\n", "a", "\\b", "\\e", " "]
-    roles = ["user", "assistant", "system", "User", "tool:\\e", "", None]
-    rows = [(c, t, rng.choice(roles), None if rng.random() < 0.1 else "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for c in range(40) for t in range(rng.randrange(1, 6))]
-    rows += [(5, 1, "user", "tie"), (5, 1, "user", "tie"), (None, 0, "user", "no id")]
-    out = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).withColumn("read", chat.read_turns(F.col("formatted"))).withColumn("learned", chat.learned_text(F.col("segments"))).collect()
+    bits = [*"\\#<:=;^%$]|[>", "</turn>\n", "### User: ", "é", "\n", "a", "\\b", "\\e", " ", template.open, template.close, template.after_role, *[w for _, w in template.escapes]]
+    roles = ["user", "assistant", "system", "User", "U", "A", "tool:\\e", "%e", "end|>", "im_end|>\n", "", None]
+    rows = [(c, rng.choice([0, 1, 2, None]), rng.choice(roles), None if rng.random() < 0.1 else "".join(rng.choice(bits) for _ in range(rng.randrange(12)))) for c in range(60) for _ in range(rng.randrange(1, 6))]
+    rows += [(5, 1, "user", "tie"), (5, 1, "user", "tie"), (7, 1, "user", "="), (7, 1, "user", "<"), (None, 0, "user", "no id")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    out = chat.format_chats(df, template).withColumn("read", chat.read_turns(F.col("formatted"), template)).withColumn("learned", chat.learned_text(F.col("segments"), template)).collect()
     want = {}
-    for c, t, r, x in sorted(rows, key=lambda z: (str(z[0]), z[1], z[2] or "", chr(0) if z[3] is None else z[3])):
+    for c, t, r, x in sorted(rows, key=lambda z: (str(z[0]), -1 if z[1] is None else z[1], (z[2] or "").encode(), (z[3] or "").encode())):
         want.setdefault(c, []).append((r or "", x or ""))
+    assert len(out) == len(want)
     for r in out:
-        assert sorted((x.role, x.text) for x in r.read) == sorted(want[r.conv_id])
+        assert [(x.role, x.text) for x in r.read] == want[r.conv_id]
         assert r.learned == "".join(x.text for x in r.read if x.role == "assistant")
         assert r.formatted == "".join(s.text for s in r.segments)
 
 
+@pytest.mark.parametrize(
+    "wrong",
+    [{"close": "end"}, {"after_role": " - "}, {"escapes": (("\\", "\\b"),)}, {"escapes": (("\\", "/b"), ("<", "\\l"), (":", "\\c"))}, {"titles": {"user": "U:"}}, {"titles": {"user": "X", "tool": "X"}}, {"open": "x<"}, {"escapes": (("\\", "\\e"), ("<", "\\l"), (":", "\\c"))}],
+)
+def test_templates_that_cannot_be_read_back_are_refused(wrong):
+    with pytest.raises(ValueError, match="read back"):
+        chat.Template(**wrong)
+
+
 @pytest.mark.parametrize(("roles", "bad"), [("system user assistant", None), ("user assistant user assistant", None), ("assistant", 0), ("user user", 1), ("user", 1), ("user system", 1)])
 def test_chat_machine(spark, roles, bad):
     rows = [(1, i, r, "x") for i, r in enumerate(roles.split())]
     assert chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).first().bad_turn == bad
 
 
-def test_chat_order_equals_sql(spark, tmp_path):
+def test_chat_query_equals_sql(spark, tmp_path):
     import duckdb
 
     from strata.llm import queries
 
     rng = random.Random(4)
-    rows = [(c, t, rng.choice(["user", "assistant"] * 4 + ["system", "tool", "", None]), rng.choice(["x", None])) for c in range(80) for t in range(rng.randrange(1, 5))]
-    rows += [(100, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(6)] + [(101, 0, "assistant", "x"), (102, 0, "user", "x")]
+    rows = [(c, rng.choice([t, None]), rng.choice(["user", "assistant"] * 4 + ["system", "tool:", "User", "", None]), rng.choice(["x", None, "a:<#\\\\"])) for c in range(80) for t in range(rng.randrange(1, 5))]
+    rows += [(100, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(6)] + [(101, 0, "assistant", "x"), (102, 0, "user", "x"), (103, 0, "user", "="), (103, 0, "user", "<")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
-    got = sorted(tuple(r) for r in queries.QUERIES["op10_chat_order"](spark, str(tmp_path)).collect())
-    assert got == sorted(con.execute(queries.SQL["op10_chat_order"]).fetchall())
-    assert got[-3:] == [(100, 6, None), (101, 1, 0), (102, 1, 1)]
+    got = queries.QUERIES["op10_chat_format"](spark, str(tmp_path))
+    rel = con.execute(queries.SQL["op10_chat_format"])
+    assert got.columns == [d[0] for d in rel.description]
+    got = sorted((tuple(r) for r in got.collect()), key=repr)
+    assert got == sorted(rel.fetchall(), key=repr)
+    assert {r[0]: r[6] for r in got if r[0] in (-7, 100, 101, 102)} == {-7: None, 100: None, 101: 0, 102: 1}
 
 
 def test_empty_tables(spark):
