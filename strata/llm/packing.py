@@ -1,10 +1,16 @@
 """Best-fit packing: local best fit, then a tree of merges over underfull bins.
 
-Each task tokenizes its texts and packs what isn't a whole sequence by best fit, largest first.
-Nearly full bins are final. Underfull bins go on as items of their own size: `fan` neighbouring
-tasks meet in a group, which packs their bins by best fit again, and so on until one group is
-left. A text leaves a task as numbers only. A group hands on at most `promoted` bins, the emptiest;
-the others become final as they are, so no group grows with the table.
+Texts are tokenized where they are read; what goes on are pieces as numbers. A whole sequence is
+final at once. The others are dealt by a hash of a number of their own to tasks of at most about
+`task_pieces` pieces, so every task sees the table's mix of lengths whatever the order of the
+input, and packs them by best fit, largest first. Nearly full bins are final. Underfull bins go
+on as items of their own size: `fan` tasks meet in a group, which packs their bins by best fit
+again, and so on until one group is left.
+
+After best fit no two open bins of a task fit together, so all but one are more than half full.
+Where `fan` tasks meet, a join of two bins needs one that is at most half full, and there are at most
+`fan` of these. So a task hands on its `promoted` emptiest bins, more than `fan`, without giving up
+a join, and no group grows with the table.
 """
 
 from __future__ import annotations
@@ -23,7 +29,10 @@ from strata.llm.store import materialize
 
 _ITEM = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>"
 _BIN = f"seat int, used int, sequence_id bigint, items array<{_ITEM}>"
+_ITEM_ARROW_NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
 _ITEM_ARROW = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+_PIECE = "number bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
+_PIECE_ARROW = pa.schema([("number", pa.int64()), *[(f.name, f.type) for f in _ITEM_ARROW]])
 _BIN_ARROW = pa.schema([("seat", pa.int32()), ("used", pa.int32()), ("sequence_id", pa.int64()), ("items", pa.list_(_ITEM_ARROW))])
 
 
@@ -88,12 +97,9 @@ class Packer:
             self.finish(used, items)
         del self.open[most:]
 
-    def rows(self, seat: int, last: bool) -> dict:
-        if last:
-            self.keep(0)
-        out = [(seat, used, number, items) for used, number, items in self.done] + ([] if not last and not self.open else [(seat, used, None, items) for used, items in self.open])
-        self.done = []
-        return {n: pa.array([r[i] for r in out], f.type) for i, (n, f) in enumerate(zip(_BIN_ARROW.names, _BIN_ARROW, strict=True))}
+    def table(self, seat: int) -> pa.Table:
+        out = [(seat, used, number, items) for used, number, items in self.done] + [(seat, used, None, items) for used, items in self.open]
+        return pa.table({n: pa.array([r[i] for r in out], f.type) for i, (n, f) in enumerate(zip(_BIN_ARROW.names, _BIN_ARROW, strict=True))}, schema=_BIN_ARROW)
 
 
 def pack(
@@ -107,76 +113,68 @@ def pack(
     keep_ids: bool = False,
     slack: int = 8,
     fan: int = 16,
-    pending: int = 1 << 15,
-    promoted: int = 4096,
+    task_pieces: int = 1 << 17,
+    promoted: int = 64,
 ) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids
     (little-endian unsigned 32-bit) if keep_ids.
 
     A text's tokens end with end_id; a null text is empty and so has one token. Texts longer than
     a sequence are cut into whole sequences, with the rest as first piece. Ids may be null or
-    repeat. Sequences are gapless; their numbers are unique and otherwise arbitrary. An empty
-    table gives no rows. A task packs whenever its open bins have doubled, `pending` at least, and
-    closes none but the nearly full until its last text is in: it holds the numbers of at most one
-    open bin for each half sequence of its partition (and their ids if keep_ids).
+    repeat; a repeated row is packed each time. Sequences are gapless; their numbers are unique and
+    otherwise arbitrary. An empty table gives no rows; other columns play no part. A task holds the
+    numbers of about task_pieces pieces (and their ids if keep_ids), whatever the table's size.
     """
+    if promoted <= fan:
+        raise ValueError("promoted must be more than fan")
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seat = tokens.encoder(tokenizer_path), TaskContext.get().partitionId()
-        packer, most = Packer(0, seat, length, slack), pending
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, seat, n = tokens.encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
+                rows = []
                 for key, said in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = encode(said or "")
                     ids.append(end_id)
                     load = ids.tobytes()
-                    for piece, (start, n) in enumerate(cut(len(ids), length)):
-                        own = load[4 * start : 4 * (start + n)]
-                        item = {"doc_id": key, "piece": piece, "start": start, "length": n, "ids_crc32": zlib.crc32(own), "ids": own if keep_ids else None}
-                        if n == length:
-                            packer.finish(n, [item])
-                        else:
-                            packer.open.append((n, [item]))
-                if len(packer.open) >= most:
-                    packer.pack()
-                    most = max(pending, 2 * len(packer.open))
-                if packer.done:
-                    rest, packer.open = packer.open, []
-                    yield pa.RecordBatch.from_pydict(packer.rows(seat, False), _BIN_ARROW)
-                    packer.open = rest
-        packer.pack()
-        packer.keep(promoted)
-        yield pa.RecordBatch.from_pydict(packer.rows(seat, False), _BIN_ARROW)
+                    for piece, (start, used) in enumerate(cut(len(ids), length)):
+                        own = load[4 * start : 4 * (start + used)]
+                        rows.append(((seat << 32) | n, key, piece, start, used, zlib.crc32(own), own if keep_ids else None))
+                        n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PIECE_ARROW)], schema=_PIECE_ARROW)
         give_back()
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    bins = materialize(source.mapInArrow(local, _BIN), "pack-0")
-    done, level = [bins.where("sequence_id is not null")], 0
-    loose = bins.where("sequence_id is null")
-    seats = (loose.agg(F.max("seat")).first()[0] or 0) + 1
+    pieces = materialize(source.mapInArrow(cut_up, _PIECE), "pack-pieces")
+    short = pieces.where(F.col("length") < length)
+    seats = max(1, -(-short.count() // task_pieces))
 
-    def merger(level: int, last: bool):
+    def packed(level: int, last: bool):
         def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             seat = key[0].as_py()
             packer = Packer(level, seat, length, slack)
             packer.open = list(zip(table.column("used").to_pylist(), table.column("items").to_pylist(), strict=True))
             packer.pack()
-            packer.keep(promoted)
-            return pa.table(packer.rows(seat, last), schema=_BIN_ARROW)
+            packer.keep(0 if last else promoted)
+            return packer.table(seat)
 
         return merge
 
+    dealt = short.select(
+        F.pmod(F.xxhash64("number"), F.lit(seats)).cast("int").alias("seat"), F.col("length").cast("int").alias("used"),
+        F.array(F.struct(*[F.col(c) for c in _ITEM_ARROW_NAMES])).alias("items"),
+    )
+    done, level = [], 0
     while True:
         level += 1
-        last = seats <= fan
-        groups = loose.withColumn("seat", F.floor(F.col("seat") / F.lit(fan)).cast("int")).groupBy("seat")
-        bins = materialize(groups.applyInArrow(merger(level, last), _BIN), f"pack-{level}")
+        last = seats == 1
+        bins = materialize(dealt.groupBy("seat").applyInArrow(packed(level, last), _BIN), f"pack-{level}")
         done.append(bins.where("sequence_id is not null"))
-        loose = bins.where("sequence_id is null")
         if last:
             break
         seats = -(-seats // fan)
+        dealt = bins.where("sequence_id is null").select(F.floor(F.col("seat") / F.lit(fan)).cast("int").alias("seat"), "used", "items")
     closed = done[0]
     for more in done[1:]:
         closed = closed.unionByName(more)
@@ -189,5 +187,8 @@ def pack(
         lambda acc: acc["out"],
     )
     placed = closed.select("sequence_id", F.explode(F.arrays_zip(F.col("items"), offsets.alias("offset"))).alias("x"))
-    item = [F.col(f"x.items.{c}").alias(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-    return placed.select(*item, "sequence_id", F.col("x.offset").alias("offset"), *([F.col("x.items.ids").alias("ids")] if keep_ids else []))
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", *(("ids",) if keep_ids else ()))
+    placed = placed.select(*[F.col(f"x.items.{c}").alias(c) for c in names], "sequence_id", F.col("x.offset").alias("offset"))
+    # Whole sequences have numbers below 2^58, those of packers begin there.
+    whole = pieces.where(F.col("length") == length).select(*names, F.col("number").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return whole.unionByName(placed).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else []))

@@ -121,7 +121,7 @@ def test_fast_encoder_agrees_on_every_character():
 def test_packing(spark):
     texts, t = many(n=200) * 3, plain(BYTE)
     df = spark.createDataFrame([(i if i % 50 else None, x, "c") for i, x in enumerate(texts)], "doc_id long, text string, offset string").repartition(9)
-    rows = packing.pack(df, BYTE, length=256, fan=2, pending=64, keep_ids=True).collect()
+    rows = packing.pack(df, BYTE, length=256, fan=2, task_pieces=64, promoted=8, keep_ids=True).collect()
     by_doc, by_seq = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -162,11 +162,37 @@ def test_best_fit_is_tight():
     assert len(out) <= 1.05 * sum(u for u, _ in bins) / 100
 
 
-def test_small_texts_fill_bins_of_earlier_ones(spark):
-    """In one task, more bins than it packs at once, and what fills them only after them."""
-    from strata.llm import packing, tokens
-
-    rows = [(i, "house " * (600 if i < 1024 else 400)) for i in range(2048)]
+@pytest.mark.parametrize(("order", "task_pieces", "most"), [("as given", 1 << 17, 1.0), ("as given", 500, 1.03), ("shuffled", 500, 1.03)])
+def test_packing_does_not_follow_the_order_of_the_input(spark, order, task_pieces, most):
+    """Two partitions of texts of one length each, of which one and one fill a sequence. Tasks of 500
+    have by chance a few more of one than of the other."""
+    rows = [(i, "house " * (700 if i < 1500 else 300)) for i in range(3000)]
+    if order == "shuffled":
+        random.Random(1).shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    out = packing.pack(docs, tokens.public_path("byte_bpe_50k.json"), pending=64).collect()
-    assert len(out) == 2048 and len({r.sequence_id for r in out}) == 1024
+    docs = docs.where("doc_id < 1500").unionByName(docs.where("doc_id >= 1500")) if order == "as given" else docs
+    out = packing.pack(docs, BYTE, task_pieces=task_pieces).collect()
+    assert len(out) == 3000 and len({r.sequence_id for r in out}) <= most * 1500
+
+
+def test_packing_of_repeated_rows_and_very_long_texts(spark):
+    docs = spark.createDataFrame([(7, "house " * 300)] * 400 + [(8, "stone " * 200_000), (9, "")], "doc_id long, text string")
+    out = packing.pack(docs, BYTE, task_pieces=50).collect()
+    assert sum(r.length for r in out if r.doc_id == 8) == 200_002 and sum(r.doc_id == 7 for r in out) == 400
+    by = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 1024 and sorted(o for o, _ in x) == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in by.values())
+    assert len(by) <= 1.02 * sum(r.length for r in out) / 903  # three texts of 301 fill a sequence to 903
+
+
+def test_handing_on_the_emptiest_bins_gives_up_no_join():
+    """Groups packed alone, then merged: with all bins handed on or the emptiest few, as many bins come out."""
+    rng = random.Random(3)
+    for _ in range(60):
+        groups = [[(rng.randrange(1, 101), [0]) for _ in range(rng.randrange(1, 60))] for _ in range(4)]
+        packed = [packing.best_fit(g, 100) for g in groups]
+        every = packing.best_fit([b for g in packed for b in g], 100)
+        few = [sorted(g, key=lambda b: b[0]) for g in packed]
+        some = packing.best_fit([b for g in few for b in g[:8]], 100)
+        assert len(every) == len(some) + sum(len(g[8:]) for g in few)
