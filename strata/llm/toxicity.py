@@ -120,7 +120,7 @@ def fit(text: np.ndarray, gram: np.ndarray, positive: np.ndarray, n_grams: int,
     return w, float(b)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, positives: int, unlabelled: int, chosen: int, least_gain: float = 8.0, seed: int = 0) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, positives: int, unlabelled: int, chosen: int, seed: int = 0) -> Model | None:
     known = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("id"), "toxic")
     n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     n_docs = docs.count()
@@ -150,6 +150,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, positiv
                 p = np.add.reduceat(is_pos.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(value[first].astype(np.int64)), pa.array(p), pa.array(both - p)], ["gram", "p", "u"])
 
+    # The more positives, the more grams there are to stand out by chance; beyond the bar, chance is rare.
+    bar = min(8.0, 4.0 + float(np.log(max(1, n_pos))))
     fp = F.sum("p") / F.lit(float(max(1, n_pos)))
     fu = F.sum("u") / F.lit(float(max(1, n_unl)))
     # How far the positives that have a gram exceed what unlabelled texts let expect, as a log
@@ -157,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str, text: str, positiv
     expected = F.lit(float(n_pos)) * F.greatest(fu, F.lit(0.5 / max(1, n_unl)))
     gain = F.sum("p") * F.log(F.sum("p") / expected) - (F.sum("p") - expected)
     stats = sample.mapInArrow(count, "gram long, p long, u long").groupBy("gram").agg(F.sum("p").alias("n"), gain.alias("gain"), (fp / F.greatest(fu, F.lit(1e-9))).alias("lift"))
-    best = stats.where((F.col("n") >= 3) & (F.col("gain") >= least_gain) & (F.col("lift") >= 3.0)).orderBy(F.desc("gain"), "gram").limit(chosen)
+    best = stats.where((F.col("n") >= 3) & (F.col("gain") >= bar) & (F.col("lift") >= 3.0)).orderBy(F.desc("gain"), "gram").limit(chosen)
     table = np.sort(best.select("gram").toArrow().column(0).to_numpy().astype(np.uint64))
     if not len(table):
         return None
@@ -199,8 +201,13 @@ def toxicity(
 
     Learned from labels (doc_id, toxic) outside the held-out third: of them only who is toxic and
     the share that is. Bounds of the sample: about `positives` toxic and 1.5 * `unlabelled` other
-    texts, `chosen` grams. A null text counts as empty. Without a toxic label all scores are 0.
-    The score reads the text only. Columns of docs stay; one named tox_score is overwritten.
+    texts, `chosen` grams. A null text counts as empty. A gram is chosen if three toxic texts have it
+    and it stands out from the unlabelled: without such a gram (fewer than three toxic texts, or toxic
+    texts with nothing in common) there is nothing to learn and all scores are 0. Of a hundred toxic
+    texts or fewer, what marks only a few of them is not learned. Texts with the same grams have the
+    same score; rows with equal ids are scored each by its text, a label counts for all of them.
+    An empty table gives no rows. The score reads the text only. Columns of docs stay; one named
+    tox_score is overwritten.
     """
     model = learn(docs, labels, doc_id=doc_id, text=text, positives=positives, unlabelled=unlabelled, chosen=chosen)
     kept = [c for c in docs.columns if c != "tox_score"]

@@ -61,6 +61,41 @@ def test_toxicity_held_out(spark):
     assert len(out) > 1000 and (p & y).sum() >= 0.85 * y.sum() and (p & ~y).sum() <= 0.02 * (~y).sum()
 
 
+@pytest.mark.parametrize(("sf", "least", "most"), [("sf0.001", 2, 0), ("sf0.01", 13, 0)])
+def test_toxicity_from_few_labels(spark, sf, least, most):
+    """6 and 33 toxic texts to learn from, 5 and 18 held out, some in languages of which one or two are known."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.toxicity(docs.select("doc_id", "text"), labels).join(labels, "doc_id").where(language.held_out("doc_id")).toPandas()
+    y, p = out.toxic.to_numpy() == 1, out.tox_score.to_numpy() >= 0.7
+    assert (p & y).sum() >= least and (p & ~y).sum() <= most
+
+
+def test_toxicity_of_fewer_than_three_and_of_repeated_rows(spark):
+    rows = [(i % 40, f"nice text {i % 40} " + ("awfulword " if i % 20 == 0 else "")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = spark.createDataFrame(rows[:40], "doc_id long, text string")
+    out = toxicity.toxicity(once, spark.createDataFrame([(0, 1), (20, 1), (1, 0)], "doc_id long, toxic int")).collect()
+    assert len(out) == 40 and {r.tox_score for r in out} == {0.0}
+    many = toxicity.toxicity(docs, spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(40)], "doc_id long, toxic int")).collect()
+    assert len(many) == 80 and all(len({r.tox_score for r in many if r.doc_id == i}) == 1 for i in range(40))
+
+
+def test_scores_are_the_model_over_the_grams_of_each_text():
+    import pyarrow as pa
+
+    from strata.llm import words as W
+
+    texts = ["Some, words here.", "", None, "other words", "Some"]
+    value, _ = toxicity.grams(*W.text_bytes(pa.array(["some words"])))
+    chosen = np.unique(value)[::2]
+    model = toxicity.Model(chosen, np.linspace(-1, 1, len(chosen)), 0.25)
+    got = model.scores(*W.text_bytes(pa.array(texts)))
+    for t, g in zip(texts, got, strict=True):
+        own = set(toxicity.grams(*W.text_bytes(pa.array([t])))[0].tolist())
+        z = 0.25 + sum(w for c, w in zip(chosen.tolist(), model.weights, strict=True) if c in own)
+        assert abs(g - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_toxicity_of_odd_rows(spark):
     rows = [(i, ("nice text here " + ("awfulword " if i % 3 == 0 else "")) * 3) for i in range(90)] + [(1000, None), (1001, ""), (None, "awfulword")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, tox_score string")
