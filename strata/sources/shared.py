@@ -20,11 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own for one table."""
+    return f"{shared_folder(spark).rstrip('/')}/strata/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: its lineage is cut, and a lost
     executor costs no more than the files it had not yet read."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/strata/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
