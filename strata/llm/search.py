@@ -7,13 +7,16 @@ n(m m' + s s'): a short inner product of statistics. Levels go from coarse to fi
 bound is below what its query already has k times is dropped, and exact integer products are
 computed for the survivors.
 
-Queries are taken in blocks of bounded size; a block is broadcast and the table streams past it
-once, so nothing that is broadcast or held grows with the table. Each task returns its best k of
-every query, and a window keeps the best k of those.
+Queries are taken in blocks of at most about `block_bytes`; one block at a time is broadcast and
+the table streams past it, so what is broadcast or held doesn't grow with the table. Each query
+starts with a bar, the k-th score that it has in a bounded sample of the table, and no pair whose
+bound is below its bar goes on. Each task returns its best k of every query, and a window keeps
+the best k of those.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.llm.store import folder, materialize
+
 _SAFE = 1 << 20
+#: Queries that are held against a batch of the table at once.
+_STRIP = 2048
 
 
 def levels(dim: int) -> list[np.ndarray]:
     """Starts of the segments of each level: 1, 4, 16, ... segments of 4 components at least."""
     out, n = [], 1
-    while n == 1 or dim // n >= 4:
+    while dim and (n == 1 or dim // n >= 4):
         out.append(np.unique(np.linspace(0, dim, n + 1).astype(int)[:-1]))
         n *= 4
     return out
@@ -52,7 +59,7 @@ def quantized(column: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, tuple
     owner = np.repeat(np.arange(len(column)), lengths)
     bad = np.zeros(len(column), bool)
     bad[owner[~np.isfinite(raw)]] = True
-    valid &= ~bad & (lengths > 0)
+    valid &= ~bad
     begins = np.cumsum(lengths) - lengths
     out = {}
     for n in np.unique(lengths[valid]).tolist():
@@ -70,7 +77,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The best k of each query of one block, against batches of vectors of one length."""
+    """The best k of each of some queries of one length, against batches of vectors of that length."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
@@ -78,6 +85,18 @@ class Best:
         self.stats = [statistics(vectors, s) for s in self.starts]
         self.query, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
         self.least = np.full(len(ids), -np.inf)
+        self.largest = float(np.abs(vectors).max(initial=0))
+
+    def bar(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Raises each query's bar to the k-th score that it has among these rows of the table."""
+        if len(ids) <= self.k or not self.exact(vectors):
+            return
+        score = np.where(self.ids[:, None] == ids[None, :], -np.inf, self.vectors @ vectors.T)
+        self.least = np.maximum(self.least, -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1])
+
+    def exact(self, vectors: np.ndarray) -> bool:
+        """Whether sums of products of doubles are exact."""
+        return self.largest * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1]) < 1 << 53
 
     def take(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         q, i, s = np.r_[self.query, query], np.r_[self.id, ids], np.r_[self.score, score]
@@ -87,73 +106,101 @@ class Best:
         keep = rank < self.k
         self.query, self.id, self.score = q[keep], i[keep], s[keep]
         full = rank == self.k - 1
-        self.least[q[full]] = s[full]
+        self.least[q[full]] = np.maximum(self.least[q[full]], s[full])
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        own = self.ids[:, None] == ids[None, :]
-        alive, norm = ~own, np.abs(vectors).max(initial=1.0) * np.abs(self.vectors).max(initial=1.0)
-        margin = 1e-9 * norm * vectors.shape[1] + 1e-6
-        bound = None
+        alive = self.ids[:, None] != ids[None, :]
+        margin = 1e-9 * max(1.0, self.largest) * np.abs(vectors).max(initial=1.0) * vectors.shape[1] + 1e-6
         for starts, mine in zip(self.starts, self.stats, strict=True):
             theirs = statistics(vectors, starts)
-            if bound is None or alive.mean() > 0.05:
-                bound = mine @ theirs.T + margin
-                alive &= bound >= self.least[:, None]
+            if alive.mean() > 0.05:
+                alive &= mine @ theirs.T + margin >= self.least[:, None]
             else:
                 q, i = np.nonzero(alive)
                 alive[q, i] = np.einsum("ij,ij->i", mine[q], theirs[i]) + margin >= self.least[q]
-        if len(ids) > 4 * self.k:
-            # What the best bounds really score raises the bar for the rest.
-            likely = np.argpartition(np.where(alive, bound, -np.inf), -2 * self.k, axis=1)[:, -2 * self.k :]
-            q = np.repeat(np.arange(len(self.ids)), likely.shape[1])
-            i = likely.ravel()
-            use = alive[q, i]
-            q, i = q[use], i[use]
-            self.take(q, ids[i], products(self.vectors[q], vectors[i]))
-            alive[q, i] = False
-            alive &= bound >= self.least[:, None]
+        if alive.mean() > 0.01 and self.exact(vectors):
+            # So many survivors that one product of matrices, exact for these numbers, is the cheapest way.
+            score = np.where(alive, self.vectors @ vectors.T, -np.inf)
+            if len(ids) > self.k:
+                alive &= score >= -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            q, i = np.nonzero(alive & (score >= self.least[:, None]))
+            for a in range(0, len(q), 1 << 20):
+                x, y = q[a : a + (1 << 20)], i[a : a + (1 << 20)]
+                self.take(x, ids[y], score[x, y].astype(np.int64))
+            return
         q, i = np.nonzero(alive)
         for a in range(0, len(q), 1 << 17):
             x, y = q[a : a + (1 << 17)], i[a : a + (1 << 17)]
             self.take(x, ids[y], products(self.vectors[x], vectors[y]))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding", block_queries: int = 2048) -> DataFrame:
+def top_k(
+    vectors: DataFrame, queries: DataFrame, *, k: int = 10, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding",
+    block_bytes: int = 32 << 20, sample: int = 4096,
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k highest scores among vectors.
 
     Components become floor(scale * x); the score is their inner product. Ties go to the smaller
-    id; a vector with the query's own id is no candidate. Vectors that are null or empty, or hold
-    a null or non-finite component, take no part, on either side, nor do rows with a null id; vectors are compared with those of
-    the same length. Rows of queries with the same id count once; repeated rows of vectors are
-    candidates each. Scores beyond 64 bits are cut to them.
+    id; a vector with the query's own id is no candidate. Vectors that are null, or hold a null or
+    non-finite component, take no part, on either side, nor do rows with a null id; vectors are
+    compared with those of the same length, empty ones with empty ones (score 0). Of rows of queries
+    with the same id the least vector asks; repeated rows of vectors are candidates each. Scores
+    beyond 64 bits are cut to them. An empty table gives no rows; other columns play no part.
+
+    About `sample` vectors, drawn by a hash of the id, set the bars; the result doesn't depend on them.
     """
     spark = vectors.sparkSession
-    asked = queries.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v")).dropDuplicates(["id"])
-    n = asked.count()
-    blocks = max(1, -(-n // block_queries))
-    source = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"))
+    plain = lambda df: df.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"))
+    source = plain(vectors)
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    asked = plain(queries).where(finite).groupBy("id").agg(F.min("v").alias("v"))
+    loaded = F.sum(F.size("v") * 8 + 16)
+    n_bytes = asked.agg(loaded).first()[0] or 0
+    blocks = max(1, -(-n_bytes // block_bytes))
+    if blocks > 1:
+        asked = materialize(asked, "top-k-asked")
+    n_rows = source.count()
+    # No more than the wanted number of rows, whatever ids repeat.
+    drawn = F.abs(F.xxhash64(F.lit(7), "id", F.xxhash64("v")).cast("double")) / F.lit(2.0**63)
+    some = source.where(finite & (drawn < min(1.0, sample / max(1, n_rows)))).limit(2 * sample).toArrow()
+    _, some_by = quantized(some.column("v"), scale) if some.num_rows else (None, {})
+    some_ids = some.column("id").to_numpy() if some.num_rows else None
+    sampled = {d: (some_ids[at], x) for d, (at, x) in some_by.items()}
     schema = "query_id long, vec_id long, score long"
-    found = None
-    for b in range(blocks):
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def best_of(b: int):
+        """(broadcast, ranked rows) of one block of queries."""
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
         ids = block.column("id").to_numpy()
-        _, by_length = quantized(block.column("v"), scale) if len(ids) else (None, {})
-        shared = spark.sparkContext.broadcast({d: (ids[at], x) for d, (at, x) in by_length.items()})
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = {d: Best(i, x, k) for d, (i, x) in shared.value.items()}
+        by_length = quantized(block.column("v"), scale)[1] if len(ids) else {}
+        shared = spark.sparkContext.broadcast(({d: (ids[at], x) for d, (at, x) in by_length.items()}, {d: sampled[d] for d in by_length if d in sampled}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted, bars = shared.value
+            best = {d: [Best(i[a : a + _STRIP], x[a : a + _STRIP], k) for a in range(0, len(i), _STRIP)] for d, (i, x) in wanted.items()}
+            for d, (i, x) in bars.items():
+                for strip in best[d]:
+                    for a in range(0, len(i), 2048):
+                        strip.bar(i[a : a + 2048], x[a : a + 2048])
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
                     ids = part.column(0).to_numpy()
                     for d, (rows, x) in quantized(part.column(1), scale)[1].items():
-                        if d in best:
-                            best[d].add(ids[rows], x)
-            for x in best.values():
+                        for strip in best.get(d, ()):
+                            strip.add(ids[rows], x)
+            for x in itertools.chain.from_iterable(best.values()):
                 yield pa.RecordBatch.from_arrays([pa.array(x.ids[x.query]), pa.array(x.id), pa.array(x.score)], ["query_id", "vec_id", "score"])
 
-        part = source.mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        ranked = source.mapInArrow(run, schema).withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+        return shared, ranked.select("query_id", "rank", "vec_id", "score")
+
+    if blocks == 1:
+        return best_of(0)[1]
+    path = folder(spark, "top-k")
+    for b in range(blocks):
+        shared, ranked = best_of(b)
+        ranked.write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(ranked.schema).parquet(path)

@@ -15,9 +15,14 @@ WORD, BYTE = tokens.public_path("word_bpe_49k.json"), tokens.public_path("byte_b
 
 
 def brute_top(rows, asked, k, scale):
-    ok = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v) and i is not None]
+    ok = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v) and i is not None]
+    least = {}
+    for i, v in rows:
+        if (i, v) and i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and asked(i):
+            least[i] = min(least.get(i, v), v)
     out = []
-    for q, v in {i: v for i, v in ok if asked(i)}.items():
+    for q, raw in least.items():
+        v = [math.floor(scale * x) for x in raw]
         cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
         found = sorted((-cut(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in ok if i != q and len(w) == len(v))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
@@ -25,13 +30,33 @@ def brute_top(rows, asked, k, scale):
 
 
 @pytest.mark.parametrize("dim", [1, 5, 64])
-def test_top_k(spark, dim):
+@pytest.mark.parametrize(("block_bytes", "sample"), [(600, 5), (1 << 20, 200)])
+def test_top_k(spark, dim, block_bytes, sample):
     rng = np.random.default_rng(dim)
     rows = [(i, rng.normal(0, 0.3, dim).round(1 if dim < 64 else 7).tolist()) for i in range(400)]
-    rows += [(1000, None), (1001, []), (1002, [None] * dim), (1003, [float("nan")] * dim), (1004, [float("inf")] + [0.0] * (dim - 1)), (None, [0.1] * dim), (1006, [0.5] * (dim + 1)), (1007, rows[3][1]), (1010, [0.0] * dim)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    got = search.top_k(df, df.where("vec_id % 10 = 0"), k=7, block_queries=16).collect()
-    assert sorted(tuple(r) for r in got) == brute_top(rows, lambda i: i is not None and i % 10 == 0, 7, 1024)
+    rows += [(1000, None), (1001, []), (1020, []), (1030, []), (1002, [None] * dim), (1003, [float("nan")] * dim), (1004, [float("inf")] + [0.0] * (dim - 1)), (None, [0.1] * dim), (1006, [0.5] * (dim + 1)), (1007, rows[3][1]), (1010, [0.0] * dim)]
+    rows += [(20, [0.25] * dim), (20, None), (30, rows[30][1]), (41, [1.5] * dim), (41, [1.5] * dim)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string").repartition(3)
+    got = search.top_k(df, df.where("vec_id % 10 = 0"), k=7, block_bytes=block_bytes if dim < 64 else 20 * block_bytes, sample=sample).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(rows, lambda i: i % 10 == 0, 7, 1024)
+
+
+def test_top_k_of_copies(spark):
+    """A third of the rows are one vector: ties beyond k go to the smaller ids."""
+    rng = np.random.default_rng(1)
+    rows = [(i, [0.5] * 8 if i % 3 == 0 else rng.normal(0, 0.3, 8).round(2).tolist()) for i in range(2400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    got = search.top_k(df, df.where("vec_id % 100 = 0"), k=10, sample=64).collect()
+    assert sorted(tuple(r) for r in got) == brute_top(rows, lambda i: i % 100 == 0, 10, 1024)
+
+
+def test_a_bar_is_a_score_that_the_table_has():
+    rng = np.random.default_rng(2)
+    x = np.floor(1024 * rng.normal(0, 1, (500, 16)))
+    best = search.Best(np.arange(20), x[:20], 5)
+    best.bar(np.arange(100, 200), x[100:200])
+    want = np.sort(x[:20] @ x.T - np.eye(20, 500) * 1e12, axis=1)[:, -5]
+    assert (best.least <= want).all() and np.isfinite(best.least).all()
 
 
 def test_top_k_of_large_numbers(spark):
