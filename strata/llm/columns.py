@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strata.functions.columns import once
+
+__all__ = ["SPACE", "WORD_CHAR", "let", "matches", "once", "words_of"]
+
 #: Characters that separate words: the space and the six controls from tab on.
 SPACE = r"[\x20\x09-\x0D]"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -21,15 +25,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def once(docs: DataFrame, value: Column, name: str) -> DataFrame:
-    """docs plus a column whose value is computed once for each row.
-
-    Of a generator's output no filter or later column can pull the expression behind it down
-    or repeat it, as the optimizer does with the columns of a projection.
-    """
-    return docs.select("*", F.explode(F.array(value)).alias(name))
-
-
 def words_of(text: Column) -> Column:
     """The maximal runs of characters other than SPACE, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), "")
@@ -39,7 +34,3 @@ def matches(text: Column, regex: str) -> Column:
     """How often regex matches: the parts that it cuts the text into, less one. On long texts this takes
     a small part of the time of regexp_count."""
     return F.size(F.split(text, regex, -1)) - 1
-
-
-def spaces_in(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -139,12 +140,54 @@ def brute_unsuppressed(found):
 def test_license_suppression(spark):
     rng = random.Random(3)
     cases = [[(s := rng.randrange(12), s + rng.randrange(1, 6), rng.randrange(3), k) for k in range(rng.randrange(9))] for _ in range(60)]
+    cases += [[(s := rng.randrange(900), s + rng.randrange(1, 9), rng.randrange(3), k) for k in range(700)]]
     kind = "id long, ds array<struct<start:int,end:int,priority:int,ord:int,label:string,score:double>>"
     df = spark.createDataFrame([(i, [(*d, "x", 1.0) for d in c]) for i, c in enumerate(cases)], kind)
-    for r in df.select("id", licenses.unsuppressed(F.col("ds")).alias("k")).collect():
+    for r in df.select("id", licenses.unsuppressed(F.col("ds"), (0, 1, 2)).alias("k")).collect():
         assert sorted((d.start, d.end, d.priority, d.ord) for d in r.k) == brute_unsuppressed(cases[r.id])
 
 
+def brute_scan(text, rules):
+    """Detections by trying every rule at every text, without keywords or anchors."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    padded, found = " " + " ".join(words) + " ", []
+    for k, r in enumerate(rules):
+        for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", padded):
+            start = padded.count(" ", 0, m.start()) - 1
+            found.append((start, start + 1 + m[0].count(" "), r.priority, k))
+    return [(rules[k].label, s, e, p) for s, e, p, k in brute_unsuppressed(found)]
+
+
+def test_license_labels_equal_a_scan_by_all_rules(spark):
+    rng, rules = random.Random(9), licenses.build_rules()
+    said = [x for r in rules for x in spelled(re._parser.parse(r.regex))[:12]]
+    filler = ["the", "plain", "license", "gnu", "v2", "2", "0", "or", "later", "only", "software", "é", "plate"]
+    texts = said[::9] + [" ".join(rng.choice([rng.choice(said), rng.choice(filler)]) + rng.choice(["", ",", " -", "\n"]) for _ in range(rng.randrange(1, 14))).title() for _ in range(250)]
+    out = licenses.scan(docs(spark, texts).repartition(4)).select("doc_id", "lic_detections").collect()
+    for r in out:
+        assert sorted((d.label, d.start, d.end, d.priority) for d in r.lic_detections) == sorted(brute_scan(texts[r.doc_id], rules)), texts[r.doc_id]
+
+
+def test_license_rules_are_written_by_hand():
+    assert len(licenses.NAMED) + len(licenses.SAID) + len(licenses.SENTENCES) + len(licenses.SINGLE) + len(licenses.VERSIONED) > 250
+
+
+def test_license_scan_of_a_text_with_very_many_matches(spark):
+    n = 20_000
+    text = "MIT License. GPLv3, all rights reserved; " * n
+    began = time.perf_counter()
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    took = time.perf_counter() - began
+    assert (r.lic_n_words, len(r.lic_base), len(r.lic_detections)) == (6 * n, n, 3 * n)
+    assert (r.lic_base[-1].start, r.lic_detections[-1].start, r.lic_labels) == (6 * n - 6, 6 * n - 3, "all-rights-reserved,gpl-3.0,mit")
+    assert took < 60
+
+
+def test_license_rows_that_repeat(spark):
+    out = licenses.scan(spark.createDataFrame([(1, "MIT license", "x"), (1, "MIT license", "x"), (None, "GPLv2", "y")], "doc_id long, text string, lic_labels string")).collect()
+    assert sorted((r.doc_id or 0, r.lic_labels) for r in out) == [(0, "gpl-2.0"), (1, "mit"), (1, "mit")]
+
+
 TEMPLATES = [
     chat.Template(),
     chat.Template(open="<|im_start|>", after_role="\n", close="<|im_end|>\n", escapes=(("\\", "\\b"), ("<", "\\l"), ("\n", "\\n"))),
