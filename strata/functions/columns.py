@@ -53,8 +53,19 @@ def last_number(text: Column) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)"), F.lit(1)), F.lit(-1)).cast("double")
 
 
+# What the paths of tests look like to a reading of a change, and to a reading of a context.
+TEST_PATH = r"\.(test|spec)\.[mc]?[jt]sx?$|(^|/)__tests__/|(^|/)test_[^/]*\.py$|_test\.py$"
+TEST_LIKE = r"(^|/)(__tests__|test|tests)(/|$)|\.(test|spec)\.[^/]+$"
+
+
 def is_test_path(path: Column) -> Column:
-    return F.coalesce(path.rlike(r"(^|/)(__tests__|tests?|spec)/|[._-](test|spec)\.[A-Za-z]+$|(^|/)test_[^/]*\.py$|_test\.py$"), F.lit(False))
+    return F.coalesce(path.rlike(TEST_PATH), F.lit(False))
+
+
+def looks_like_test(path: Column) -> Column:
+    """In any case of letters; a component's spec in markdown isn't a test."""
+    p = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    return F.coalesce(~p.endswith(".spec.md") & p.rlike(TEST_LIKE), F.lit(False))
 
 
 def glob_regex(glob: str) -> str:

@@ -2,41 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import glob_regex, is_test_path, sorted_set
-from strata.operators.claims import boundary, grade, normalized, parity
+from strata.functions.columns import glob_regex, looks_like_test, sorted_set
+from strata.operators.claims import CONFORMS, boundary, containing, form, grade, normalized, parity
+from strata.operators.graph import ENDED, graph_problems, overlaps, readiness, root_of
+from strata.sources.shared import materialize
 
-# Which names of functions are taken for guards unless told otherwise.
-GUARD = r"^(assert|ensure|require|verify|check|guard|validate|authorize|enforce)[A-Z_]"
-DECLARED = r"(?:function\s+([A-Za-z_$][\w$]*)\s*\(|def\s+([A-Za-z_]\w*)\s*\()"
+# How names of guards begin, and how functions are declared.
+GUARD = r"^(is|has|can|should|assert|verify|check|validate|ensure|require|deny|refuse|reject|gate|seal|sanitiz|escape|guard|enforce|redact|mint|scope)"
+DECLARED = r"(?:export\s+)?(?:async\s+)?function\s+([a-zA-Z_]\w*)\s*\(|(?:export\s+)?const\s+([a-zA-Z_]\w*)\s*=\s*(?:async\s*)?\("
+#: A test that says it covers everything.
+TOTALITY = r"(?i)(?:describe|it)\s*\(\s*[\"'`][^\"'`]*totality"
 
 
-def guard_calls(sources: DataFrame, verb: str = GUARD) -> DataFrame:
-    """(name, sites): guards that sources(path, text) declare, and how often others call them.
+def guard_calls(sources: DataFrame, verb: str = GUARD, seed: tuple[str, ...] = ()) -> DataFrame:
+    """(name, sites): guards that sources(path, text) declare, or that `seed` names among the declared,
+    and how often they are called: `name(` less `function name(`.
 
     Names are found once; calls are all `name(` of all texts, counted by name and joined, so no text
     is searched once for each guard.
     """
     declared = sources.select(F.explode(F.regexp_extract_all("text", F.lit(DECLARED), F.lit(0))).alias("d"))
     name = F.coalesce(F.nullif(F.regexp_extract("d", DECLARED, 1), F.lit("")), F.regexp_extract("d", DECLARED, 2))
-    declared = declared.select(name.alias("name")).groupBy("name").agg(F.count("*").alias("declarations")).where(F.col("name").rlike(verb))
-    calls = sources.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_$][\w$]*)\s*\("), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("calls"))
-    return declared.join(calls, "name").select("name", (F.col("calls") - F.col("declarations")).alias("sites"))
+    declared = declared.select(name.alias("name")).distinct().where(F.col("name").rlike(verb) | F.col("name").isin(*seed))
+    said = lambda regex, n: sources.select(F.explode(F.regexp_extract_all("text", F.lit(regex), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias(n))
+    calls, heads = said(r"\b([A-Za-z_]\w*)\s*\(", "calls"), said(r"function\s+([A-Za-z_]\w*)\s*\(", "heads")
+    rows = declared.join(calls, "name", "left").join(heads, "name", "left")
+    return rows.select("name", (F.coalesce("calls", F.lit(0)) - F.coalesce("heads", F.lit(0))).alias("sites"))
+
+
+def totality_names(tests: DataFrame) -> DataFrame:
+    """(name): the words of tests(text) that say they cover everything."""
+    return tests.where(F.col("text").rlike(TOTALITY)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\w+)\b"), F.lit(1)))).alias("name")).distinct()
 
 
 def conventions(calls: DataFrame, anchored: DataFrame, oracles: DataFrame, dismissed: DataFrame) -> DataFrame:
-    """calls plus status: dismissed, anchored (a boundary names it), oracle (a totality test does), single or convention."""
+    """calls plus status: dismissed, ANCHORED (a boundary names it), ORACLE (a totality test does), single
+    or CONVENTION; guards that nothing calls are left out."""
     mark = lambda d, n: d.select("name").distinct().withColumn(n, F.lit(True))
     rows = calls.where("sites >= 1").join(mark(dismissed, "d"), "name", "left").join(mark(anchored, "a"), "name", "left").join(mark(oracles, "o"), "name", "left")
-    status = F.when(F.col("d"), "dismissed").when(F.col("a"), "anchored").when(F.col("o"), "oracle").when(F.col("sites") <= 1, "single").otherwise("convention")
+    status = F.when(F.col("d"), "dismissed").when(F.col("a"), "ANCHORED").when(F.col("o"), "ORACLE").when(F.col("sites") <= 1, "single").otherwise("CONVENTION")
     return rows.select("name", "sites", status.alias("status"))
 
 
 def convention_ratchet(now: DataFrame, pinned: DataFrame) -> DataFrame:
     """(name, sites, pinned): conventions that are new or have more sites than pinned(name, sites)."""
-    rows = now.where("status = 'convention'").join(pinned.select("name", F.col("sites").alias("pinned")), "name", "left")
+    rows = now.where("status = 'CONVENTION'").join(pinned.select("name", F.col("sites").alias("pinned")), "name", "left")
     return rows.where(F.col("pinned").isNull() | (F.col("sites") > F.col("pinned"))).select("name", "sites", "pinned")
 
 
@@ -167,55 +182,135 @@ def experiments(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.select("experiment", "session", "ordinal", "outcome", F.col("closes").isNotNull().alias("closed")), lost.unionByName(twice).unionByName(gaps).distinct()
 
 
-# The states that a piece of work may go to from each state.
-MOVES = {"planned": ("active", "blocked", "cancelled"), "active": ("blocked", "completed", "cancelled"), "blocked": ("active", "cancelled"), "completed": (), "cancelled": ()}
+# The states of open work and those that it may go to from each; an end may follow any of them.
+MOVES = {"open": ("active", "blocked"), "active": ("open", "blocked"), "blocked": ("open", "active")}
 
 
-def work_history(events: DataFrame) -> DataFrame:
-    """(work, state, owner, steps, problem) of events(work, event, id, previous, from, to, owner).
+def work_history(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items(work, state, owner, last, steps, closed), problems(work, id, code)) of events(work, event, id,
+    previous, from, to, owner, from_owner, to_owner) with ids of their own.
 
-    The chain of a work starts at its opened event and follows previous ids. A second event after the
-    same one is a fork, an event that the chain doesn't reach is unreachable, a step that isn't a
-    move from the state it finds is illegal. Events of one work are folded in one row.
+    A work has one opened event, from which its chain follows previous ids up to the first fork. openings:
+    not one opened event; missing-predecessor, foreign-predecessor: previous is no event, or one of
+    another work; fork: several follow one event (id); unreachable: not on the chain; after-closure;
+    from, move, no-op: a step that isn't from the standing state, isn't among MOVES, or goes nowhere; owner,
+    no-op-handoff: handed off by another than the standing owner, or to the same. The chain's order comes from
+    doubled pointers, the standing state from a window, so no work has to fit one row. Works with other
+    than one opened event have no item.
     """
-    e = events.select("work", F.struct("id", "previous", "event", "from", "to", "owner").alias("e"))
-    by = e.groupBy("work").agg(F.collect_list("e").alias("es"))
-    start = F.get(F.filter("es", lambda x: x["event"] == "opened"), F.lit(0))
-    first = F.struct(start["id"].alias("at"), start["to"].alias("state"), start["owner"].alias("owner"), F.lit(1).alias("steps"), F.lit(False).alias("illegal"))
-
-    def step(acc: Column, _: Column) -> Column:
-        nxt = F.get(F.filter("es", lambda x: x["previous"] == acc["at"]), F.lit(0))
-        legal = F.lit(False)
-        for state, after in MOVES.items():
-            legal = legal | ((acc["state"] == state) & nxt["to"].isin(*after)) if after else legal
-        bad = (nxt["event"] != "handed-off") & ~(legal & (nxt["from"] == acc["state"]))
-        moved = F.struct(nxt["id"].alias("at"), F.coalesce(nxt["to"], acc["state"]).alias("state"), F.coalesce(nxt["owner"], acc["owner"]).alias("owner"), (acc["steps"] + 1).alias("steps"), (acc["illegal"] | F.coalesce(bad, F.lit(True))).alias("illegal"))
-        return F.when(nxt.isNull(), acc).otherwise(moved)
-
-    rows = by.withColumn("w", F.aggregate("es", first, step))
-    prior = F.filter(F.transform("es", lambda x: x["previous"]), lambda p: p.isNotNull())
-    fork = F.size(prior) != F.size(F.array_distinct(prior))
-    problem = F.when(start.isNull(), "unopened").when(fork, "fork").when(F.col("w.steps") < F.size("es"), "unreachable").when(F.col("w.illegal"), "illegal")
-    return rows.select("work", F.col("w.state").alias("state"), F.col("w.owner").alias("owner"), F.col("w.steps").alias("steps"), problem.alias("problem"))
+    names = ("event", "id", "previous", "from", "to", "owner", "from_owner", "to_owner")
+    by = events.groupBy("work").agg(F.count_if(F.col("event") == "opened").alias("openings"))
+    problems = [by.where("openings <> 1").select("work", F.lit(None).cast(dict(events.dtypes)["id"]).alias("id"), F.lit("openings").alias("code"))]
+    e = events.join(by.where("openings = 1").select("work"), "work").select("work", *names)
+    ahead = events.select(F.col("id").alias("previous"), F.col("work").alias("before"))
+    e = materialize(e.join(ahead, "previous", "left").select("work", *names, "before"), "work-events")
+    later = e.where("event <> 'opened'")
+    code = lambda df, c: df.select("work", "id", F.lit(c).alias("code"))
+    problems += [code(later.where("before is null"), "missing-predecessor"), code(later.where("before <> work"), "foreign-predecessor")]
+    up = F.when((F.col("event") != "opened") & (F.col("before") == F.col("work")), F.col("previous"))
+    placed = root_of(e.select("id", up.alias("parent"))).join(e.where("event = 'opened'").select(F.col("id").alias("root")), "root", "left_semi").select("id", F.col("hops").alias("pos"))
+    rows = e.join(placed, "id", "left")
+    forks = rows.where("pos is not null").groupBy("work", "pos").agg(F.count("*").alias("n"), F.min("previous").alias("at")).where("n > 1").groupBy("work").agg(F.min(F.struct("pos", "at")).alias("fork"))
+    rows = rows.join(forks, "work", "left").withColumn("on", F.coalesce(F.col("pos") < F.col("fork.pos"), F.col("pos").isNotNull()))
+    problems += [forks.select("work", F.col("fork.at").alias("id"), F.lit("fork").alias("code")), code(rows.where("not on"), "unreachable")]
+    before = Window.partitionBy("work").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    standing = lambda value, events_: F.last(F.when(F.col("event").isin(*events_), F.col(value)), ignorenulls=True).over(before)
+    chain = rows.where("on").withColumns({
+        "ended": F.coalesce(F.max(F.col("event") == "closed").over(before), F.lit(False)),
+        "state": F.coalesce(standing("to", ("transitioned", "closed")), F.lit("open")),
+        "holder": F.coalesce(standing("to_owner", ("handed-off",)), F.first("owner", ignorenulls=True).over(before)),
+    })
+    problems.append(code(chain.where("ended"), "after-closure"))
+    live = chain.where("not ended")
+    legal = F.lit(False)
+    for state, after in MOVES.items():
+        legal = legal | ((F.col("from") == state) & F.col("to").isin(*after))
+    moved, handed = live.where("event = 'transitioned'"), live.where("event = 'handed-off'")
+    problems += [
+        code(live.where("event in ('transitioned', 'closed') and not `from` <=> state"), "from"), code(moved.where(F.col("from").eqNullSafe(F.col("to"))), "no-op"),
+        code(moved.where(~F.col("from").eqNullSafe(F.col("to")) & ~F.coalesce(legal, F.lit(False))), "move"), code(handed.where("not from_owner <=> holder"), "owner"),
+        code(handed.where("from_owner <=> to_owner"), "no-op-handoff"),
+    ]
+    last = lambda value, events_: F.max_by(F.when(F.col("event").isin(*events_) & ~F.col("ended"), F.col(value)), F.when(F.col("event").isin(*events_) & ~F.col("ended"), F.col("pos")))
+    items = chain.groupBy("work").agg(
+        F.coalesce(last("to", ("transitioned", "closed")), F.lit("open")).alias("state"), F.coalesce(last("to_owner", ("handed-off",)), F.first("owner", ignorenulls=True)).alias("owner"),
+        F.max_by("id", "pos").alias("last"), F.count("*").alias("steps"), last("id", ("closed",)).alias("closed"),
+    )
+    return items, reduce(DataFrame.unionByName, problems)
 
 
 def unsynthesized(works: DataFrame, synthesized: DataFrame) -> DataFrame:
-    """(parent, child): completed children of works(work, parent, state) that synthesized(parent, child)
-    lacks, of parents without a child still alive."""
-    kids = works.where("parent is not null")
-    alive = kids.where(~F.col("state").isin("completed", "cancelled")).select("parent").distinct()
-    done = kids.where("state = 'completed'").select("parent", F.col("work").alias("child"))
-    return done.join(synthesized, ["parent", "child"], "left_anti").join(alive, "parent", "left_anti")
+    """(parent, child, reason): completed children of works(work, parent, state) that their parent didn't
+    take in: parent-not-closed, or not-listed-by-parent-closure (synthesized(work, child))."""
+    parents = works.select(F.col("work").alias("parent"), F.col("state").alias("parent_state"))
+    done = works.where("state = 'completed' and parent is not null").select("parent", F.col("work").alias("child")).join(parents, "parent")
+    left = done.join(synthesized.select(F.col("work").alias("parent"), "child"), ["parent", "child"], "left_anti")
+    return left.select("parent", "child", F.when(F.col("parent_state").isin(*ENDED), "not-listed-by-parent-closure").otherwise("parent-not-closed").alias("reason"))
+
+
+def executable_synthesis(works: DataFrame, left: DataFrame) -> DataFrame:
+    """(parent, child) of unsynthesized() whose parent has no child that is still alive."""
+    alive = works.where(F.col("parent").isNotNull() & ~F.col("state").isin(*ENDED)).select("parent").distinct()
+    return left.select("parent", "child").join(alive, "parent", "left_anti")
+
+
+def work_ledger(works: DataFrame, needs: DataFrame, scopes: DataFrame, synthesized: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(works(…, readiness, conflicts, obstructed), overlaps(left, right, left_scope, right_scope, status),
+    orphans(work), problems) of works(work, state, parent, risk), needs(work, dependency), write scopes(work, base, tree)
+    and synthesized(work, child), all with text ids.
+
+    Write scopes of two live works that meet are a conflict if both works are ready or active, else
+    potential; a ready work in a conflict is blocked. obstructed: something but its own state blocks it.
+    Orphans have a parent that doesn't exist, or live under an ended one.
+    """
+    problems = graph_problems(works, needs, synthesized)
+    ready = readiness(works, needs, problems)
+    live = works.where(~F.col("state").isin(*ENDED)).select("work")
+    keyed = scopes.join(live, "work", "left_semi").select(F.struct("work", "base", "tree").alias("work"), "base", "tree")
+    scope = lambda side: F.when(F.col(f"{side}.tree"), F.when(F.col(f"{side}.base") == "", "**").otherwise(F.concat(F.col(f"{side}.base"), F.lit("/**")))).otherwise(F.col(f"{side}.base"))
+    met = overlaps(keyed).where("left.work <> right.work").select(F.col("left.work").alias("left"), F.col("right.work").alias("right"), scope("left").alias("left_scope"), scope("right").alias("right_scope"))
+    at = lambda side: ready.select(F.col("work").alias(side), F.col("readiness").isin("ready", "active").alias(f"{side}_runs"))
+    met = met.join(at("left"), "left").join(at("right"), "right").select("left", "right", "left_scope", "right_scope", F.when(F.col("left_runs") & F.col("right_runs"), "conflict").otherwise("potential").alias("status"))
+    clash = met.where("status = 'conflict'")
+    both = clash.select(F.col("left").alias("work"), F.col("right").alias("other")).unionByName(clash.select(F.col("right").alias("work"), F.col("left").alias("other")))
+    conflicts = both.groupBy("work").agg(F.array_sort(F.collect_set("other")).alias("conflicts"))
+    invalid = problems.select("work").distinct().withColumn("invalid", F.lit(True))
+    rows = works.join(ready, "work").join(conflicts, "work", "left").join(invalid, "work", "left")
+    hit = F.col("conflicts").isNotNull()
+    rows = rows.select(
+        *works.columns, F.when((F.col("readiness") == "ready") & hit, "blocked").otherwise(F.col("readiness")).alias("readiness"),
+        F.coalesce("conflicts", F.array().cast("array<string>")).alias("conflicts"), F.coalesce("invalid", F.lit(False)).alias("obstructed"),
+    )
+    parents = works.select(F.col("work").alias("parent"), F.col("state").alias("parent_state"))
+    under = works.where("parent is not null").join(parents, "parent", "left")
+    orphans = under.where(F.col("parent_state").isNull() | (F.col("parent_state").isin(*ENDED) & ~F.col("state").isin(*ENDED))).select("work")
+    return rows, met, orphans, problems
+
+
+def work_stats(ledger: tuple[DataFrame, DataFrame, DataFrame, DataFrame], needs: DataFrame, left: DataFrame) -> DataFrame:
+    """(measure, n): totals of work_ledger(): works, roots, dependencies, states, readiness, risks, problems,
+    overlaps, conflicts, orphans and children not taken in."""
+    works, met, orphans, problems = ledger
+    n = lambda df, measure: df.agg(F.count("*").alias("n")).select(F.lit(measure).alias("measure"), "n")
+    each = lambda c: works.groupBy(F.concat(F.lit(f"{c}:"), F.col(c)).alias("measure")).agg(F.count("*").alias("n"))
+    parts = [n(works, "total"), n(works.where("parent is null"), "roots"), n(needs, "dependencies"), each("state"), each("readiness"), each("risk")]
+    parts += [n(problems, "graphProblems"), n(met, "scopeOverlaps"), n(met.where("status = 'conflict'"), "scopeConflicts"), n(orphans, "orphans"), n(left, "unsynthesizedChildren")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def assigned(works: DataFrame, session: str, cap: int = 3) -> DataFrame:
-    """The first live works(work, state, owner_session) of a session with their next moves, and how many are withheld."""
-    moves = F.lit(None).cast("array<string>")
-    for state, after in MOVES.items():
-        moves = F.when(F.col("state") == state, F.array(*[F.lit(a) for a in after]).cast("array<string>")).otherwise(moves)
-    live = works.where((F.col("owner_session") == session) & F.col("state").isin("planned", "active", "blocked"))
+    """The first live works(work, state, readiness, owner_session, conflicts, obstructed) of a session by
+    name, what its owner may do next, and how many are withheld."""
+    live = works.where((F.col("owner_session") == session) & ~F.col("state").isin(*ENDED))
     total = live.agg(F.count("*").alias("n"))
-    return live.orderBy("work").limit(cap).crossJoin(F.broadcast(total)).select("work", "state", moves.alias("moves"), F.greatest(F.col("n") - F.lit(cap), F.lit(0)).alias("withheld"))
+    clash = F.size("conflicts") > 0
+    step = (
+        F.when(clash & (F.col("state") != "blocked"), F.array(F.lit("yield"))).when(F.col("readiness") == "ready", F.array(F.lit("start")))
+        .when((F.col("state") == "active") & ~clash, F.array(F.lit("block"), F.lit("finish"))).when((F.col("state") == "blocked") & ~F.col("obstructed") & ~clash, F.array(F.lit("resume")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    shown = live.orderBy("work").limit(cap).crossJoin(F.broadcast(total))
+    return shown.select("work", "state", "readiness", F.concat(step, F.array(F.lit("handoff"))).alias("moves"), F.greatest(F.col("n") - F.lit(cap), F.lit(0)).alias("withheld"))
 
 
 def hook_observation(activity: DataFrame, bundle: str) -> DataFrame:
@@ -227,56 +322,121 @@ def hook_observation(activity: DataFrame, bundle: str) -> DataFrame:
     return by.withColumn("state", F.when(F.col("exact") > 0, "observed").when(F.col("stale") > 0, "stale").otherwise("unobserved"))
 
 
-# Which kinds of records may be linked, and how.
+# Kinds of records, and for each relation the kinds that it may lead from and to.
+KINDS = ("decision", "work", "commit", "experiment", "verification", "defect")
 RELATIONS = (
-    ("decision", "motivates", "work"), ("decision", "supersedes", "decision"), ("work", "implements", "decision"), ("work", "produces", "commit"), ("commit", "implements", "work"),
-    ("verification", "verifies", "work"), ("verification", "verifies", "decision"), ("verification", "verifies", "commit"), ("defect", "motivates", "work"), ("commit", "causes", "defect"),
-    ("work", "causes", "defect"), ("commit", "resolves", "defect"), ("work", "resolves", "defect"), ("experiment", "informs", "decision"),
+    ("authorizes", ("decision",), ("work",)), ("implements", ("work", "commit"), ("decision",)), ("produces", ("work",), ("commit",)),
+    ("evaluates", ("experiment", "verification"), ("decision", "work", "commit")), ("verifies", ("verification",), ("decision", "work", "commit", "experiment")),
+    ("supports", ("experiment", "verification", "defect"), KINDS), ("contradicts", ("experiment", "verification", "defect"), KINDS), ("reveals", ("experiment", "verification"), ("defect",)),
+    ("repairs", ("work", "commit"), ("defect",)), ("supersedes", "the same kind", ()), ("depends-on", KINDS, KINDS),
 )
 
 
 def inadmissible(links: DataFrame) -> DataFrame:
-    """Links(from, relation, to) whose kinds RELATIONS doesn't allow."""
-    allowed = links.sparkSession.createDataFrame(list(RELATIONS), "fk string, relation string, tk string")
-    rows = links.withColumns({"fk": F.col("from.kind"), "tk": F.col("to.kind")})
-    return rows.join(F.broadcast(allowed), ["fk", "relation", "tk"], "left_anti").drop("fk", "tk")
+    """Links(from, relation, to) that mustn't be, plus problem: self (a record to itself) or relation (RELATIONS
+    doesn't admit these kinds, or there is no such relation or kind)."""
+    pairs = [(k, r, k) for r, ends, _ in RELATIONS if ends == "the same kind" for k in KINDS]
+    pairs += [(f, r, t) for r, ends, to in RELATIONS if ends != "the same kind" for f in ends for t in to]
+    allowed = links.sparkSession.createDataFrame(pairs, "fk string, relation string, tk string").withColumn("ok", F.lit(True))
+    rows = links.withColumns({"fk": F.col("from.kind"), "tk": F.col("to.kind")}).join(F.broadcast(allowed), ["fk", "relation", "tk"], "left")
+    problem = F.when(F.col("from").eqNullSafe(F.col("to")), "self").when(F.col("ok").isNull(), "relation")
+    return rows.withColumn("problem", problem).where("problem is not null").select(*links.columns, "problem")
 
 
-#: Why a test belongs to a selection, the best reason first.
-REASONS = ("selected", "imports selected", "beside selected", "names selected")
+# Why a test belongs to a selection, the best reason first.
+REASONS = ("selected", "direct importer", "direct import", "same owning component")
 
 
 def context_tests(selection: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
-    """(path, reason): tests for selection(path): those selected, that import a selected file, lie in its
-    folder, or have its name in theirs; each with its best reason."""
-    folder = lambda c: F.regexp_extract(c, "^(.*?)/?[^/]*$", 1)
-    stem = lambda c: F.regexp_replace(F.regexp_replace(F.substring_index(c, "/", -1), r"\.[^.]*$", ""), r"([._-]test|[._-]spec|^test_)", "")
-    tests = files.where(is_test_path(F.col("path"))).select("path")
-    s = selection.select(F.col("path").alias("s"))
-    own = tests.join(s, F.col("path") == F.col("s"), "left_semi").withColumn("r", F.lit(0))
-    importing = tests.join(imports, F.col("path") == F.col("source")).join(s, F.col("target") == F.col("s"), "left_semi").select("path", F.lit(1).alias("r"))
-    beside = tests.withColumn("d", folder("path")).join(s.select(folder("s").alias("d")).distinct(), "d", "left_semi").select("path", F.lit(2).alias("r"))
-    named = tests.withColumn("n", stem("path")).join(s.select(stem("s").alias("n")).distinct(), "n", "left_semi").select("path", F.lit(3).alias("r"))
-    best = own.unionByName(importing).unionByName(beside).unionByName(named).groupBy("path").agg(F.min("r").alias("r"))
+    """(path, reason): tests for selection(path) among files(path, component) and imports(source, target):
+    those selected, that import a selected file, that one imports, or of a selected file's component;
+    each with its best reason."""
+    s = selection.select("path").distinct()
+    known = files.join(s, "path", "left_semi")
+    inside = known.select(F.col("path").alias("at"))
+    importers = imports.join(inside, F.col("target") == F.col("at")).select(F.col("source").alias("path"), F.lit(1).alias("r"))
+    imported = imports.join(inside, F.col("source") == F.col("at")).select(F.col("target").alias("path"), F.lit(2).alias("r"))
+    owned = files.join(known.where("component is not null").select("component").distinct(), "component", "left_semi").select("path", F.lit(3).alias("r"))
+    best = reduce(DataFrame.unionByName, (s.withColumn("r", F.lit(0)), importers, imported, owned)).where(looks_like_test(F.col("path"))).groupBy("path").agg(F.min("r").alias("r"))
     return best.select("path", F.element_at(F.array(*[F.lit(x) for x in REASONS]), F.col("r") + 1).alias("reason"))
 
 
-def expansions(words: DataFrame, depth: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(claims(word, claim, depth), cycles(word)): what a word of words(word, claims) commits to through
-    words that it conforms to. A word that comes back to itself is refused."""
-    flat = words.select("word", F.explode("claims").alias("claim")).withColumn("next", F.nullif(F.regexp_extract("claim", r"^conforms to\s+(\S+)$", 1), F.lit("")))
+def references(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(text, term): which texts(text) refer to which terms(term), in any case of letters. A term of fewer
+    than three characters is never referred to; one with white space, a slash or a dot anywhere, any other
+    as a whole word. Texts and terms meet by pieces of the terms, never each with each."""
+    t = terms.select("term", F.lower(F.trim("term")).alias("name")).where("length(name) >= 3").distinct()
+    x = texts.select(F.col("text").alias("whole"), F.replace(F.lower("text"), F.lit("\\"), F.lit("/")).alias("text")).distinct()
+    path = F.col("name").rlike(r"[\s/\\.]")
+    t = t.withColumn("sought", F.when(path, F.replace("name", F.lit("\\"), F.lit("/"))).otherwise(F.col("name")))
+    met = containing(t.select(F.col("sought").alias("name")), x).join(t.select(F.col("sought"), "term", path.alias("loose")), F.col("name") == F.col("sought"))
+    word = F.rlike("text", F.concat(F.lit(r"(^|[^a-z0-9_$])\Q"), F.col("name"), F.lit(r"\E(?=$|[^a-z0-9_$])")))
+    return met.where(F.col("loose") | word).join(x, "text").select(F.col("whole").alias("text"), "term").distinct()
+
+
+def obligations(claims: DataFrame, owned: DataFrame, symbols: DataFrame, paths: DataFrame) -> DataFrame:
+    """(component, claim, kind, invariant, chokepoints, oracles): claims(component, claim) of owned(component),
+    and those that name one of symbols(symbol), or of paths(term) anywhere in their text."""
+    distinct = claims.select("component", "claim").distinct()
+    own = distinct.join(owned.select("component").distinct(), "component", "left_semi")
+    b, p = boundary(F.col("claim")), parity(F.col("claim"))
+    ends = distinct.select("component", "claim", F.explode(F.array_compact(F.array(b["chokepoint"], p["domain"], p["f"], p["g"]))).alias("symbol"))
+    named = ends.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select("component", "claim")
+    texts = distinct.select(F.col("claim").alias("text"))
+    low = paths.select(F.lower("term").alias("name")).where("length(name) >= 3").distinct()
+    said = containing(low, texts.select(F.lower("text").alias("text"))).select(F.col("text").alias("low")).distinct()
+    said = distinct.withColumn("low", F.lower("claim")).join(said, "low", "left_semi").select("component", "claim")
+    word = distinct.join(references(texts, symbols.select(F.col("symbol").alias("term"))).select(F.col("text").alias("claim")).distinct(), "claim", "left_semi").select("component", "claim")
+    rows = reduce(DataFrame.unionByName, (own, named, said, word)).distinct().withColumns({"b": b, "p": p})
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "component", "claim", F.when(F.col("b").isNotNull(), "boundary").when(F.col("p").isNotNull(), "parity").otherwise("claim").alias("kind"), F.coalesce("b.inv", "p.inv").alias("invariant"),
+        F.when(F.col("b").isNotNull(), F.array("b.chokepoint")).when(F.col("p").isNotNull(), F.array("p.f", "p.g")).otherwise(none).alias("chokepoints"),
+        F.when(F.col("b.oracle").isNotNull(), F.array("b.oracle")).when(F.col("p").isNotNull(), F.array("p.oracle")).otherwise(none).alias("oracles"),
+    )
+
+
+def context_records(records: DataFrame, selection: DataFrame, terms: DataFrame) -> DataFrame:
+    """(id, matched_by): records(id, chose, because, over, could_be, discriminated_by, files) that name a
+    selected file, as `file:path`, or refer to one of terms(term) in their texts, as `text:term`."""
+    listed = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    text = F.array_join(F.concat(F.array("chose", "because"), listed("over"), listed("could_be"), F.array(F.coalesce("discriminated_by", F.lit("")))), "\n", "")
+    rows = records.select("id", "files", text.alias("text"))
+    by_file = rows.select("id", F.explode("files").alias("path")).join(selection.select("path").distinct(), "path", "left_semi").select("id", F.concat(F.lit("file:"), F.col("path")).alias("m"))
+    by_text = rows.select("id", "text").join(references(rows.select("text"), terms), "text").select("id", F.concat(F.lit("text:"), F.col("term")).alias("m"))
+    return by_file.unionByName(by_text).groupBy("id").agg(F.array_sort(F.collect_set("m")).alias("matched_by"))
+
+
+# Fixed value: how deep a word may lead to other words.
+MOST_WORDS = 16
+
+
+def expansions(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claims(word, claim, depth), refused(word, reason)): what a word of words(word, claims) commits to
+    through words that it conforms to. Refused are words that lead back to a word on their way (cycle),
+    through more than MOST_WORDS words (depth), to one that doesn't exist (missing) or to a text that is
+    no claim (no-claim); nothing is left out silently."""
+    known = words.select(F.col("word").alias("w")).distinct()
+    flat = words.select("word", F.explode("claims").alias("claim")).withColumn("next", F.nullif(F.regexp_extract("claim", CONFORMS, 1), F.lit("")))
     now = flat.select("word", F.array("word").alias("path"), "claim", "next", F.lit(1).alias("depth"))
-    out, back = now.where("next is null"), []
+    out, refused = [], []
     step = flat.select(F.col("word").alias("w"), F.col("claim").alias("c"), F.col("next").alias("n"))
-    for d in range(2, depth + 1):
+    no = lambda df, reason: df.select("word", F.lit(reason).alias("reason"))
+    for depth in range(1, MOST_WORDS + 1):
+        out.append(now.where("next is null"))
         ahead = now.where("next is not null")
-        back.append(ahead.where(F.array_contains("path", F.col("next"))).select("word"))
-        now = ahead.where(~F.array_contains("path", F.col("next"))).join(step, F.col("next") == F.col("w")).select("word", F.concat("path", F.array("w")).alias("path"), F.col("c").alias("claim"), F.col("n").alias("next"), F.lit(d).alias("depth"))
-        out = out.unionByName(now.where("next is null"))
-    cycles = back[0]
-    for b in back[1:]:
-        cycles = cycles.unionByName(b)
-    return out.select("word", "claim", "depth").distinct(), cycles.distinct()
+        back = F.array_contains("path", F.col("next"))
+        refused += [no(ahead.where(back), "cycle"), no(ahead.where(~back).join(known, F.col("next") == F.col("w"), "left_anti"), "missing")]
+        onward = ahead.where(~back).join(known, F.col("next") == F.col("w"), "left_semi")
+        if depth == MOST_WORDS:
+            refused.append(no(onward, "depth"))
+            break
+        now = onward.join(step, F.col("next") == F.col("w")).select("word", F.concat("path", F.array("w")).alias("path"), F.col("c").alias("claim"), F.col("n").alias("next"), F.lit(depth + 1).alias("depth"))
+        if depth % 4 == 0:
+            now = materialize(now, "expansions")
+    claims = reduce(DataFrame.unionByName, out).select("word", "claim", "depth").distinct()
+    refused.append(no(claims.where(form(F.col("claim")).isNull()), "no-claim"))
+    return claims, reduce(DataFrame.unionByName, refused).distinct()
 
 
 def parity_symbols(claims: DataFrame) -> DataFrame:

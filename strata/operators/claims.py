@@ -55,25 +55,39 @@ def normalized(claim: Column) -> Column:
     return F.when(b["crossing_from"].isNotNull() & b["crossing_to"].isNotNull(), short).otherwise(claim)
 
 
+# What a claim begins with or holds, by how much it is worth a look.
+RANKED = ((3, r'\svia\s+(test|guard)\s+"|^passes test\s+"|^conforms to\s+'), (2, r'^boundary\s+"'), (0, r"^\S+\s+(exists at|imports)\b"))
+
+
 def never_red_rank(claim: Column) -> Column:
     """How much a claim that never failed is worth a look."""
-    return (
-        F.when(claim.rlike(r'\svia\s+(test|guard)\s+"|^passes test\s+"|^conforms to\s+'), 3)
-        .when(claim.rlike(r'^boundary\s+"'), 2)
-        .when(claim.rlike(r"^\S+\s+(exists at|imports)\b"), 0)
-        .otherwise(1)
-    )
+    out = F.lit(1)
+    for rank, regex in reversed(RANKED):
+        out = F.when(claim.rlike(regex), rank).otherwise(out)
+    return out
 
 
-def oracle_results(names: DataFrame, results: DataFrame) -> DataFrame:
-    """(name, verdict, ms) of names(name) against results(full_name, status, duration): tests whose full
-    name contains it. One failed: fail; none ran: none-ran; no test: vanished.
+def containing(names: DataFrame, texts: DataFrame, longest: int = 12) -> DataFrame:
+    """(name, text): which of the distinct texts(text) contain which of the distinct names(name).
 
-    Names are matched by the shortest words they need, so this is a theta join over a table of
-    distinct names; names come from claims and are few beside tests.
+    An equi-join: of a name its first `longest` characters (all of a shorter one), of a text its
+    pieces of those lengths at every place; what meets is then checked. A null or empty name is in none.
     """
+    few = names.select("name").where("length(name) > 0").distinct().withColumn("piece", F.substring("name", 1, longest))
+    lengths = [r[0] for r in few.select(F.length("piece").alias("n")).distinct().collect()]  # at most `longest` numbers
+    said = texts.select("text").where("text is not null").distinct()
+    cut = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n))))
+    pieces = [F.coalesce(cut(n), F.array().cast("array<string>")) for n in lengths]
+    met = said.withColumn("piece", F.explode(F.array_distinct(F.concat(*pieces)) if pieces else F.array().cast("array<string>")))
+    return few.join(met, "piece").where(F.contains(F.col("text"), F.col("name"))).select("name", "text")
+
+
+def oracle_results(names: DataFrame, results: DataFrame) -> DataFrame:
+    """(name, verdict, ms) of names(name) against results(full_name, status, duration): tests whose full
+    name contains it. One failed: fail; none ran: none-ran; no test: vanished."""
     distinct = names.select("name").distinct()
-    rows = distinct.join(results, F.contains(F.col("full_name"), F.col("name")), "left")
+    hits = containing(distinct, results.select(F.col("full_name").alias("text"))).withColumnRenamed("text", "full_name")
+    rows = distinct.join(hits.join(results, "full_name"), "name", "left")
     by = rows.groupBy("name").agg(
         F.count("full_name").alias("n"), F.count_if(F.col("status") == "failed").alias("bad"), F.count_if(F.col("status") == "passed").alias("good"),
         F.sum("duration").alias("ms"),

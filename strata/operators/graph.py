@@ -1,11 +1,15 @@
 """Paths and graphs: prefixes, overlaps, reachability, cycles, readiness, longest paths.
 
-Prefix joins are equi-joins on exploded ancestors, so they stay hash joins. Recursions are SQL
-recursive queries with a bound on depth.
+Prefix joins are equi-joins on exploded ancestors, so they stay hash joins. Recursions are rounds of
+joins that the driver starts until a round finds nothing new; what must be walked in one order by
+definition (cycles, the spine) is reduced first and walked in one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,19 +81,56 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return found
 
 
-def cycles(edges: DataFrame, depth: int = 8) -> DataFrame:
-    """(cycle): simple cycles of at most `depth` nodes of edges(source, target), each once, from its
-    least node on."""
-    now = edges.where("source < target").select(F.array("source", "target").alias("path"))
-    loops = edges.where("source = target").select(F.array("source").alias("cycle"))
-    out = loops
-    step = edges.select(F.col("source").alias("s"), F.col("target").alias("t"))
-    for _ in range(depth - 1):
-        met = now.join(step, F.element_at("path", -1) == F.col("s"))
-        out = out.unionByName(met.where(F.col("t") == F.get("path", F.lit(0))).select(F.col("path").alias("cycle")))
-        # Paths start at their least node, so each cycle is found from one place.
-        now = met.where((F.col("t") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("t"))).select(F.concat("path", F.array("t")).alias("path"))
-    return out.distinct()
+#: Edges that one task walks; more are first freed from what leads to no cycle.
+WALKED = 1 << 20
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(cycle): those that one walk of edges(source, target) finds, each from its least node on.
+
+    The walk goes depth first from every node in order, over the targets in order, and never enters
+    a node twice; an edge to a node that the walk is inside of closes a cycle. So there is at most one
+    for each edge, and one at least if there is a cycle at all, of any length. Such a walk is sequential by
+    definition. Nodes without an edge onwards lead to no cycle and don't change the walk, so they
+    are taken away round by round until no more than WALKED edges are left or none can go; the
+    rest meets in one task. Nodes sort as what they are, numbers or text.
+    """
+    kind = dict(edges.dtypes)["source"]
+    left = edges.select("source", "target").where("source is not null and target is not null").distinct()
+    n = left.count()
+    while n > WALKED:
+        left = materialize(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "cycles")
+        n, before = left.count(), n
+        if n == before:
+            break
+
+    def walk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        onward: dict = {}
+        for s, t in sorted(zip(table.column("source").to_pylist(), table.column("target").to_pylist(), strict=True)):
+            onward.setdefault(s, []).append(t)
+        found, left_, at = set(), set(), {}
+        for first in sorted({*onward, *(t for ts in onward.values() for t in ts)}):
+            if first in left_:
+                continue
+            path, todo, at = [first], [iter(onward.get(first, ()))], {first: 0}
+            while path:
+                t = next(todo[-1], None)
+                if t is None:
+                    todo.pop()
+                    node = path.pop()
+                    del at[node]
+                    left_.add(node)
+                elif t in at:
+                    loop = path[at[t] :]
+                    k = loop.index(min(loop))
+                    found.add(tuple(loop[k:] + loop[:k]))
+                elif t not in left_:
+                    at[t] = len(path)
+                    path.append(t)
+                    todo.append(iter(onward.get(t, ())))
+        return pa.table({"cycle": pa.array([list(c) for c in sorted(found)], pa.list_(table.schema.field("source").type))})
+
+    return left.groupBy(F.lit(0).alias("all")).applyInArrow(walk, f"cycle array<{kind}>")
 
 
 def readiness(works: DataFrame, needs: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
@@ -106,51 +147,103 @@ def readiness(works: DataFrame, needs: DataFrame, invalid: DataFrame | None = No
     return rows.select("work", said.alias("readiness"))
 
 
-def graph_problems(works: DataFrame, needs: DataFrame) -> DataFrame:
-    """(work, problem): missing parents and dependencies, loops onto itself, repeated works."""
-    known = works.select("work").distinct()
-    lost_parent = works.where("parent is not null").join(known.toDF("parent"), "parent", "left_anti").select("work", F.lit("missing-parent").alias("problem"))
-    lost = needs.join(known.toDF("dependency"), "dependency", "left_anti").select("work", F.lit("missing-dependency").alias("problem"))
-    own = needs.where("work = dependency").select("work", F.lit("self-dependency").alias("problem"))
-    twice = works.groupBy("work").agg(F.count("*").alias("n")).where("n > 1").select("work", F.lit("repeated").alias("problem"))
-    return lost_parent.unionByName(lost).unionByName(own).unionByName(twice).distinct()
+# The states in which a piece of work has ended.
+ENDED = ("completed", "cancelled")
+
 
+def graph_problems(works: DataFrame, needs: DataFrame, synthesized: DataFrame | None = None) -> DataFrame:
+    """(work, problem, related) of works(work, state, parent), needs(work, dependency) and what closed
+    works took in, synthesized(work, child).
 
-def root_of(nodes: DataFrame, depth: int = 32) -> DataFrame:
-    """(id, root): the last ancestor over nodes(id, parent). Pointers double in each round, so `depth`
-    rounds cover chains of 2^depth; a chain that leads into a loop has no root."""
+    missing-parent and missing-dependency: nothing of that name; terminal-parent: alive under an ended
+    one; dependency-order: active or completed before what it needs; invalid-synthesis: took in what
+    isn't a completed child; missing-synthesis: closed without a completed child of its own;
+    parent-cycle and dependency-cycle: at the least work of the cycle, related to the others and
+    back to it. related is the other work, or the cycle's works joined by spaces.
+    """
+    w = works.select(F.col("work").cast("string").alias("work"), "state", F.col("parent").cast("string").alias("parent")).distinct()
+    n = needs.select(F.col("work").cast("string").alias("work"), F.col("dependency").cast("string").alias("dependency")).distinct()
+    said = lambda df, problem, related: df.select("work", F.lit(problem).alias("problem"), F.col(related).alias("related"))
+    known = w.select(F.col("work").alias("other"), F.col("state").alias("other_state"), F.col("parent").alias("other_parent"))
+    under = w.where("parent is not null").join(known, F.col("parent") == F.col("other"), "left")
+    live = ~F.col("state").isin(*ENDED)
+    parts = [said(under.where("other is null"), "missing-parent", "parent"), said(under.where(F.col("other_state").isin(*ENDED) & live), "terminal-parent", "parent")]
+    need = n.join(w.select("work", "state"), "work").join(known, F.col("dependency") == F.col("other"), "left")
+    parts += [said(need.where("other is null"), "missing-dependency", "dependency"), said(need.where("state in ('active', 'completed') and other_state <> 'completed'"), "dependency-order", "dependency")]
+    if synthesized is not None:
+        took = synthesized.select(F.col("work").cast("string").alias("work"), F.col("child").cast("string").alias("child")).distinct()
+        met = took.join(known, F.col("child") == F.col("other"), "left")
+        wrong = F.col("other").isNull() | ~F.coalesce(F.col("other_parent") == F.col("work"), F.lit(False)) | (F.col("other_state") != "completed")
+        parts.append(said(met.where(wrong), "invalid-synthesis", "child"))
+        ended = w.where(F.col("state").isin(*ENDED)).select("work")
+        done = w.where("state = 'completed' and parent is not null").select(F.col("parent").alias("work"), F.col("work").alias("child"))
+        parts.append(said(done.join(ended, "work", "left_semi").join(took, ["work", "child"], "left_anti"), "missing-synthesis", "child"))
+    here = w.select(F.col("work").alias("target")).distinct()
+    for kind, edges in (("parent-cycle", w.where("parent is not null").select(F.col("work").alias("source"), F.col("parent").alias("target"))), ("dependency-cycle", n.toDF("source", "target"))):
+        inside = edges.join(here, "target", "left_semi").join(here.toDF("source"), "source", "left_semi")
+        loops = cycles(inside.select("source", "target"))
+        first = F.get("cycle", F.lit(0))
+        parts.append(loops.select(first.alias("work"), F.lit(kind).alias("problem"), F.array_join(F.concat(F.slice("cycle", F.lit(2), F.size("cycle")), F.array(first)), " ").alias("related")))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def root_of(nodes: DataFrame) -> DataFrame:
+    """(id, root, hops): the last ancestor over nodes(id, parent) and how far up it is. Pointers double
+    in each round, so the rounds follow the logarithm of the longest chain; a chain that leads into
+    a loop, or to a parent that doesn't exist, has no root."""
     top = nodes.where("parent is null").select("id")
-    now = nodes.select("id", F.coalesce("parent", "id").alias("up"))
-    for _ in range(depth):
-        further = now.select(F.col("id").alias("up"), F.col("up").alias("further"))
-        nxt = materialize(now.join(further, "up").select("id", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("moved")), "roots")
-        now = nxt.select("id", "up")
+    now = nodes.select("id", F.coalesce("parent", "id").alias("up"), F.col("parent").isNotNull().cast("long").alias("hops"))
+    rounds = int(nodes.count()).bit_length() + 1
+    for _ in range(rounds):
+        further = now.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("hops").alias("more"))
+        nxt = materialize(now.join(further, "up").select("id", F.col("further").alias("up"), (F.col("hops") + F.col("more")).alias("hops"), (F.col("further") != F.col("up")).alias("moved")), "roots")
+        now = nxt.select("id", "up", "hops")
         if nxt.where("moved").isEmpty():
             break
-    return now.join(top.toDF("up"), "up", "left_semi").select("id", F.col("up").alias("root"))
+    return now.join(top.toDF("up"), "up", "left_semi").select("id", F.col("up").alias("root"), "hops")
+
+
+# Fixed value: the steps after which the search for the longest path ends.
+SPINE_STEPS = 40_000
 
 
-def longest_spine(crossings: DataFrame, depth: int = 12) -> DataFrame:
-    """(pos, region): the longest simple path over crossings(from, to, heat).
+def longest_spine(crossings: DataFrame, steps: int = SPINE_STEPS) -> DataFrame:
+    """(pos, region, complete): the longest simple path over crossings(from, to, heat).
 
     It starts at regions that nothing leads to (all regions if every one is led to) and goes on
     only through regions that lead further. Of equally long ones the hottest wins, then the one
-    whose path is least by name. `depth` bounds its length.
+    whose path is least by name. Longest paths are found by trying all, so the search ends after
+    `steps` steps: then complete is false and a longer path may exist. Regions and their links, summed
+    before, are walked in one task.
     """
-    steps = crossings.where("from <> to").groupBy("from", "to").agg(F.sum(F.coalesce("heat", F.lit(0.0))).alias("heat"))
-    regions = crossings.select(F.explode(F.array("from", "to")).alias("r")).distinct()
-    led = steps.select(F.col("to").alias("r")).distinct()
-    sources = regions.join(led, "r", "left_anti")
-    cyclic = sources.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(True).alias("cyclic"))
-    starts = sources.unionByName(regions.crossJoin(F.broadcast(cyclic)).select("r"))
-    now = starts.select(F.array("r").alias("path"), F.lit(0.0).alias("heat"))
-    through = steps.join(steps.select(F.col("from").alias("to")).distinct(), "to", "left_semi").select(F.col("from").alias("f"), F.col("to").alias("t"), F.col("heat").alias("h"))
-    every = now
-    for _ in range(depth - 1):
-        now = now.join(through, F.element_at("path", -1) == F.col("f")).where(~F.array_contains("path", F.col("t"))).select(F.concat("path", F.array("t")).alias("path"), (F.col("heat") + F.col("h")).alias("heat"))
-        every = every.unionByName(now)
-    best = every.orderBy(F.size("path").desc(), F.desc("heat"), "path").limit(1)
-    return best.select(F.posexplode("path").alias("pos", "region"))
+    linked = crossings.where("from <> to").groupBy("from", "to").agg(F.sum(F.coalesce("heat", F.lit(0.0))).alias("heat"))
+    alone = crossings.where("from = to").select("from", "to", F.lit(0.0).alias("heat")).distinct()
+
+    def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        heat = dict(zip(zip(table.column("from").to_pylist(), table.column("to").to_pylist(), strict=True), table.column("heat").to_pylist(), strict=True))
+        regions = sorted({r for pair in heat for r in pair})
+        onward = {r: sorted(t for f, t in heat if f == r and t != r) for r in regions}
+        led = {t for f, t in heat if f != t}
+        best, left = ((0, 0.0), []), steps
+        for start in [r for r in regions if r not in led] or regions:
+            if left <= 0:
+                break
+            left -= 1
+            path, warmth, todo = [start], [0.0], [iter(onward[start])]
+            best = max(best, ((1, 0.0), [start]), key=lambda b: b[0])
+            while path:
+                t = next(todo[-1], None)
+                if t is None:
+                    path.pop(), warmth.pop(), todo.pop()
+                elif t not in path and onward[t] and left > 0:
+                    left -= 1
+                    warmth.append(warmth[-1] + heat[path[-1], t])
+                    path.append(t)
+                    todo.append(iter(onward[t]))
+                    best = max(best, ((len(path), warmth[-1]), list(path)), key=lambda b: b[0])
+        return pa.table({"pos": pa.array(range(len(best[1])), pa.int32()), "region": pa.array(best[1], pa.string()), "complete": pa.array([left > 0] * len(best[1]), pa.bool_())})
+
+    return linked.unionByName(alone).groupBy(F.lit(0).alias("all")).applyInArrow(search, "pos int, region string, complete boolean")
 
 
 def classify_crossings(crossings: DataFrame, spine: DataFrame) -> DataFrame:

@@ -48,33 +48,44 @@ def reverse_reach(spark, d):
 
 
 def root_ancestors(spark, d):
-    rows = _halved(spark, d)
-    return G.root_of(rows.select("id", F.when(F.col("id") % 16 != 0, F.col("parent")).alias("parent")))
-
-
-_EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "b"), ("e", "e"), ("d", "f"), ("f", "g"), ("g", "d")]
+    """Customers in chains of 150, each after the one before: the first of its chain and how far away it is."""
+    c = R.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return G.root_of(c.select("id", F.when(F.col("id") % 150 != 0, F.col("id") - 1).alias("parent")))
 
 
 def cycles(spark, d):
-    found = G.cycles(spark.createDataFrame(_EDGES, "source string, target string"))
-    return found.select(F.array_join("cycle", ">").alias("cycle"))
+    """Customers in nines: of every second nine a ring, and in every third a step back from the sixth to the third."""
+    c = R.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    k, nine = (F.col("id") - 1) % 9, F.floor((F.col("id") - 1) / 9)
+    on = c.select(F.col("id").alias("source"), F.when(k < 8, F.col("id") + 1).when(nine % 2 == 0, F.col("id") - 8).alias("target"))
+    back = c.where((k == 5) & (nine % 3 == 0)).select(F.col("id").alias("source"), (F.col("id") - 3).alias("target"))
+    return G.cycles(on.where("target is not null").unionByName(back)).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"))
+
+
+def works(spark, d):
+    """Orders as pieces of work: (works, needs, synthesized, scopes)."""
+    o = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    t = lambda c: c.cast("string")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("k") % n + 1).cast("int"))
+    w = o.select(
+        t(F.col("k")).alias("work"), pick(("open", "completed", "blocked", "cancelled", "active", "open", "completed"), 7).alias("state"),
+        t(F.when(F.col("k") % 50 == 0, -F.col("k")).when(F.col("k") % 5 == 1, F.floor(F.col("k") / 4))).alias("parent"), pick(("low", "medium", "high", "critical"), 4).alias("risk"),
+    )
+    needs = o.select(t(F.col("k")).alias("work"), F.explode(F.array(t(F.floor(F.col("k") / 3)), t(F.col("k") - F.col("k") % 4))).alias("dependency")).distinct()
+    took = o.where("k % 15 in (1, 2)").select(t(F.floor(F.col("k") / 4)).alias("work"), t(F.col("k")).alias("child"))
+    folder = F.concat(F.lit("d"), t(F.col("k") % 397))
+    scopes = o.select(t(F.col("k")).alias("work"), F.when(F.col("k") % 31 == 0, folder).otherwise(F.concat(folder, F.lit("/f"), t(F.col("k") % 5))).alias("base"), (F.col("k") % 31 == 0).alias("tree"))
+    return w, needs, took, scopes
 
 
-def _works(spark, d):
-    o = R.table(spark, d, "orders")
-    states = F.array(*[F.lit(x) for x in ("open", "completed", "blocked", "cancelled", "active", "open", "completed")])
-    works = o.select(F.col("o_orderkey").alias("work"), F.element_at(states, (F.col("o_orderkey") % 7 + 1).cast("int")).alias("state"), F.when(F.col("o_orderkey") % 50 == 0, -F.col("o_orderkey")).alias("parent"))
-    needs = o.select(F.col("o_orderkey").alias("work"), F.explode(F.array(F.floor(F.col("o_orderkey") / 3).cast("long"), F.col("o_orderkey") - F.col("o_orderkey") % 4)).alias("dependency"))
-    return works, needs
+def graph_problems(spark, d):
+    w, needs, took, _ = works(spark, d)
+    return G.graph_problems(w, needs, took)
 
 
 def work_readiness(spark, d):
-    works, needs = _works(spark, d)
-    return G.readiness(works, needs, G.graph_problems(works, needs).where("problem = 'missing-parent'"))
-
-
-def graph_problems(spark, d):
-    return G.graph_problems(*_works(spark, d))
+    w, needs, took, _ = works(spark, d)
+    return G.readiness(w, needs, G.graph_problems(w, needs, took))
 
 
 def component_dependencies(spark, d):
@@ -93,8 +104,11 @@ def _crossings(spark, d):
     down = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("from"), F.col("n_name").alias("to"), (F.col("n_nationkey") / 10.0).alias("heat"))
     names = r.select("r_name", "r_regionkey")
     on = names.alias("x").join(names.alias("y"), F.expr("y.r_regionkey = x.r_regionkey + 1")).select(F.col("x.r_name").alias("from"), F.col("y.r_name").alias("to"), F.lit(1.0).alias("heat"))
+    suppliers = R.table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("i"))
+    tier = lambda n: F.concat(F.lit("tier "), F.lpad(n.cast("string"), 2, "0"))
+    chain = suppliers.select(tier(F.col("i")).alias("from"), tier(F.col("i") + 1).alias("to"), (F.col("i") / 4.0).alias("heat"))
     skip = names.alias("x").join(names.alias("y"), F.expr("y.r_regionkey = x.r_regionkey + 2")).select(F.col("x.r_name").alias("from"), F.col("y.r_name").alias("to"), F.lit(5.0).alias("heat"))
-    return down.unionByName(on).unionByName(skip)
+    return down.unionByName(on).unionByName(skip).unionByName(chain)
 
 
 def longest_spine(spark, d):
@@ -205,12 +219,28 @@ QUERIES = {
 _PATHS = r"pp AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$|/$', '', 'g') AS path FROM pages)"
 _TREE = f"""{_PATHS}, parts AS (SELECT DISTINCT path, string_split(path, '/') AS s FROM pp),
 tree AS (SELECT DISTINCT array_to_string(s[1:i], '/') AS dir, i AS depth FROM (SELECT s, unnest(range(0, len(s))) AS i FROM parts))"""
-_WORKS = """works AS (SELECT o_orderkey AS work, list_extract(['open', 'completed', 'blocked', 'cancelled', 'active', 'open', 'completed'], CAST(o_orderkey % 7 + 1 AS INTEGER)) AS state, CASE WHEN o_orderkey % 50 = 0 THEN -o_orderkey END AS parent FROM orders),
-needs AS (SELECT o_orderkey AS work, o_orderkey // 3 AS dependency FROM orders UNION ALL SELECT o_orderkey, o_orderkey - o_orderkey % 4 FROM orders)"""
+WORKS = """works AS (SELECT CAST(o_orderkey AS VARCHAR) AS work, o_orderkey AS k, list_extract(['open', 'completed', 'blocked', 'cancelled', 'active', 'open', 'completed'], CAST(o_orderkey % 7 + 1 AS INTEGER)) AS state,
+  CAST(CASE WHEN o_orderkey % 50 = 0 THEN -o_orderkey WHEN o_orderkey % 5 = 1 THEN o_orderkey // 4 END AS VARCHAR) AS parent, list_extract(['low', 'medium', 'high', 'critical'], CAST(o_orderkey % 4 + 1 AS INTEGER)) AS risk FROM orders),
+needs AS (SELECT CAST(o_orderkey AS VARCHAR) AS work, CAST(o_orderkey // 3 AS VARCHAR) AS dependency FROM orders UNION SELECT CAST(o_orderkey AS VARCHAR), CAST(o_orderkey - o_orderkey % 4 AS VARCHAR) FROM orders),
+took AS (SELECT CAST(o_orderkey // 4 AS VARCHAR) AS work, CAST(o_orderkey AS VARCHAR) AS child FROM orders WHERE o_orderkey % 15 IN (1, 2)),
+under AS (SELECT w.*, p.work AS pw, p.state AS ps FROM works w LEFT JOIN works p ON p.work = w.parent WHERE w.parent IS NOT NULL),
+need AS (SELECT n.*, w.state, o.state AS os FROM needs n JOIN works w USING (work) LEFT JOIN works o ON o.work = n.dependency),
+problems AS (
+  SELECT work, 'missing-parent' AS problem, parent AS related FROM under WHERE pw IS NULL
+  UNION SELECT work, 'terminal-parent', parent FROM under WHERE ps IN ('completed', 'cancelled') AND state NOT IN ('completed', 'cancelled')
+  UNION SELECT work, 'missing-dependency', dependency FROM need WHERE os IS NULL
+  UNION SELECT work, 'dependency-order', dependency FROM need WHERE state IN ('active', 'completed') AND os <> 'completed'
+  UNION SELECT t.work, 'invalid-synthesis', t.child FROM took t LEFT JOIN works c ON c.work = t.child WHERE c.work IS NULL OR c.parent IS DISTINCT FROM t.work OR c.state <> 'completed'
+  UNION SELECT c.parent, 'missing-synthesis', c.work FROM works c JOIN works p ON p.work = c.parent AND p.state IN ('completed', 'cancelled') WHERE c.state = 'completed' AND (c.parent, c.work) NOT IN (SELECT work, child FROM took)
+  UNION SELECT work, 'dependency-cycle', work FROM needs WHERE work = dependency UNION SELECT work, 'parent-cycle', work FROM works WHERE work = parent),
+ready AS (SELECT works.work, CASE WHEN state IN ('completed', 'cancelled') THEN 'done' WHEN state = 'active' THEN 'active' WHEN state = 'blocked' THEN 'blocked' WHEN works.work IN (SELECT work FROM problems) OR coalesce(stuck, false) THEN 'blocked'
+    WHEN coalesce(open, false) THEN 'waiting' ELSE 'ready' END AS readiness FROM works
+  LEFT JOIN (SELECT work, bool_or(os IN ('blocked', 'cancelled')) AS stuck, bool_or(os NOT IN ('blocked', 'cancelled', 'completed')) AS open FROM need WHERE os IS NOT NULL GROUP BY work) m ON m.work = works.work)"""
 _CROSS = """cr AS (SELECT r_name AS f, n_name AS t, n_nationkey / 10.0::DOUBLE AS h FROM nation JOIN region ON n_regionkey = r_regionkey
- UNION ALL SELECT x.r_name, y.r_name, 1.0 FROM region x JOIN region y ON y.r_regionkey = x.r_regionkey + 1 UNION ALL SELECT x.r_name, y.r_name, 5.0 FROM region x JOIN region y ON y.r_regionkey = x.r_regionkey + 2),
+ UNION ALL SELECT x.r_name, y.r_name, 1.0 FROM region x JOIN region y ON y.r_regionkey = x.r_regionkey + 1 UNION ALL SELECT x.r_name, y.r_name, 5.0 FROM region x JOIN region y ON y.r_regionkey = x.r_regionkey + 2
+ UNION ALL SELECT 'tier ' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0'), 'tier ' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 2, '0'), s_suppkey / 4.0::DOUBLE FROM supplier WHERE s_suppkey <= 20),
 steps AS (SELECT f, t, sum(h) AS h FROM cr GROUP BY f, t),
-walk AS (SELECT [r_name] AS path, 0.0::DOUBLE AS heat FROM region WHERE r_name NOT IN (SELECT t FROM steps)
+walk AS (SELECT DISTINCT [f] AS path, 0.0::DOUBLE AS heat FROM steps WHERE f NOT IN (SELECT t FROM steps)
  UNION ALL SELECT list_append(path, t), heat + h FROM walk JOIN steps ON f = path[len(path)] WHERE t IN (SELECT f FROM steps) AND NOT list_contains(path, t)),
 best AS (SELECT path FROM walk ORDER BY len(path) DESC, heat DESC, path LIMIT 1),
 spine AS (SELECT unnest(path) AS region, CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS pos FROM best)"""
@@ -237,19 +267,16 @@ SQL = {
     "scope_overlap": f"""WITH {_PATHS}, s AS (SELECT 'w' || lpad(CAST(page_id AS VARCHAR), 12, '0') AS work, path AS base, page_id % 2 = 1 AS tree FROM pp)
         SELECT a.work AS "left", b.work AS "right" FROM s a JOIN s b ON a.work < b.work AND (a.base = b.base OR (a.tree AND starts_with(b.base, a.base || '/')) OR (b.tree AND starts_with(a.base, b.base || '/')))""",
     "reverse_reach": """WITH RECURSIVE c AS (SELECT DISTINCT conv_id FROM conversations), r AS (SELECT 3::BIGINT AS node UNION SELECT c.conv_id FROM r JOIN c ON c.conv_id // 2 = r.node AND c.conv_id > 0) SELECT node FROM r""",
-    "root_ancestors": """WITH RECURSIVE c AS (SELECT DISTINCT conv_id AS id, CASE WHEN conv_id % 16 <> 0 AND conv_id > 0 THEN conv_id // 2 END AS parent FROM conversations),
-        w AS (SELECT id, id AS root FROM c WHERE parent IS NULL UNION ALL SELECT c.id, w.root FROM c JOIN w ON c.parent = w.id) SELECT id, root FROM w""",
-    "cycles": f"""WITH RECURSIVE e(s, t) AS (VALUES {", ".join(str(x) for x in _EDGES)}),
-        w AS (SELECT [s, t] AS p FROM e WHERE s < t UNION ALL SELECT list_append(p, t) FROM w JOIN e ON s = p[len(p)] WHERE t > p[1] AND NOT list_contains(p, t) AND len(p) < 8)
-        SELECT DISTINCT array_to_string(p, '>') AS cycle FROM w JOIN e ON s = p[len(p)] AND t = p[1] UNION SELECT s FROM e WHERE s = t""",
-    "work_readiness": f"""WITH {_WORKS}, m AS (SELECT n.work, bool_or(o.state IN ('blocked', 'cancelled')) AS stuck, bool_or(o.state NOT IN ('blocked', 'cancelled', 'completed')) AS open FROM needs n JOIN works o ON o.work = n.dependency GROUP BY n.work)
-        SELECT works.work, CASE WHEN state IN ('completed', 'cancelled') THEN 'done' WHEN state = 'active' THEN 'active' WHEN state = 'blocked' THEN 'blocked' WHEN (parent IS NOT NULL AND parent NOT IN (SELECT work FROM works)) OR coalesce(stuck, false) THEN 'blocked' WHEN coalesce(open, false) THEN 'waiting' ELSE 'ready' END AS readiness
-        FROM works LEFT JOIN m ON m.work = works.work""",
-    "graph_problems": f"""WITH {_WORKS} SELECT work, 'missing-parent' AS problem FROM works WHERE parent IS NOT NULL AND parent NOT IN (SELECT work FROM works)
-        UNION SELECT work, 'missing-dependency' FROM needs WHERE dependency NOT IN (SELECT work FROM works) UNION SELECT work, 'self-dependency' FROM needs WHERE work = dependency""",
+    "root_ancestors": "SELECT c_custkey AS id, c_custkey - c_custkey % 150 AS root, c_custkey % 150 AS hops FROM customer",
+    "cycles": """WITH RECURSIVE e AS (SELECT c_custkey AS s, CASE WHEN (c_custkey - 1) % 9 < 8 THEN c_custkey + 1 WHEN ((c_custkey - 1) // 9) % 2 = 0 THEN c_custkey - 8 END AS t FROM customer
+          UNION ALL SELECT c_custkey, c_custkey - 3 FROM customer WHERE (c_custkey - 1) % 9 = 5 AND ((c_custkey - 1) // 9) % 3 = 0),
+        w AS (SELECT [s, t] AS p FROM e WHERE s < t UNION ALL SELECT list_append(p, t) FROM w JOIN e ON s = p[len(p)] WHERE t > p[1] AND NOT list_contains(p, t))
+        SELECT DISTINCT array_to_string(p, '>') AS cycle FROM w JOIN e ON s = p[len(p)] AND t = p[1]""",
+    "work_readiness": f"WITH {WORKS} SELECT work, readiness FROM ready",
+    "graph_problems": f"WITH {WORKS} SELECT * FROM problems",
     "component_dependencies": """WITH e AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) SELECT DISTINCT 'n:' || s_nationkey AS source, p_brand AS target FROM e JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey""",
     "crossing_owners": "SELECT p_name || '/' || (p_size % 9) AS symbol, min(p_brand) AS component FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1",
-    "longest_spine": f"WITH RECURSIVE {_CROSS} SELECT pos, region FROM spine",
+    "longest_spine": f"WITH RECURSIVE {_CROSS} SELECT pos, region, true AS complete FROM spine",
     "crossing_classes": f"""WITH RECURSIVE {_CROSS} SELECT f AS "from", t AS "to", CASE WHEN f NOT IN (SELECT t FROM steps) AND coalesce(i.pos, -1) <> 0 THEN 'supply' WHEN coalesce(j.pos > i.pos, false) THEN 'promotion' WHEN i.pos IS NOT NULL AND j.pos IS NULL THEN 'reach' ELSE 'aside' END AS class
         FROM cr LEFT JOIN spine i ON i.region = f LEFT JOIN spine j ON j.region = t""",
     "interleaved_top": """WITH r AS (SELECT o_orderkey, o_orderstatus, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS turn, max(o_totalprice) OVER (PARTITION BY o_orderstatus) AS lane FROM orders)
