@@ -1,20 +1,24 @@
-"""Substring dedup: seed with winnowed anchors, extend to windows, keep maximal repeats.
+"""Substring dedup: seed with winnowed anchors, extend both ways, keep maximal repeats.
 
-A window is `width` consecutive words of one text. Its anchor is the least hash among the runs of
-`seed` words inside it, so equal windows have equal anchors, and a text has about 2 anchors for
-every width - seed + 2 words. Four steps, each over blocks of texts that one shuffle deals out by
-a hash of the id (the shuffle is reused):
+Every `width` consecutive words hold `width - seed + 1` runs of `seed` words; the least hash of
+these is their anchor. Equal runs of `width` words have equal anchors, so whatever repeats over the
+length threshold is seeded, and a text has about 2 anchors for every width - seed + 2 words. Four
+steps, each over blocks of texts that one shuffle deals out by a hash of the id (the shuffle is
+reused):
 
 1. seeds: each block sends its distinct anchors to the buckets of their hashes;
 2. join: a bucket answers each block with those anchors that two texts have;
-3. extend: each block sends the windows around joined anchors, each once with the least id that
-   has it there; a bucket answers with the windows that a smaller id has elsewhere;
-4. cover: overlapping and adjoining repeated windows are the maximal repeats; their words go.
-
-A block sends a window at most once however many of its texts hold it, so a passage that a third
-of all texts share is at most one row for each block in its bucket, and no pairs of texts are
-ever made. Blocks hold about `block_bytes` of input, and buckets are as many as the shuffle has
-partitions or the input asks for.
+3. extend: around each joined anchor a block extends by l words to the left and width - seed - l to
+   the right, for every l that keeps it the anchor, and sends each extension once with the least id
+   that has it there; a bucket answers with the extensions that a smaller id has elsewhere;
+4. cover: a matched extension is a repeat of `width` words; those that overlap or adjoin are
+   extended into one, the maximal repeat, whose words go.
+
+Extensions are compared by hash, not pair by pair: the texts that share an anchor fall into groups
+that share its extension, and a group of any size is one row for each block. So a passage that a
+third of all texts share costs each block one row, and no pairs of texts are ever made. Blocks
+hold about `block_bytes` of input, and buckets are as many as the shuffle has partitions or the
+input asks for. A block does work by its words and by the buckets that it meets, never by all.
 """
 
 from __future__ import annotations
@@ -66,8 +70,9 @@ class Block:
     def anchors(self) -> np.ndarray:
         return _anchored(W.runs(self.hashes, self.seed), self.at, self.width, self.seed)
 
-    def windows(self) -> np.ndarray:
-        return W.runs(self.hashes, self.width)[self.at]
+    def extended(self, which: np.ndarray | None = None) -> np.ndarray:
+        """Hashes of the runs of `width` words (those of `which`): the anchor inside each, extended both ways."""
+        return W.runs(self.hashes, self.width)[self.at if which is None else self.at[which]]
 
 
 def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,25 +86,30 @@ def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return k[first], low, low != high
 
 
-def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
-    edges = [(b << 64) // buckets for b in range(1, buckets)]
-    return np.r_[0, np.searchsorted(keys, np.array(edges, np.uint64)), len(keys)]
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes to buckets by their highest bits, in the order of the hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _pieces(of: np.ndarray) -> np.ndarray:
+    """Bounds of the stretches of equal numbers of a sorted array."""
+    return np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else np.zeros(1, np.int64)
 
 
 def _sent(block: int, keys: np.ndarray, buckets: int, *more: np.ndarray) -> pa.Table:
-    """For each bucket with keys a row of them; `more` are columns of the keys, written after them."""
-    cut = _bounds(keys, buckets)
-    used = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-    loads = [b"".join(x[cut[b] : cut[b + 1]].tobytes() for x in (keys, *more)) for b in used]
-    return pa.table({"sd_bucket": pa.array(used, pa.int32()), "sd_block": pa.array([block] * len(used), pa.int32()), "sd_load": pa.array(loads, pa.binary())})
+    """For each bucket that has some of the sorted keys a row of them; `more` are columns of the keys,
+    written after them."""
+    of = _bucket(keys, buckets)
+    cut = _pieces(of)
+    loads = [b"".join(x[a:b].tobytes() for x in (keys, *more)) for a, b in itertools.pairwise(cut)]
+    return pa.table({"sd_bucket": pa.array(of[cut[:-1]].astype(np.int32), pa.int32()), "sd_block": pa.array([block] * len(loads), pa.int32()), "sd_load": pa.array(loads, pa.binary())})
 
 
 def _answers(blocks: np.ndarray, keys: np.ndarray) -> pa.Table:
     order = np.lexsort((keys, blocks))
     blocks, keys = blocks[order], keys[order]
-    cut = np.r_[np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]), len(blocks)] if len(blocks) else np.zeros(1, np.int64)
-    at = cut[:-1]
-    return pa.table({"sd_block": pa.array(blocks[at].astype(np.int32), pa.int32()), "sd_load": pa.array([keys[a:b].tobytes() for a, b in itertools.pairwise(cut)], pa.binary())})
+    cut = _pieces(blocks)
+    return pa.table({"sd_block": pa.array(blocks[cut[:-1]].astype(np.int32), pa.int32()), "sd_load": pa.array([keys[a:b].tobytes() for a, b in itertools.pairwise(cut)], pa.binary())})
 
 
 def _gathered(table: pa.Table) -> np.ndarray:
@@ -122,15 +132,22 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
     Every word goes that a window of `width` words covers whose sequence also starts in a text
     with a smaller id; windows are judged on the input. A null text has no words. Texts with a
     null id neither lose words nor make others lose them; rows with equal ids don't affect each
-    other. Windows are compared by 64-bit hashes.
+    other. Windows are compared by 64-bit hashes. A very long text is one row of one block. An empty
+    table gives no rows. Columns of docs stay; one with a name of the result's is overwritten.
     """
     spark_parts = partitions(docs)
     n_blocks = max(3 * spark_parts, -(-(input_bytes(docs) or 0) // block_bytes))
     n_buckets = max(spark_parts, n_blocks // 3)
-    dealt = docs.withColumn("sd_block", F.pmod(F.xxhash64(doc_id), F.lit(n_blocks)).cast("int"))
+    made = ("sd_n_words", "sd_n_removed", "sd_spans", "sd_kept")
+    rows = docs.drop(*[c for c in made if c not in (doc_id, text)])
+    # Columns go by number between the steps, so no name of the input can clash with one of the steps.
+    fields = rows.schema.fields
+    plain = [f"c{i}" for i in range(len(fields))]
+    id_, text_ = plain[rows.columns.index(doc_id)], plain[rows.columns.index(text)]
+    dealt = rows.toDF(*plain).withColumn("sd_block", F.pmod(F.xxhash64(id_), F.lit(n_blocks)).cast("int"))
 
     def seeds(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        b = Block(table, doc_id, text, width, seed)
+        b = Block(table, id_, text_, width, seed)
         keys, _, many = _least(b.anchors(), b.ids[b.doc])
         give_back()
         return _sent(key[0].as_py(), keys, n_buckets, many.astype(np.uint8))
@@ -149,9 +166,9 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
     def extend(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows or not answers.num_rows:
             return _sent(0, np.zeros(0, np.uint64), n_buckets, np.zeros(0, np.int64))
-        b = Block(table, doc_id, text, width, seed)
+        b = Block(table, id_, text_, width, seed)
         chosen = _among(b.anchors(), _gathered(answers))
-        keys, low, _ = _least(b.windows()[chosen], b.ids[b.doc[chosen]])
+        keys, low, _ = _least(b.extended(chosen), b.ids[b.doc[chosen]])
         give_back()
         return _sent(key[0].as_py(), keys, n_buckets, low)
 
@@ -169,18 +186,17 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
 
     kept_schema = T.StructType(
         [
-            *docs.schema.fields,
+            *[T.StructField(n, f.dataType) for n, f in zip(plain, fields, strict=True)],
             T.StructField("sd_n_words", T.LongType()),
             T.StructField("sd_n_removed", T.LongType()),
             T.StructField("sd_spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))),
             T.StructField("sd_kept", T.StringType()),
         ]
     )
-    names = docs.columns
 
     def cover(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        b = Block(table, doc_id, text, width, seed)
-        keys = b.windows()
+        b = Block(table, id_, text_, width, seed)
+        keys = b.extended()
         own, low, _ = _least(keys, b.ids[b.doc])
         repeated = _among(keys, _gathered(answers))
         if len(keys):
@@ -193,7 +209,7 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
         removed = np.add.reduceat(np.r_[gone, False].astype(np.int64), begins) if len(begins) else np.zeros(0, np.int64)
         removed[b.counts == 0] = 0
         spans, kept = [], []
-        offsets, data = W.text_bytes(table.column(text))
+        offsets, data = W.text_bytes(table.column(text_))
         for i in range(table.num_rows):
             ws = data[offsets[i] : offsets[i + 1]].tobytes().split()
             if removed[i]:
@@ -205,7 +221,7 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
                 spans.append([])
             kept.append(b" ".join(ws))
         span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-        out = table.select(names)
+        out = table.select(plain)
         for name, column in (
             ("sd_n_words", pa.array(b.counts)),
             ("sd_n_removed", pa.array(removed)),
@@ -219,4 +235,4 @@ def dedup_substrings(docs: DataFrame, *, width: int = 13, seed: int = 7, doc_id:
     by_block = lambda df: df.groupBy("sd_block")
     joined = by_block(dealt).applyInArrow(seeds, _SENT).groupBy("sd_bucket").applyInArrow(join, _ANSWER)
     late = by_block(dealt).cogroup(by_block(joined)).applyInArrow(extend, _SENT).groupBy("sd_bucket").applyInArrow(earliest, _ANSWER)
-    return by_block(dealt).cogroup(by_block(late)).applyInArrow(cover, kept_schema)
+    return by_block(dealt).cogroup(by_block(late)).applyInArrow(cover, kept_schema).toDF(*rows.columns, *made)

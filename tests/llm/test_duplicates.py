@@ -156,8 +156,10 @@ def brute_removed(rows, width=13):
 def test_substrings(spark):
     texts = fixture(random.Random(2))
     rows = [(i - 40, t) for i, t in enumerate(texts)] + [(-40, texts[0])]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, sd_block string").drop("sd_block")
+    df = spark.createDataFrame([(*r, "x", "y", "z", 1) for r in rows], "doc_id long, text string, sd_block string, sd_kept string, c0 string, sd_load int")
     out = substrings.dedup_substrings(df)
+    assert out.columns == ["doc_id", "text", "sd_block", "c0", "sd_load", "sd_n_words", "sd_n_removed", "sd_spans", "sd_kept"]
+    assert {(r.sd_block, r.c0, r.sd_load) for r in out.collect()} == {("x", "z", 1)}
     assert sorted((r.doc_id, r.sd_n_words, r.sd_n_removed, r.sd_kept) for r in out.collect()) == brute_removed(rows)
     assert all(sum(s.end - s.first for s in r.sd_spans) == r.sd_n_removed for r in out.collect())
 
@@ -169,6 +171,38 @@ def test_substrings_of_random_words(spark):
     assert sorted((r.doc_id, r.sd_n_words, r.sd_n_removed, r.sd_kept) for r in out.collect()) == brute_removed(rows)
 
 
+def test_repeats_are_maximal(spark):
+    """What is taken of a text is what an outward comparison, word by word, with each earlier text finds."""
+    rng = random.Random(11)
+    shared = prose(rng, 400)
+    texts = []
+    for _ in range(40):
+        a = rng.randrange(360)
+        texts.append(prose(rng, rng.randrange(12)) + shared[a : a + rng.randrange(5, 60)] + prose(rng, rng.randrange(12)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: [(s.first, s.end) for s in r.sd_spans] for r in substrings.dedup_substrings(df).collect()}
+    for i, w in enumerate(texts):
+        gone = set()
+        for v in texts[:i]:
+            for p, q in itertools.product(range(len(w)), range(len(v))):
+                if w[p] == v[q] and (p == 0 or q == 0 or w[p - 1] != v[q - 1]):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n >= 13:
+                        gone.update(range(p, p + n))
+        assert {k for a, b in got[i] for k in range(a, b)} == gone
+        assert all(b < c for (_, b), (c, _) in itertools.pairwise(got[i]))
+
+
+def test_buckets_cover_all_hashes_in_order():
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 5000, dtype=np.uint64))
+    for n in (1, 7, 4096, 1_000_003):
+        of = substrings._bucket(keys, n)
+        assert (np.diff(of.astype(np.int64)) >= 0).all() and of.max() < n
+    assert substrings._sent(3, keys, 50).column("sd_bucket").to_pylist() == list(range(50))
+
+
 def test_null_ids_take_no_part(spark):
     t = " ".join(map(str, range(20)))
     out = substrings.dedup_substrings(spark.createDataFrame([(None, t), (1, t), (2, t)], "doc_id long, text string")).collect()
