@@ -183,6 +183,7 @@ def classes(
     bands: int = 24,
     rows: int = 6,
     block_texts: int = 256,
+    block_words: int = 1 << 20,
 ) -> DataFrame:
     """(doc_id, nd_text, nd_group, nd_class) for each row of docs: xxhash64 of the text, a number that the
     rows of a class have in common and no others (arbitrary; null for a class of one row as said
@@ -194,7 +195,8 @@ def classes(
     registers miss a pair with a probability of 0.0007, and less above. A text without words
     (null, empty) is a class of its own; so is every row with a null id, whose class is null.
     Rows with the same id and text are in one class; rows with the same id and different texts are
-    so only if their texts are linked. Other columns of docs play no part.
+    so only if their texts are linked. An empty table gives no rows. Other columns of docs play no part.
+    A block holds about block_texts texts and block_words words, whichever is less, and its hub.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,19 +220,20 @@ def classes(
 
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("said"))
     signed = materialize(source.mapInArrow(sign, "id long, said long, h1 long, h2 long, n long, keys array<long>"), "nd-signed")
-    nodes = signed.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "said")).alias("least"), F.first("keys").alias("keys"))
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "least.id", "least.said", "h1", "h2", "keys"), "nd-nodes")
+    nodes = signed.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min(F.struct("id", "said")).alias("least"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "least.id", "least.said", "h1", "h2", "keys", "n"), "nd-nodes")
 
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = materialize(keyed.join(buckets, "key"), "nd-met")
     rank = met.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = met.join(rank, "node").withColumn("rank", F.struct("degree", -F.col("node")))
     hubs = ranked.groupBy("key").agg(F.max_by("node", "rank").alias("hub"))
-    members = materialize(met.join(hubs, "key").select("hub", "node").distinct(), "nd-members")
+    members = materialize(met.join(hubs, "key").select("hub", "node", "n").distinct(), "nd-members")
 
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(float(block_texts))).cast("int").alias("blocks"))
-    homes = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(float(block_texts))), F.ceil(F.sum("n") / F.lit(float(block_words))))
+    sizes = members.groupBy("hub").agg(blocks.cast("int").alias("blocks"))
+    homes = members.drop("n").join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     guests = sizes.where("blocks > 1").select("hub", F.col("hub").alias("node"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rows_ = homes.select("hub", "node", "blocks", "block").unionByName(guests).distinct()
     wanted = members.select("node").distinct().join(nodes.select("node", "id", "said"), "node")

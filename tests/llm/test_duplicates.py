@@ -63,9 +63,9 @@ def table(spark, texts):
 
 def test_classes(spark):
     texts = fixture(random.Random(1))
-    for block in (256, 4):
-        out = dict(neardup.near_duplicates(table(spark, texts), block_texts=block).collect())
-        assert [out[i] for i in range(len(texts))] == brute_classes(texts), block
+    for how in ({}, {"block_texts": 4}, {"block_words": 500}):
+        out = dict(neardup.near_duplicates(table(spark, texts), **how).collect())
+        assert [out[i] for i in range(len(texts))] == brute_classes(texts), how
 
 
 def test_classes_of_odd_rows(spark):
