@@ -1,22 +1,35 @@
-"""BPE encoding with reuse of content-defined chunks, and decoding.
+"""BPE encoding with reuse of content-defined chunks across texts, and decoding.
 
 A rolling hash over 16 bytes cuts a text where its bits say so, so texts that share a passage
 share the chunks inside it. Of a chunk, the words that lie wholly inside it are its core. A core
-is encoded once for all texts that a worker process sees; processes stay between tasks. The word
-at a join of two chunks is repaired: the join is re-encoded together with its neighbours, first
-one word on either side, then more, until the encoding begins and ends exactly as the encodings of
-the cores do there; if it never does, the whole text is encoded. There is no shuffle and no state
-that other machines need; what is remembered is bounded.
+that several texts have is encoded once:
+
+1. bundles: texts are put together in bundles of a few megabytes, compressed, with their cuts;
+2. seeds: each bundle sends the digests of its cores to buckets; a bucket elects of the bundles
+   that share a core the one that owns it;
+3. owners encode what they own and send the ids to the buckets, which hand them on to all that
+   share the core;
+4. each bundle encodes the cores that are its alone, and puts the texts together.
+
+Bundles are shuffled once; of texts nothing else moves but 16 bytes for each core and the ids of
+shared ones. Buckets belong to wards of at most about `ward_bytes` of input, and a core is encoded once
+in each ward: so what meets in a bucket is bounded, however many texts share a passage.
+
+The word at a join of two chunks is repaired: the join is re-encoded together with its neighbours,
+first one word on either side, then more, until the encoding begins and ends exactly as the
+encodings of the cores do there; if it never does, the whole text is encoded.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +37,7 @@ from pyspark.sql import types as T
 from strata.llm import tokens
 from strata.llm import words as W
 from strata.llm.memory import give_back
+from strata.llm.store import input_bytes, partitions
 
 ROLL = 16
 
@@ -93,7 +107,8 @@ class Codec:
         self.names = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
         self.numbers = [str(i) for i in range(size)]
         self.plain = self.tokenizer.decoder is None
-        self.cores, self.joins, self.few = Memory(1 << 13), Memory(1 << 14), Memory(1 << 15)
+        self.joins, self.few = Memory(1 << 14), Memory(1 << 15)
+        self.wide = np.uint32 if size > 1 << 16 else np.uint16
         self.encoded = self.reused = self.repaired = 0
         self.batch = tokens.batch_encoder(path)
 
@@ -176,43 +191,39 @@ class Codec:
             window, a, b = key
             self.joins.put(key, self._join(whole, self._some(window[:a]) if a else [], self._some(window[b:]) if b < len(window) else []))
 
-    def encode(self, texts: list[bytes]) -> list[list[list[int]]]:
-        """For each text the ids of its parts. Cores that are new are encoded in one call."""
-        cut = [segments(np.frombuffer(t, np.uint8), self.chunk_bits) for t in texts]
-        here: dict[bytes, list[int]] = {}
+    def encode(self, texts: list[bytes], cut: list[list[tuple[int, int, bool]]], cores: dict[bytes, list[int]]) -> tuple[list[list[list[int]]], list[int]]:
+        """(for each text the ids of its parts, how many of its cores were new). `cores` holds the cores that
+        are known, and after this the new ones too, which are encoded in one call."""
         new: dict[bytes, None] = {}
+        fresh = []
         for t, parts in zip(texts, cut, strict=True):
+            before = len(new)
             for a, b, core in parts:
                 if core:
                     piece = t[a:b]
-                    known = self.cores.get(piece)
-                    if known is not None:
-                        here[piece] = known
-                        self.reused += 1
-                    elif piece in new:
+                    if piece in cores or piece in new:
                         self.reused += 1
                     else:
                         new[piece] = None
-        for piece, ids in zip(new, self._encode(list(new)), strict=True):
-            here[piece] = ids
-            self.cores.put(piece, ids)
+            fresh.append(len(new) - before)
+        cores.update(zip(new, self._encode(list(new)), strict=True))
         self._ahead(texts, cut)
         out = []
         for t, parts in zip(texts, cut, strict=True):
             found: list[list[int]] | None = []
             for k, (a, b, core) in enumerate(parts):
                 if core:
-                    found.append(here[t[a:b]])
+                    found.append(cores[t[a:b]])
                     continue
                 low, left = (parts[k - 1][0], found[-1]) if k else (a, [])
-                high, right = (parts[k + 1][1], here[t[parts[k + 1][0] : parts[k + 1][1]]]) if k + 1 < len(parts) else (b, [])
+                high, right = (parts[k + 1][1], cores[t[parts[k + 1][0] : parts[k + 1][1]]]) if k + 1 < len(parts) else (b, [])
                 middle = self._repair(t, a, b, low, high, left, right)
                 if middle is None:
                     found = None
                     break
                 found.append(middle)
             out.append([self._encode([t])[0]] if found is None else found)
-        return out
+        return out, fresh
 
     def decode(self, ids: list[int]) -> str:
         """As the tokenizer's decode(ids, skip_special_tokens=False)."""
@@ -232,45 +243,199 @@ OUTPUTS = {
     "bpe_decoded": (T.StringType(), pa.string()),
     "bpe_ids_sha256": (T.StringType(), pa.string()),
     "bpe_decoded_sha256": (T.StringType(), pa.string()),
+    "bpe_new_chunks": (T.LongType(), pa.int64()),
 }
 
+_BUNDLE = "bpe_block bigint, bpe_ward int, bpe_rows binary, bpe_cuts binary, bpe_keys binary"
+_SEEDS = "bpe_ward int, bpe_bucket int, bpe_block bigint, bpe_load binary"
+_ELECTED = "bpe_ward int, bpe_bucket int, bpe_block bigint, bpe_owned boolean, bpe_load binary"
+_CODED = "bpe_ward int, bpe_bucket int, bpe_load binary"
+_HANDED = "bpe_block bigint, bpe_load binary"
+
+
+def _table(schema: str, columns: list[list]) -> pa.Table:
+    names = [x.split() for x in schema.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    return pa.table({n: pa.array(c, kinds[k]) for (n, k), c in zip(names, columns, strict=True)})
+
+
+def digest(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def _by_bucket(keys: list[bytes], buckets: int) -> list[tuple[int, list[bytes]]]:
+    """Sorted digests by the bucket that their first four bytes say."""
+    return [(b, list(ks)) for b, ks in itertools.groupby(sorted(keys), lambda k: int.from_bytes(k[:4], "big") * buckets >> 32)]
+
+
+def _cut_load(keys: bytes, size: int = 16) -> list[bytes]:
+    return [keys[i : i + size] for i in range(0, len(keys), size)]
+
+
+def _coded(keys: list[bytes], ids: list[list[int]], wide) -> bytes:
+    """A load of digests and the ids of each."""
+    lengths = np.array([len(x) for x in ids], np.uint32)
+    flat = np.fromiter(itertools.chain.from_iterable(ids), wide, int(lengths.sum()))
+    return len(keys).to_bytes(4, "little") + b"".join(keys) + lengths.tobytes() + flat.tobytes()
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, *, text: str = "text", outputs: tuple[str, ...] = ("bpe_ids", "bpe_decoded"), chunk_bits: int = 9) -> DataFrame:
-    """docs plus bpe_n_tokens and the `outputs`: ids, the text decoded from them, and the digests
-    of both (ids as decimal numbers joined by one space).
+
+def _decoded(load: bytes, wide) -> Iterator[tuple[bytes, np.ndarray]]:
+    n = int.from_bytes(load[:4], "little")
+    lengths = np.frombuffer(load, np.uint32, n, 4 + 16 * n)
+    flat = np.frombuffer(load, wide, -1, 4 + 20 * n)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    for k, (end, size) in enumerate(zip(ends.tolist(), lengths.tolist(), strict=True)):
+        yield load[4 + 16 * k : 20 + 16 * k], flat[end - size : end]
+
+
+def _opened(table: pa.Table) -> tuple[pa.RecordBatch, list[bytes], list[list[tuple[int, int, bool]]]]:
+    """(rows, texts, cuts) of the one bundle of a group."""
+    rows = pa.ipc.open_stream(pa.decompress(table.column("bpe_rows")[0].as_buffer()[8:], int.from_bytes(table.column("bpe_rows")[0].as_buffer()[:8], "little"), "zstd")).read_next_batch()
+    texts = rows.column(rows.num_columns - 1).cast(pa.binary()).to_pylist()
+    numbers = np.frombuffer(table.column("bpe_cuts")[0].as_buffer(), np.int32)
+    counts, rest = numbers[: len(texts)].tolist(), numbers[len(texts) :].reshape(-1, 2).tolist()
+    parts = iter([(a, b >> 1, bool(b & 1)) for a, b in rest])
+    return rows, texts, [list(itertools.islice(parts, n)) for n in counts]
+
+
+def encode_decode(
+    docs: DataFrame, tokenizer_path: str, *, text: str = "text", outputs: tuple[str, ...] = ("bpe_ids", "bpe_decoded"), chunk_bits: int = 9,
+    bundle_bytes: int = 4 << 20, ward_bytes: int = 16 << 30,
+) -> DataFrame:
+    """docs plus bpe_n_tokens and the `outputs`: ids, the text decoded from them, the digests of both
+    (ids as decimal numbers joined by one space), and how many chunks were encoded for this text alone
+    or as the first of those that share them.
 
     Ids are those of the tokenizer file for the whole text, without added special tokens,
-    truncation and padding. A null text counts as empty and has no ids. Chunks have about
-    2^chunk_bits bytes. Columns of docs stay; one with a name of the result's is overwritten.
+    truncation and padding. A null text counts as empty and has no ids. Every row is encoded by its
+    text alone, so repeated rows have equal results (but for the new chunks); an empty table gives no
+    rows. Chunks have about 2^chunk_bits bytes. A text longer than bundle_bytes is a bundle of its own.
+    Columns of docs stay; one with a name of the result's is overwritten.
     """
     made = ["bpe_n_tokens", *outputs]
-    kept = [c for c in docs.columns if c not in made]
+    kept = [c for c in docs.columns if c not in made or c == text]
     source = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("bpe__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("bpe_n_tokens", T.LongType()), *[T.StructField(c, OUTPUTS[c][0]) for c in outputs]])
+    back = [f for f in source.schema.fields[:-1] if f.name not in made]
+    # Columns go by number between the steps, so no name of the input can clash with one of the steps.
+    plain = [f"c{i}" for i in range(len(back))]
+    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(plain, back, strict=True)], T.StructField("bpe_n_tokens", T.LongType()), *[T.StructField(c, OUTPUTS[c][0]) for c in outputs]])
+    source = source.select(*[f.name for f in back], "bpe__text").toDF(*plain, "bpe__text")
+    size = input_bytes(docs) or 0
+    wards = max(1, -(-size // ward_bytes))
+    buckets = max(1, -(-partitions(docs) // wards), min(128, -(-size // (128 << 20))))
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            lengths = np.diff(W.text_bytes(batch.column(batch.num_columns - 1))[0])
+            at = 0
+            while at < batch.num_rows:
+                end = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), bundle_bytes, "right")))
+                rows = batch.slice(at, end - at)
+                at = end
+                texts = rows.column(rows.num_columns - 1).cast(pa.binary()).to_pylist()
+                cuts = [segments(np.frombuffer(t, np.uint8), chunk_bits) for t in texts]
+                keys = {digest(t[a:b]) for t, parts in zip(texts, cuts, strict=True) for a, b, core in parts if core}
+                numbers = np.array([len(c) for c in cuts] + [x for c in cuts for a, b, core in c for x in (a, 2 * b + core)], np.int32)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as w:
+                    w.write_batch(rows)
+                raw = sink.getvalue()
+                load = raw.size.to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+                block = (part << 32) | n
+                n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([int(W.mix(np.array([block], np.uint64))[0]) % wards], pa.int32()), pa.array([load], pa.binary()), pa.array([numbers.tobytes()], pa.binary()), pa.array([b"".join(sorted(keys))], pa.binary())], ["bpe_block", "bpe_ward", "bpe_rows", "bpe_cuts", "bpe_keys"])
+        give_back()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def seeds(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        ward, found = table.column("bpe_ward")[0].as_py(), _by_bucket(_cut_load(table.column("bpe_keys")[0].as_py()), buckets)
+        return _table(_SEEDS, [[ward] * len(found), [b for b, _ in found], [key[0].as_py()] * len(found), [b"".join(ks) for _, ks in found]])
+
+    def elect(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        blocks, loads = table.column("bpe_block").to_numpy(), table.column("bpe_load").to_pylist()
+        keys = np.frombuffer(b"".join(loads), ">u8").reshape(-1, 2)
+        of = np.repeat(blocks, [len(x) // 16 for x in loads])
+        order = np.lexsort((of, keys[:, 1], keys[:, 0]))
+        keys, of = keys[order], of[order]
+        same = (keys[1:] == keys[:-1]).all(axis=1)
+        shared, first = np.r_[same, False] | np.r_[False, same], ~np.r_[False, same]
+        rows = []
+        for owned in (True, False):
+            which = np.flatnonzero(shared & (first == owned))
+            which = which[np.argsort(of[which], kind="stable")]
+            edges = np.r_[np.flatnonzero(np.r_[True, np.diff(of[which]) != 0]), len(which)] if len(which) else np.zeros(1, np.int64)
+            rows += [(int(of[which[a]]), owned, keys[which[a:b]].tobytes()) for a, b in itertools.pairwise(edges.tolist())]
+        return _table(_ELECTED, [[key[0].as_py()] * len(rows), [key[1].as_py()] * len(rows), *[[r[i] for r in rows] for i in range(3)]])
+
+    def own(key: tuple[pa.Scalar, ...], table: pa.Table, mine: pa.Table) -> pa.Table:
+        if not table.num_rows or not mine.num_rows:
+            return _table(_CODED, [[], [], []])
+        c, wanted = codec(tokenizer_path, chunk_bits), set(_cut_load(b"".join(mine.column("bpe_load").to_pylist())))
+        _, texts, cuts = _opened(table)
+        found: dict[bytes, bytes] = {}
+        for t, parts in zip(texts, cuts, strict=True):
+            for a, b, core in parts:
+                if core and (d := digest(t[a:b])) in wanted:
+                    found[d] = t[a:b]
+        ids = dict(zip(found, c._encode(list(found.values())), strict=True))
+        rows = _by_bucket(list(found), buckets)
+        give_back()
+        return _table(_CODED, [[table.column("bpe_ward")[0].as_py()] * len(rows), [b for b, _ in rows], [_coded(ks, [ids[k] for k in ks], c.wide) for _, ks in rows]])
+
+    def hand_on(key: tuple[pa.Scalar, ...], elected: pa.Table, coded: pa.Table) -> pa.Table:
+        wide = codec(tokenizer_path, chunk_bits).wide
+        ids = {k: x for load in coded.column("bpe_load").to_pylist() for k, x in _decoded(load, wide)}
+        loads = []
+        for load in elected.column("bpe_load").to_pylist():
+            ks = _cut_load(load)
+            loads.append(_coded(ks, [ids[k].tolist() for k in ks], wide))
+        marked = [bytes([o]) + x for o, x in zip(elected.column("bpe_owned").to_pylist(), loads, strict=True)]
+        return _table(_HANDED, [elected.column("bpe_block").to_pylist(), marked])
+
+    def put_together(key: tuple[pa.Scalar, ...], table: pa.Table, handed: pa.Table) -> pa.Table:
         c = codec(tokenizer_path, chunk_bits)
         number = c.numbers.__getitem__
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = part.column(part.num_columns - 1).cast(pa.binary()).to_pylist()
-                columns: dict[str, list] = {x: [] for x in made}
-                for pieces in c.encode(texts):
-                    ids = [i for p in pieces for i in p]
-                    columns["bpe_n_tokens"].append(len(ids))
-                    if "bpe_ids" in columns:
-                        columns["bpe_ids"].append(ids)
-                    if "bpe_ids_sha256" in columns:
-                        columns["bpe_ids_sha256"].append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
-                    if "bpe_decoded" in columns or "bpe_decoded_sha256" in columns:
-                        said = c.decode(ids)
-                        if "bpe_decoded" in columns:
-                            columns["bpe_decoded"].append(said)
-                        if "bpe_decoded_sha256" in columns:
-                            columns["bpe_decoded_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
-                arrays = [pa.array(columns["bpe_n_tokens"], pa.int64()), *[pa.array(columns[x], OUTPUTS[x][1]) for x in outputs]]
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(part.num_columns - 1)] + arrays, [*kept, *made])
+        rows, texts, cuts = _opened(table)
+        known: dict[bytes, tuple[bool, list[int]]] = {}
+        for load in handed.column("bpe_load").to_pylist():
+            known.update((k, (bool(load[0]), x.tolist())) for k, x in _decoded(load[1:], c.wide))
+        cores: dict[bytes, list[int]] = {}
+        columns: dict[str, list] = {x: [] for x in made}
+        for at in range(0, len(texts), 128):
+            some, some_cuts = texts[at : at + 128], cuts[at : at + 128]
+            first = [0] * len(some)
+            if known:
+                for i, (t, parts) in enumerate(zip(some, some_cuts, strict=True)):
+                    for a, b, core in parts:
+                        if core and (piece := t[a:b]) not in cores and (hit := known.get(digest(piece))):
+                            cores[piece] = hit[1]
+                            first[i] += hit[0]
+            encoded, fresh = c.encode(some, some_cuts, cores)
+            columns_new = [a + b for a, b in zip(first, fresh, strict=True)]
+            for pieces, new in zip(encoded, columns_new, strict=True):
+                ids = [i for p in pieces for i in p]
+                columns["bpe_n_tokens"].append(len(ids))
+                if "bpe_new_chunks" in columns:
+                    columns["bpe_new_chunks"].append(new)
+                if "bpe_ids" in columns:
+                    columns["bpe_ids"].append(ids)
+                if "bpe_ids_sha256" in columns:
+                    columns["bpe_ids_sha256"].append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
+                if "bpe_decoded" in columns or "bpe_decoded_sha256" in columns:
+                    said = c.decode(ids)
+                    if "bpe_decoded" in columns:
+                        columns["bpe_decoded"].append(said)
+                    if "bpe_decoded_sha256" in columns:
+                        columns["bpe_decoded_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
+        arrays = [pa.array(columns["bpe_n_tokens"], pa.int64()), *[pa.array(columns[x], OUTPUTS[x][1]) for x in outputs]]
         give_back()
-
-    return source.mapInArrow(run, schema)
+        return pa.Table.from_arrays([rows.column(i) for i in range(len(plain))] + arrays, [*plain, *made])
+
+    by_block = lambda df: df.groupBy("bpe_block")
+    by_bucket = lambda df: df.groupBy("bpe_ward", "bpe_bucket")
+    bundles = source.mapInArrow(bundle, _BUNDLE)
+    elected = by_bucket(by_block(bundles).applyInArrow(seeds, _SEEDS)).applyInArrow(elect, _ELECTED)
+    coded = by_block(bundles).cogroup(by_block(elected.where("bpe_owned"))).applyInArrow(own, _CODED)
+    handed = by_bucket(elected).cogroup(by_bucket(coded)).applyInArrow(hand_on, _HANDED)
+    out = by_block(bundles).cogroup(by_block(handed)).applyInArrow(put_together, schema)
+    return out.toDF(*[f.name for f in back], *made)

@@ -104,23 +104,46 @@ def plain(path):
     return Tokenizer.from_file(path)
 
 
-@pytest.mark.parametrize("bits", [4, 9])
-def test_chunks_give_the_ids_of_the_whole(spark, bits):
-    texts, t = many(), plain(WORD)
-    df = spark.createDataFrame([(i, x, "c") for i, x in enumerate(texts)], "doc_id long, text string, bpe_ids string")
-    for r in bpe.encode_decode(df, WORD, chunk_bits=bits).collect():
+def cores_of(texts, bits):
+    cut = [bpe.segments(np.frombuffer(t, np.uint8), bits) for t in texts]
+    return cut, [t[a:b] for t, parts in zip(texts, cut, strict=True) for a, b, core in parts if core]
+
+
+@pytest.mark.parametrize(("bits", "how"), [(4, {}), (9, {}), (6, {"bundle_bytes": 3000}), (6, {"bundle_bytes": 3000, "ward_bytes": 1 << 14})])
+def test_chunks_give_the_ids_of_the_whole(spark, bits, how):
+    texts, t = many() * 2, plain(WORD)
+    df = spark.createDataFrame([(i, x, "c", "d", b"e") for i, x in enumerate(texts)], "doc_id long, text string, bpe_ids string, c0 string, bpe_rows binary").repartition(3)
+    out = bpe.encode_decode(df, WORD, chunk_bits=bits, outputs=("bpe_ids", "bpe_decoded", "bpe_new_chunks"), **how)
+    assert out.columns == ["doc_id", "text", "c0", "bpe_rows", "bpe_n_tokens", "bpe_ids", "bpe_decoded", "bpe_new_chunks"]
+    out = out.collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    for r in out:
         ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
-        assert r.bpe_ids == ids and r.bpe_n_tokens == len(ids)
+        assert r.bpe_ids == ids and r.bpe_n_tokens == len(ids) and (r.text, r.c0) == (texts[r.doc_id], "d")
         assert r.bpe_decoded == t.decode(ids, skip_special_tokens=False)
+    _, cores = cores_of([(x or "").encode() for x in texts], bits)
+    new = sum(r.bpe_new_chunks for r in out)
+    # Once for the table; with several wards once for each.
+    assert new == len(set(cores)) < len(cores) if "ward_bytes" not in how else len(set(cores)) <= new < len(cores)
+
+
+def test_chunks_of_repeated_rows_and_empty_tables(spark):
+    none = bpe.encode_decode(spark.createDataFrame([], "doc_id long, text string"), WORD)
+    assert none.columns == ["doc_id", "text", "bpe_n_tokens", "bpe_ids", "bpe_decoded"] and none.count() == 0
+    long = "stone house " * 40_000
+    rows = [(1, long), (1, long), (1, long), (None, long), (2, None), (3, "")]
+    out = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), WORD, bundle_bytes=1000, outputs=("bpe_ids_sha256", "bpe_new_chunks")).collect()
+    assert {(r.doc_id, r.bpe_n_tokens) for r in out} == {(1, 80_000), (None, 80_000), (2, 0), (3, 0)} and len(out) == 6
+    assert len({r.bpe_ids_sha256 for r in out}) == 2 and sum(r.bpe_new_chunks > 0 for r in out) <= 4
 
 
 def test_chunks_are_reused_and_joins_repaired():
-    c = bpe.Codec(WORD, 6)
+    c, cores = bpe.Codec(WORD, 6), {}
     texts = [x.encode() for x in many(n=30)[len(TEXTS) :]]
-    c.encode(texts)
+    c.encode(texts, cores_of(texts, 6)[0], cores)
     assert c.reused and c.repaired
-    before = c.encoded
-    c.encode([b"another start " + x for x in texts])
+    before, again = c.encoded, [b"another start " + x for x in texts]
+    c.encode(again, cores_of(again, 6)[0], cores)
     assert c.encoded - before < before / 3
 
 
