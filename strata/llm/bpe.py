@@ -288,10 +288,14 @@ def _decoded(load: bytes, wide) -> Iterator[tuple[bytes, np.ndarray]]:
         yield load[4 + 16 * k : 20 + 16 * k], flat[end - size : end]
 
 
-def _opened(table: pa.Table) -> tuple[pa.RecordBatch, list[bytes], list[list[tuple[int, int, bool]]]]:
-    """(rows, texts, cuts) of the one bundle of a group."""
+def _texts(rows: pa.RecordBatch, at: int) -> list[bytes]:
+    return [t or b"" for t in rows.column(at).cast(pa.binary()).to_pylist()]
+
+
+def _opened(table: pa.Table, at: int) -> tuple[pa.RecordBatch, list[bytes], list[list[tuple[int, int, bool]]]]:
+    """(rows, texts, cuts) of the one bundle of a group; texts are the rows' column `at`."""
     rows = pa.ipc.open_stream(pa.decompress(table.column("bpe_rows")[0].as_buffer()[8:], int.from_bytes(table.column("bpe_rows")[0].as_buffer()[:8], "little"), "zstd")).read_next_batch()
-    texts = rows.column(rows.num_columns - 1).cast(pa.binary()).to_pylist()
+    texts = _texts(rows, at)
     numbers = np.frombuffer(table.column("bpe_cuts")[0].as_buffer(), np.int32)
     counts, rest = numbers[: len(texts)].tolist(), numbers[len(texts) :].reshape(-1, 2).tolist()
     parts = iter([(a, b >> 1, bool(b & 1)) for a, b in rest])
@@ -313,13 +317,12 @@ def encode_decode(
     Columns of docs stay; one with a name of the result's is overwritten.
     """
     made = ["bpe_n_tokens", *outputs]
-    kept = [c for c in docs.columns if c not in made or c == text]
-    source = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("bpe__text"))
-    back = [f for f in source.schema.fields[:-1] if f.name not in made]
+    taken = [f for f in docs.schema.fields if f.name not in made or f.name == text]
     # Columns go by number between the steps, so no name of the input can clash with one of the steps.
-    plain = [f"c{i}" for i in range(len(back))]
-    schema = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(plain, back, strict=True)], T.StructField("bpe_n_tokens", T.LongType()), *[T.StructField(c, OUTPUTS[c][0]) for c in outputs]])
-    source = source.select(*[f.name for f in back], "bpe__text").toDF(*plain, "bpe__text")
+    plain, said = [f"c{i}" for i in range(len(taken))], [f.name for f in taken].index(text)
+    back = [i for i, f in enumerate(taken) if f.name not in made]
+    schema = T.StructType([*[T.StructField(plain[i], taken[i].dataType) for i in back], T.StructField("bpe_n_tokens", T.LongType()), *[T.StructField(c, OUTPUTS[c][0]) for c in outputs]])
+    source = docs.select(*[f.name for f in taken]).toDF(*plain)
     size = input_bytes(docs) or 0
     wards = max(1, -(-size // ward_bytes))
     buckets = max(1, -(-partitions(docs) // wards), min(128, -(-size // (128 << 20))))
@@ -327,13 +330,13 @@ def encode_decode(
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            lengths = np.diff(W.text_bytes(batch.column(batch.num_columns - 1))[0])
+            lengths = np.diff(W.text_bytes(batch.column(said))[0])
             at = 0
             while at < batch.num_rows:
                 end = at + max(1, int(np.searchsorted(np.cumsum(lengths[at:]), bundle_bytes, "right")))
                 rows = batch.slice(at, end - at)
                 at = end
-                texts = rows.column(rows.num_columns - 1).cast(pa.binary()).to_pylist()
+                texts = _texts(rows, said)
                 cuts = [segments(np.frombuffer(t, np.uint8), chunk_bits) for t in texts]
                 keys = {digest(t[a:b]) for t, parts in zip(texts, cuts, strict=True) for a, b, core in parts if core}
                 numbers = np.array([len(c) for c in cuts] + [x for c in cuts for a, b, core in c for x in (a, 2 * b + core)], np.int32)
@@ -371,7 +374,7 @@ def encode_decode(
         if not table.num_rows or not mine.num_rows:
             return _table(_CODED, [[], [], []])
         c, wanted = codec(tokenizer_path, chunk_bits), set(_cut_load(b"".join(mine.column("bpe_load").to_pylist())))
-        _, texts, cuts = _opened(table)
+        _, texts, cuts = _opened(table, said)
         found: dict[bytes, bytes] = {}
         for t, parts in zip(texts, cuts, strict=True):
             for a, b, core in parts:
@@ -395,7 +398,7 @@ def encode_decode(
     def put_together(key: tuple[pa.Scalar, ...], table: pa.Table, handed: pa.Table) -> pa.Table:
         c = codec(tokenizer_path, chunk_bits)
         number = c.numbers.__getitem__
-        rows, texts, cuts = _opened(table)
+        rows, texts, cuts = _opened(table, said)
         known: dict[bytes, tuple[bool, list[int]]] = {}
         for load in handed.column("bpe_load").to_pylist():
             known.update((k, (bool(load[0]), x.tolist())) for k, x in _decoded(load[1:], c.wide))
@@ -411,8 +414,7 @@ def encode_decode(
                             cores[piece] = hit[1]
                             first[i] += hit[0]
             encoded, fresh = c.encode(some, some_cuts, cores)
-            columns_new = [a + b for a, b in zip(first, fresh, strict=True)]
-            for pieces, new in zip(encoded, columns_new, strict=True):
+            for pieces, new in zip(encoded, map(sum, zip(first, fresh, strict=True)), strict=True):
                 ids = [i for p in pieces for i in p]
                 columns["bpe_n_tokens"].append(len(ids))
                 if "bpe_new_chunks" in columns:
@@ -422,14 +424,14 @@ def encode_decode(
                 if "bpe_ids_sha256" in columns:
                     columns["bpe_ids_sha256"].append(hashlib.sha256(" ".join(map(number, ids)).encode()).hexdigest())
                 if "bpe_decoded" in columns or "bpe_decoded_sha256" in columns:
-                    said = c.decode(ids)
+                    read = c.decode(ids)
                     if "bpe_decoded" in columns:
-                        columns["bpe_decoded"].append(said)
+                        columns["bpe_decoded"].append(read)
                     if "bpe_decoded_sha256" in columns:
-                        columns["bpe_decoded_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
+                        columns["bpe_decoded_sha256"].append(hashlib.sha256(read.encode()).hexdigest())
         arrays = [pa.array(columns["bpe_n_tokens"], pa.int64()), *[pa.array(columns[x], OUTPUTS[x][1]) for x in outputs]]
         give_back()
-        return pa.Table.from_arrays([rows.column(i) for i in range(len(plain))] + arrays, [*plain, *made])
+        return pa.Table.from_arrays([rows.column(i) for i in back] + arrays, [*[plain[i] for i in back], *made])
 
     by_block = lambda df: df.groupBy("bpe_block")
     by_bucket = lambda df: df.groupBy("bpe_ward", "bpe_bucket")
@@ -438,4 +440,4 @@ def encode_decode(
     coded = by_block(bundles).cogroup(by_block(elected.where("bpe_owned"))).applyInArrow(own, _CODED)
     handed = by_bucket(elected).cogroup(by_bucket(coded)).applyInArrow(hand_on, _HANDED)
     out = by_block(bundles).cogroup(by_block(handed)).applyInArrow(put_together, schema)
-    return out.toDF(*[f.name for f in back], *made)
+    return out.toDF(*[taken[i].name for i in back], *made)
