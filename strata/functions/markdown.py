@@ -6,7 +6,7 @@ so no line ever needs a shuffle to know its fence or its section.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FENCE = r"^\s*(```|~~~)"
@@ -14,17 +14,16 @@ _LIST = r"^([-*+]|[0-9]+\.)\s+"
 
 
 def _numbered(lines: Column) -> Column:
-    """array<struct<line, said, fenced>>: numbered lines and whether each is in a fence or one."""
-    start = F.struct(F.lit(0).alias("fences"), F.array().cast("array<struct<line:int,said:string,fenced:boolean>>").alias("out"))
-    at = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("said")))
+    """array<struct<line, said, fenced>>: numbered lines and whether each is in a fence or one. The work
+    follows the lines and, for each, the fences of its text."""
+    at = F.transform(lines, lambda x, i: F.struct((i + 1).alias("line"), x.alias("said"), x.rlike(FENCE).alias("fence")))
+    both = F.array(F.struct(at.alias("at"), F.transform(F.filter(at, lambda x: x["fence"]), lambda x: x["line"]).alias("fences")))
 
-    def step(acc: Column, x: Column) -> Column:
-        fence = x["said"].rlike(FENCE)
-        n = acc["fences"] + fence.cast("int")
-        row = F.struct(x["line"].alias("line"), x["said"].alias("said"), (fence | (n % 2 == 1)).alias("fenced"))
-        return F.struct(n.alias("fences"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def marked(b: Column) -> Column:
+        inside = lambda x: F.size(F.filter(b["fences"], lambda f: f <= x["line"])) % 2 == 1
+        return F.transform(b["at"], lambda x: F.struct(x["line"].alias("line"), x["said"].alias("said"), (x["fence"] | inside(x)).alias("fenced")))
 
-    return F.aggregate(at, start, step, lambda acc: acc["out"])
+    return F.get(F.transform(both, marked), F.lit(0))
 
 
 def prose_lines(docs: DataFrame) -> DataFrame:
@@ -43,19 +42,11 @@ def sentences(paragraph: Column) -> Column:
 
 def units(docs: DataFrame) -> DataFrame:
     """(file, line, text): sentences of paragraphs, with the first line of the paragraph. Lines that
-    follow one another without a gap are a paragraph."""
-    rows = prose_lines(docs).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "said"))).alias("ls"))
-    kind = "array<struct<first:int,last:int,said:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        top = F.get(acc, F.size(acc) - 1)
-        joined = F.struct(top["first"].alias("first"), x["line"].alias("last"), F.concat_ws(" ", top["said"], x["said"]).alias("said"))
-        alone = F.struct(x["line"].alias("first"), x["line"].alias("last"), x["said"].alias("said"))
-        more = (F.size(acc) > 0) & (top["last"] + 1 == x["line"])
-        return F.when(more, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
-
-    paragraphs = rows.select("file", F.explode(F.aggregate("ls", F.array().cast(kind), step)).alias("p"))
-    return paragraphs.select("file", F.col("p.first").alias("line"), F.explode(sentences(F.col("p.said"))).alias("text"))
+    follow one another without a gap are a paragraph: their number less their place is the same."""
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line"))
+    rows = prose_lines(docs).withColumn("island", F.col("line") - place).groupBy("file", "island").agg(F.sort_array(F.collect_list(F.struct("line", "said"))).alias("ls"))
+    said = F.array_join(F.transform("ls", lambda x: x["said"]), " ")
+    return rows.select("file", F.get("ls", F.lit(0))["line"].alias("line"), F.explode(sentences(said)).alias("text"))
 
 
 def alternations(text: Column) -> Column:

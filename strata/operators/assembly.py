@@ -171,15 +171,26 @@ def due(sections: DataFrame, commits: DataFrame, after: int = 10, cap: int = 3)
 
 def experiments(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs(experiment, session, ordinal, outcome, closed), damage(session, code)) of opened and closed
-    events: at most one close each, closes of known plans, ordinals of a session from 1 without gaps."""
-    opened = events.where("event = 'opened'").select(F.col("id").alias("experiment"), "session", "ordinal")
-    closed = events.where("event = 'closed'").groupBy("experiment").agg(F.count("*").alias("closes"), F.max("outcome").alias("outcome"), F.max("session").alias("closer"))
+    events(event, id, at, session, ordinal, experiment, owner, outcome).
+
+    unknown-experiment: closes no opened one; closed-twice; owner: closes for another session than the one
+    that opened; closed-early: before it was opened; ordinal: those of a session aren't 1, 2, 3…;
+    still-open, opened-early: opened while the one before is open, or before it was closed.
+    """
+    opened = events.where("event = 'opened'").select(F.col("id").alias("experiment"), "session", "ordinal", F.col("at").alias("opened_at"))
+    closed = events.where("event = 'closed'").groupBy("experiment").agg(
+        F.count("*").alias("closes"), F.max("outcome").alias("outcome"), F.max("session").alias("closer"), F.min("at").alias("closed_at"), F.min("owner").alias("least_owner"), F.max("owner").alias("owner"),
+    )
     pairs = opened.join(closed, "experiment", "left")
-    lost = closed.join(opened, "experiment", "left_anti").select(F.col("closer").alias("session"), F.lit("unknown-experiment").alias("code"))
-    twice = pairs.where("closes > 1").select("session", F.lit("closed-twice").alias("code"))
-    before = F.lag("ordinal", 1, 0).over(Window.partitionBy("session").orderBy("ordinal"))
-    gaps = opened.withColumn("gap", F.col("ordinal") - before).where("gap <> 1").select("session", F.lit("ordinal").alias("code"))
-    return pairs.select("experiment", "session", "ordinal", "outcome", F.col("closes").isNotNull().alias("closed")), lost.unionByName(twice).unionByName(gaps).distinct()
+    code = lambda df, c: df.select("session", F.lit(c).alias("code"))
+    lost = code(closed.join(opened, "experiment", "left_anti").select(F.col("closer").alias("session")), "unknown-experiment")
+    by = Window.partitionBy("session").orderBy("ordinal", "opened_at", "experiment")
+    rows = pairs.withColumns({"place": F.row_number().over(by), "prior_open": F.lag(F.col("closes").isNull()).over(by), "prior_end": F.lag("closed_at").over(by)})
+    parts = [
+        lost, code(pairs.where("closes > 1"), "closed-twice"), code(pairs.where("owner <> session or least_owner <> session"), "owner"), code(pairs.where("closed_at < opened_at"), "closed-early"),
+        code(rows.where("ordinal <> place"), "ordinal"), code(rows.where("prior_open"), "still-open"), code(rows.where("prior_end > opened_at"), "opened-early"),
+    ]
+    return pairs.select("experiment", "session", "ordinal", "outcome", F.col("closes").isNotNull().alias("closed")), reduce(DataFrame.unionByName, parts).distinct()
 
 
 # The states of open work and those that it may go to from each; an end may follow any of them.

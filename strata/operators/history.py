@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.sources.shared import materialize
+
 
 def band(commit_files: DataFrame, low: int = 2, high: int = 40) -> DataFrame:
     """(hash, files): commits with low to high files, and their distinct paths."""
@@ -145,7 +147,8 @@ def buckets(rows: DataFrame, n: int, *order: Column | str) -> DataFrame:
 
 def places(rows: DataFrame, *order: Column | str) -> tuple[DataFrame, DataFrame]:
     """(rows plus place from 1 in the order, one row with their total)."""
-    spread = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    # Written once: a second evaluation might number partitions and ties otherwise.
+    spread = materialize(rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "places")
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     # An id is its partition times 2^33 plus the place in it.

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,19 +13,44 @@ from strata import schemas
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, text, torn): numbered lines of every file; torn marks one that no line feed ends."""
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    cut = whole.select("file", F.split("value", "\n").alias("ls"))
-    rows = cut.select("file", F.size("ls").alias("n"), F.posexplode("ls").alias("i", "text"))
-    return rows.where("text <> ''").select("file", (F.col("i") + 1).alias("line"), "text", (F.col("i") == F.col("n") - 1).alias("torn"))
+    """(file, line, text, torn): numbered lines of every file; torn marks one that no line feed ends.
+
+    A file is read in its splits, and a line's number is that within its split and the lines of the
+    splits before: no file has to fit a row or a task. A file's last line is torn if the lines and
+    their line feeds come to more than its bytes.
+    """
+    m = F.col("_metadata")
+    cut = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), m["file_size"].alias("size"), F.col("value").alias("text"))
+    split = cut.groupBy("file", "block", "size").agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 1).alias("bytes"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    split = split.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("all"), (F.sum("bytes").over(whole) > F.col("size")).alias("torn"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("_i"))
+    rows = cut.withColumn("_i", F.monotonically_increasing_id()).withColumn("_r", own).join(split, ["file", "block"])
+    at = F.col("before") + F.col("_r")
+    return rows.select("file", at.cast("int").alias("line"), "text", (F.col("torn") & (at == F.col("all"))).alias("torn")).where("text <> ''")
+
+
+def _camel(name: str) -> str:
+    return re.sub("_([a-z])", lambda m: m[1].upper(), name)
+
+
+def _as_written(kind: T.DataType) -> T.DataType:
+    """The type with the names that files have: words joined by capitals instead of underscores."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(_camel(f.name), _as_written(f.dataType)) for f in kind.fields])
+    return T.ArrayType(_as_written(kind.elementType)) if isinstance(kind, T.ArrayType) else kind
 
 
-def parsed(rows: DataFrame, schema: str) -> DataFrame:
-    """lines() plus the fields of the schema and _corrupt, the text of what isn't such an object."""
+def parsed(rows: DataFrame, schema: str, *, camel: bool = False) -> DataFrame:
+    """lines() plus the fields of the schema and _corrupt, the text of what isn't such an object. With
+    camel, fields of several words are written joined by capitals (dependsOn) in the files."""
     wanted = T._parse_datatype_string(schema)
-    with_bad = T.StructType([*wanted.fields, T.StructField("_corrupt", T.StringType())])
+    written = _as_written(wanted) if camel else wanted
+    with_bad = T.StructType([*written.fields, T.StructField("_corrupt", T.StringType())])
     out = rows.withColumn("r", F.from_json("text", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    return out.select("file", "line", "torn", "text", "r.*")
+    fields = [F.col("r").getField(w.name).cast(f.dataType).alias(f.name) for w, f in zip(written.fields, wanted.fields, strict=True)]
+    return out.select("file", "line", "torn", "text", *fields, F.col("r._corrupt").alias("_corrupt"))
 
 
 def permissive(rows: DataFrame, schema: str, *required: str) -> tuple[DataFrame, DataFrame]:

@@ -79,7 +79,9 @@ def commit_log(spark: SparkSession, path: str, limit: int = 2000) -> tuple[DataF
 
     A record starts with 1E, its head is hash 1F subject, then one path on each line.
     """
-    rows = spark.read.option("lineSep", "\x1e").text(path).where("trim(value) <> ''").select(F.monotonically_increasing_id().alias("ord"), F.split("value", "\n").alias("ls"))
+    # Splits of a file may be dealt in any order; where each begins is part of the order.
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    rows = spark.read.option("lineSep", "\x1e").text(path).select(place.alias("ord"), "value").where("trim(value) <> ''").select("ord", F.split("value", "\n").alias("ls"))
     rows = rows.orderBy("ord").limit(limit)
     head = F.split(F.get("ls", F.lit(0)), "\x1f")
     paths = F.array_remove(F.slice("ls", F.lit(2), F.greatest(F.size("ls") - 1, F.lit(0))), "")

@@ -166,3 +166,62 @@ def test_running_counts(spark, tmp_path):
         assert rows(spark.table("counts_out")) == [("e", 2)]
     finally:
         q.stop()
+
+
+OPENED = {
+    "version": 1, "event": "opened", "at": "2024-01-02T03:04:05.678Z", "session": "s1", "agent": "a", "job": "j", "work": "wrk-a", "parent": None, "objective": "do it", "criteria": ["done"], "constraints": [], "nonGoals": [],
+    "authority": {"kind": "agent-local", "grantedBy": "me", "boundary": "this"}, "owner": {"session": "s1", "agent": "a"}, "dependsOn": ["wrk-b"], "readScopes": ["**"], "writeScopes": ["src/**", "x.ts"], "risk": "low", "state": "open",
+}
+REPO = {"branch": "main", "commit": None, "dirty": False}
+LINK = {"version": 1, "event": "linked", "at": OPENED["at"], "session": "s1", "agent": "a", "job": "j", "basis": "agent-assessed", "repo": REPO, "from": {"kind": "work", "id": "w"}, "relation": "implements", "to": {"kind": "decision", "id": "d"}, "evidence": "it does"}
+DEFECT = {"version": 1, "event": "recorded", "at": OPENED["at"], "basis": "agent-assessed", "session": "s1", "agent": "a", "job": "j", "repo": REPO, "summary": "broken", "evidence": "seen", "files": ["a/b.ts"]}
+
+
+def signed(ledger, record):
+    from strata.sources import strict
+
+    return record | {"id": strict.content_id(ledger, record)}
+
+
+@pytest.mark.parametrize(
+    ("ledger", "good", "bad"),
+    [
+        ("work", OPENED, {"risk": {"risk": "none"}, "state": {"state": "active"}, "work": {"work": "W"}, "criteria": {"criteria": []}, "dependsOn": {"dependsOn": ["wrk-b", "wrk-a"]}, "writeScopes": {"writeScopes": ["../x"]}, "owner": {"owner": {"session": "unknown", "agent": "a"}}, "shape": {"extra": 1}, "at": {"at": "2024-01-02"}, "objective": {"objective": " x"}, "displaced": {"session": "s2"}}),
+        ("consequence", LINK, {"relation": {"relation": "authorizes"}, "from": {"from": {"kind": "person", "id": "x"}}, "repo": {"repo": REPO | {"commit": "abc"}}, "basis": {"basis": "sure"}, "evidence": {"evidence": ""}, "version": {"version": 2}}),
+        ("defect", DEFECT, {"files": {"files": ["b", "a"]}, "summary": {"summary": "a\nb"}, "shape": {"event": "linked"}}),
+    ],
+)
+def test_strict_ledgers(spark, tmp_path, ledger, good, bad):
+    from strata.sources import strict
+
+    def read(at, *records, end="\n"):
+        write(f"{tmp_path}/{at}/s1.jsonl", *records, end=end)
+        kept, damage = strict.strict(jsonl.lines(spark, f"{tmp_path}/{at}"), ledger)
+        return kept.collect(), {(r.line, r.code) for r in damage.collect()}
+
+    one, other = signed(ledger, good), signed(ledger, good | {"agent": "b"})
+    kept, damage = read("ok", one, other, one)
+    assert not damage and {r.id for r in kept} == {one["id"], other["id"]}
+    if ledger == "work":
+        assert kept[0].depends_on == ["wrk-b"] and kept[0].authority.granted_by == "me"
+    faulty = [signed(ledger, good | change) for change in bad.values()]
+    assert read("bad", one, *faulty, "{", one | {"agent": "z"}) == ([], {(i + 2, code) for i, code in enumerate(bad)} | {(len(bad) + 2, "corrupt"), (len(bad) + 3, "forged")})
+    assert read("torn", one, end="") == ([], {(1, "torn")})
+
+
+def test_sound_rows_of_activity_and_traces(spark):
+    from strata.sources import strict
+
+    s = F.lit("s")
+    base = {"version": 1, "at": OPENED["at"], "host": "codex", "transport": "direct", "session": "s", "attribution": "session", "event": "Stop", "bundleHash": None}
+    rows_ = [base, base | {"host": "other"}, base | {"attribution": "agent"}, base | {"attribution": "agent", "agentId": "s"}, base | {"attribution": "parent-fallback", "parentSession": "s"}, base | {"turn": "t"}, base | {"at": "now"}, base | {"session": "x"}]
+    rows_ += [base | {"command": {"kind": "verification", "name": "verify", "command": "x verify", "result": r, "exitCode": 0}} for r in ("success", "failure")] + ["no"]
+    df = spark.createDataFrame([("f", i, x if isinstance(x, str) else json.dumps(x), False) for i, x in enumerate(rows_)], "file string, line int, text string, torn boolean")
+    good, bad = strict.counted(jsonl.parsed(df, schemas.ACTIVITY, camel=True), strict.activity_sound(s))
+    assert sorted(r.line for r in good.collect()) == [0, 3, 4, 8] and bad.first().unreadable == 7
+    base = {"at": OPENED["at"], "session": "s", "tool": "Read", "path": "a.ts"}
+    seen = {"version": 1, "host": "claude", "transport": "launcher", "attribution": "session", "eventId": None}
+    rows_ = [base, base | {"mode": "write"}, base | {"mode": "x"}, base | {"path": ""}, base | {"provenance": {"source": "apply_patch", "operation": "move"}}, base | {"provenance": {"source": "guess", "operation": "move"}}, base | {"observation": seen}, base | {"observation": seen | {"attribution": "agent"}}]
+    df = spark.createDataFrame([("f", i, json.dumps(x), False) for i, x in enumerate(rows_)], "file string, line int, text string, torn boolean")
+    good, bad = strict.counted(jsonl.parsed(df, schemas.READ_TRACE, camel=True), strict.trace_sound(s))
+    assert sorted(r.line for r in good.collect()) == [0, 1, 4, 6] and bad.first().unreadable == 4
