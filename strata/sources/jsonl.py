@@ -50,7 +50,9 @@ def parsed(rows: DataFrame, schema: str, *, camel: bool = False) -> DataFrame:
     with_bad = T.StructType([*written.fields, T.StructField("_corrupt", T.StringType())])
     out = rows.withColumn("r", F.from_json("text", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     fields = [F.col("r").getField(w.name).cast(f.dataType).alias(f.name) for w, f in zip(written.fields, wanted.fields, strict=True)]
-    return out.select("file", "line", "torn", "text", *fields, F.col("r._corrupt").alias("_corrupt"))
+    # A parser stops after the first value; as the only element of a list a line must be one value whole.
+    one = F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col("text"), F.lit("]"))) == 1, F.lit(False))
+    return out.select("file", "line", "torn", "text", *fields, F.when(~one, F.col("text")).otherwise(F.col("r._corrupt")).alias("_corrupt"))
 
 
 def permissive(rows: DataFrame, schema: str, *required: str) -> tuple[DataFrame, DataFrame]:

@@ -40,7 +40,7 @@ def test_strict(spark, tmp_path):
     kept, damage = read("ok")
     assert damage.count() == 0 and sorted(r.id for r in kept.collect()) == sorted(g["id"] for g in good)
     bad = {
-        "corrupt": ["{"], "forged": [good[0] | {"chose": "other"}], "time": [decision(spark, at="yesterday")], "kind": [decision(spark, kind="guess")], "displaced": [decision(spark, session="s9")],
+        "corrupt": ["{", json.dumps(good[0]) + "x", json.dumps(good[0]) + json.dumps(good[0]), json.dumps(good[0]) + ",{}"], "forged": [good[0] | {"chose": "other"}], "time": [decision(spark, at="yesterday")], "kind": [decision(spark, kind="guess")], "displaced": [decision(spark, session="s9")],
         "reference": [decision(spark, kind="retraction")], "dangling": [decision(spark, kind="retraction", supersedes="d-00000000")], "conflict": [good[0], good[0] | {"job": "k"}],
     }
     for code, records in bad.items():
