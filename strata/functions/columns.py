@@ -130,3 +130,43 @@ def ref_parts(ref: Column) -> Column:
         F.when(at > 1, F.substring(ref, F.lit(1), at - 1)).alias("kind"),
         F.when(at > 1, F.substring(ref, at + 1, F.lit(1 << 30))).alias("id"),
     )
+
+
+def local_parts(at: Column, zone: str = "UTC") -> Column:
+    """struct<y, md, hm, hms> of a UTC time text on the clock of a zone; null for what isn't a time."""
+    t = F.from_utc_timestamp(F.try_to_timestamp(at), zone)
+    said = lambda f: F.date_format(t, f)
+    return F.when(t.isNotNull(), F.struct(said("yyyy").alias("y"), said("MM-dd").alias("md"), said("HH:mm").alias("hm"), said("HH:mm:ss").alias("hms")))
+
+
+def format_when(at: Column, now: Column, zone: str = "UTC") -> Column:
+    """How long ago a time text was, within a day; else its date and time in the zone; what isn't a time as it is."""
+    t = F.try_to_timestamp(at)
+    s = F.unix_timestamp(now) - F.unix_timestamp(t)
+    ago = lambda n, unit: F.concat(_text(n), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
+    day = F.date_format(F.from_utc_timestamp(t, zone), "MMM d, yyyy · HH:mm")
+    past = s >= 0
+    return F.when(t.isNull(), at).when(past & (s < 60), ago(s, "second")).when(past & (s < 3600), ago(F.floor(s / 60), "minute")).when(past & (s < 86400), ago(F.floor(s / 3600), "hour")).otherwise(day)
+
+
+def _text(c: Column) -> Column:
+    return c.cast("string")
+
+
+def site_subject(file: Column, kind: Column, name: Column, keys: Column) -> Column:
+    """What a site is called wherever it stands: one that is named by its line is named by its keys."""
+    by_keys = F.concat(F.regexp_extract(name, r"^(.*)@\d+$", 1), F.lit("#"), F.substring(F.sha2(F.array_join(keys, "\0"), 256), 1, 6))
+    return F.concat(file, F.lit("#"), kind, F.lit(":"), F.when(name.rlike(r"@\d+$"), by_keys).otherwise(name))
+
+
+def unit_subject(file: Column, words: Column) -> Column:
+    return F.concat(file, F.lit("#prose:"), F.substring(F.sha2(F.array_join(words, " "), 256), 1, 6))
+
+
+def finding_key(advisory: Column, subject: Column) -> Column:
+    return F.concat(advisory, F.lit(":"), subject)
+
+
+def context_path(raw: Column) -> Column:
+    """A path with slashes, without what leads nowhere."""
+    return F.regexp_replace(F.regexp_replace(F.replace(F.trim(raw), F.lit("\\"), F.lit("/")), r"^\./", ""), "/{2,}", "/")

@@ -216,3 +216,30 @@ def fitting_prefix(units: DataFrame, budget: int, footer: int) -> DataFrame:
     tail = F.when(left > 0, F.lit(footer) + F.length(left.cast("string"))).otherwise(F.lit(0))
     rows = units.withColumns({"_n": F.row_number().over(run), "_fits": F.sum("bytes").over(run) + tail <= budget})
     return rows.withColumn("_most", F.max(F.when(F.col("_fits"), F.col("_n"))).over(whole)).where("_n <= _most").drop("_n", "_fits", "_most")
+
+
+def refutation_table(claims: DataFrame, refutations: DataFrame) -> DataFrame:
+    """Claims(node, claim, kind) that are boundaries, with their invariant and whether a refutation(node, text)
+    names it before its colon."""
+    named = refutations.select("node", F.trim(F.substring_index("text", ":", 1)).alias("inv")).distinct().withColumn("_r", F.lit(True))
+    rows = claims.withColumn("b", boundary(F.col("claim"))).where("b is not null").withColumn("inv", F.col("b.inv"))
+    return rows.join(named, ["node", "inv"], "left").select("node", "inv", "b.chokepoint", F.coalesce("b.oracle", F.lit("—")).alias("oracle"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("_r", F.lit(False)).alias("refuted"))
+
+
+def gate_order(rows: DataFrame) -> list[Column]:
+    """The order of gates(component, inv, grade, verdict, reliants): breaches, the weakest grades, those most rely on."""
+    rank = F.array_position(F.array(*[F.lit(g) for g in "UDCBA"]), F.col("grade"))
+    return [F.desc(F.col("verdict") == "fail"), rank, F.desc("reliants"), F.col("component"), F.col("inv")]
+
+
+def apply_verdicts(statements: DataFrame, verdicts: DataFrame, jobs: DataFrame) -> DataFrame:
+    """statements(id, status, verified_hash, drift, suggested) after verdicts(id, supported, reason, corrected):
+    a supported one is ok at its job's hash, another has drifted; without jobs(id, current_hash) nothing changes."""
+    v = verdicts.join(jobs, "id")
+    rows = statements.join(v, "id", "left")
+    yes, no = F.coalesce("supported", F.lit(False)), F.coalesce(~F.col("supported"), F.lit(False))
+    keep = lambda c: F.col(c)
+    return rows.select(
+        "id", F.when(yes, "ok").when(no, "drifted").otherwise(keep("status")).alias("status"), F.when(yes, F.col("current_hash")).otherwise(keep("verified_hash")).alias("verified_hash"),
+        F.when(no, F.col("reason")).when(~yes, keep("drift")).alias("drift"), F.when(no, F.coalesce("corrected", keep("suggested"))).when(~yes, keep("suggested")).alias("suggested"),
+    )

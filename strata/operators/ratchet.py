@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.columns import family_of
@@ -79,14 +81,27 @@ def signal_state(rows: DataFrame) -> DataFrame:
     return rows.withColumn("state", state)
 
 
+# The keys of totals, and the name of what no component owns.
+TOTALS = ("lines|total", "files|total", "symbols|total", "undocumented|symbols")
+UNOWNED = "(unowned)"
+
+
+def documented(prose: Column) -> Column:
+    return F.coalesce(F.trim(prose), F.lit("")) != ""
+
+
 def structural_dims(nodes: DataFrame, stats: DataFrame) -> DataFrame:
     """(key, value, unit) from nodes(id, kind, component, path, prose) and stats(path, lines): lines in
     all and of each component, files, symbols, and symbols without prose."""
-    files = nodes.where("kind = 'file'").join(stats, "path", "left")
-    lines = F.coalesce(F.col("lines"), F.lit(0))
-    per = files.where("component is not null").groupBy(F.concat(F.lit("lines|"), F.col("component")).alias("key")).agg(F.sum(lines).cast("double").alias("value")).withColumn("unit", F.lit("lines"))
-    blank = F.coalesce(F.trim("prose"), F.lit("")) == ""
-    whole = nodes.agg(F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "symbol").alias("symbols"), F.count_if((F.col("kind") == "symbol") & blank).alias("undocumented"))
-    counts = whole.select(F.expr("stack(3, 'files', files, 'symbols', symbols, 'undocumented', undocumented)").alias("key", "value")).select("key", F.col("value").cast("double").alias("value"), F.lit(None).cast("string").alias("unit"))
-    total = files.agg(F.coalesce(F.sum(lines), F.lit(0)).cast("double").alias("value")).select(F.lit("lines").alias("key"), "value", F.lit("lines").alias("unit"))
-    return per.unionByName(counts).unionByName(total)
+    files = nodes.where("kind = 'file'").join(stats, "path", "left").withColumn("n", F.coalesce("lines", F.lit(0)))
+    per = files.groupBy(F.concat(F.lit("lines|"), F.coalesce("component", F.lit(UNOWNED))).alias("key")).agg(F.sum("n").cast("double").alias("value")).withColumn("unit", F.lit("lines"))
+    symbol = F.col("kind") == "symbol"
+    whole = nodes.agg(F.count_if(F.col("kind") == "file").alias("f"), F.count_if(symbol).alias("s"), F.count_if(symbol & ~documented(F.col("prose"))).alias("u"))
+    one = lambda df, key, c, unit: df.select(F.lit(key).alias("key"), F.col(c).cast("double").alias("value"), F.lit(unit).alias("unit"))
+    lines = one(files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), TOTALS[0], "n", "lines")
+    return reduce(DataFrame.unionByName, (per, lines, one(whole, TOTALS[1], "f", "files"), one(whole, TOTALS[2], "s", "symbols"), one(whole, TOTALS[3], "u", "symbols")))
+
+
+def population(dims: DataFrame) -> DataFrame:
+    """One row: the files and symbols that dims(key, value) were read over."""
+    return dims.agg(F.coalesce(F.sum(F.when(F.col("key").isin(*TOTALS[1:3]), F.col("value"))), F.lit(0.0)).alias("population"))

@@ -236,9 +236,9 @@ SQL = {
     "due_sections": """WITH o AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS ord FROM orders),
         s AS (SELECT o_orderpriority AS section, max(ord) AS commits FROM o GROUP BY 1 UNION ALL SELECT 'lost', NULL), r AS (SELECT *, row_number() OVER (ORDER BY commits DESC NULLS LAST, section) AS r FROM s)
         SELECT section, commits, CASE WHEN commits IS NULL THEN 'uncountable' WHEN commits < 10 THEN 'current' WHEN r <= 3 THEN 'due' ELSE 'withheld' END AS state FROM r""",
-    "structural_dims": """WITH f AS (SELECT CASE WHEN s_nationkey <> 3 THEN 'n:' || s_nationkey END AS c, s_suppkey % 100 AS lines FROM supplier)
-        SELECT 'lines|' || c AS key, CAST(sum(lines) AS DOUBLE) AS value, 'lines' AS unit FROM f WHERE c IS NOT NULL GROUP BY 1 UNION ALL SELECT 'lines', CAST(sum(lines) AS DOUBLE), 'lines' FROM f
-        UNION ALL SELECT 'files', CAST(count(*) AS DOUBLE), NULL FROM supplier UNION ALL SELECT 'symbols', CAST(count(*) AS DOUBLE), NULL FROM part UNION ALL SELECT 'undocumented', CAST(count(*) FILTER (WHERE p_size <= 10) AS DOUBLE), NULL FROM part""",
+    "structural_dims": """WITH f AS (SELECT CASE WHEN s_nationkey <> 3 THEN 'n:' || s_nationkey ELSE '(unowned)' END AS c, s_suppkey % 100 AS lines FROM supplier)
+        SELECT 'lines|' || c AS key, CAST(sum(lines) AS DOUBLE) AS value, 'lines' AS unit FROM f GROUP BY 1 UNION ALL SELECT 'lines|total', CAST(sum(lines) AS DOUBLE), 'lines' FROM f
+        UNION ALL SELECT 'files|total', CAST(count(*) AS DOUBLE), 'files' FROM supplier UNION ALL SELECT 'symbols|total', CAST(count(*) AS DOUBLE), 'symbols' FROM part UNION ALL SELECT 'undocumented|symbols', CAST(count(*) FILTER (WHERE p_size <= 10) AS DOUBLE), 'symbols' FROM part""",
     "budgeted_context": """WITH r AS (SELECT conv_id AS doc, turn AS ord, CAST(octet_length(encode(text)) AS INTEGER) AS bytes, row_number() OVER w AS n, sum(octet_length(encode(text))) OVER w AS s, count(*) OVER (PARTITION BY conv_id) - row_number() OVER w AS rest FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
         m AS (SELECT doc, max(n) AS most FROM r WHERE s + CASE WHEN rest > 0 THEN 25 + length(CAST(rest AS VARCHAR)) ELSE 0 END <= 3000 GROUP BY doc) SELECT r.doc, ord, bytes FROM r JOIN m ON m.doc = r.doc AND n <= most""",
     "attributed_activity": """WITH e AS (SELECT event_id, event_type = 'click' AS shared, CASE WHEN value > 10 THEN 'u' || user_id END AS parent, CASE WHEN event_type = 'purchase' THEN 'a' || user_id END AS agent, CASE WHEN value > 60 THEN CAST(floor(value / 80) AS INTEGER) END AS code, value > 50 AS v FROM events)

@@ -7,7 +7,7 @@ import os
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,16 @@ def commits_since(commits: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(commits.select("hash", F.col("ord").alias("n")), "hash", "left")
 
 
+def commits_after(commits: DataFrame, times: DataFrame) -> DataFrame:
+    """(at, n) of times(at): how many of commits(hash, committed) are of that time or later."""
+    marks = times.select("at").distinct()
+    both = commits.select(F.col("committed").alias("t"), F.lit(1).alias("c")).unionByName(marks.select(F.col("at").alias("t"), F.lit(0).alias("c")))
+    by = both.groupBy("t").agg(F.sum("c").alias("c"))
+    # One row for each time there is; a running sum from the latest.
+    run = by.withColumn("n", F.sum("c").over(Window.orderBy(F.desc("t"))))
+    return times.join(run.select(F.col("t").alias("at"), "n"), "at")
+
+
 def dependency_dims(manifests: DataFrame) -> DataFrame:
     """(key, value, unit) of manifests(path, text): how many packages each group of a JSON manifest has.
     A manifest that isn't JSON has no row, rather than a zero."""
