@@ -91,7 +91,7 @@ def test_scores_are_the_model_over_the_grams_of_each_text():
     model = toxicity.Model(chosen, np.linspace(-1, 1, len(chosen)), 0.25)
     got = model.scores(*W.text_bytes(pa.array(texts)))
     for t, g in zip(texts, got, strict=True):
-        own = set(toxicity.grams(*W.text_bytes(pa.array([t])))[0].tolist())
+        own = set(toxicity.grams(*W.text_bytes(pa.array([t], pa.string())))[0].tolist())
         z = 0.25 + sum(w for c, w in zip(chosen.tolist(), model.weights, strict=True) if c in own)
         assert abs(g - 1 / (1 + np.exp(-z))) < 1e-12
 
