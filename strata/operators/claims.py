@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 # The forms of the claim language.
 BOUNDARY = r'^boundary\s+"([^"]+)"\s+at\s+(\S+)(?:\s+crossing\s+(\S+)\s+->\s+(\S+))?(?:\s+via (test|guard)\s+"([^"]+)")?$'
 PARITY = r'^parity\s+"([^"]+)"\s+over\s+(\S+)\s+between\s+(\S+)\s+and\s+(\S+)\s+via test\s+"([^"]+)"$'
-PASSES = r'^passes test\s+"([^"]+)"$'
+PASSES = r'^passes test\s+"(.+)"$'
 EXISTS = r"^(\S+)\s+exists at\s+(root|this node|every node)$"
 IMPORTS = r"^(\S+)\s+imports\s+(\S+)$"
-RESPONDS = r'^(\S+)\s+responds\s+(\d{3})(?:\s+with\s+"([^"]+)")?$'
+RESPONDS = r'^(\S+)\s+responds\s+(\d+)(?:\s+with\s+"(.*)")?$'
 RESIDES = r"^lives in\s+(\S+)$"
-CONFORMS = r"^conforms to\s+(\S+)$"
+CONFORMS = r"^conforms to\s+([A-Za-z][A-Za-z0-9_-]*)$"
 TYPECHECKS = r"^typechecks$"
 
 #: In the order in which they are tried.
@@ -243,3 +243,23 @@ def apply_verdicts(statements: DataFrame, verdicts: DataFrame, jobs: DataFrame)
         "id", F.when(yes, "ok").when(no, "drifted").otherwise(keep("status")).alias("status"), F.when(yes, F.col("current_hash")).otherwise(keep("verified_hash")).alias("verified_hash"),
         F.when(no, F.col("reason")).when(~yes, keep("drift")).alias("drift"), F.when(no, F.coalesce("corrected", keep("suggested"))).when(~yes, keep("suggested")).alias("suggested"),
     )
+
+
+def responds(claims: DataFrame, responses: DataFrame) -> DataFrame:
+    """(claim, kind) of the distinct claims(claim) that a URL responds, against responses(url, status, body), one
+    row for each URL that was asked: skip where it wasn't reached, fail for another status or a body
+    without the text, else pass."""
+    c = F.col("claim")
+    asked = claims.where(c.rlike(RESPONDS)).select("claim").distinct()
+    asked = asked.select("claim", group(c, RESPONDS, 1).alias("url"), group(c, RESPONDS, 2).cast("decimal(38,0)").alias("wanted"), group(c, RESPONDS, 3).alias("said"))
+    rows = asked.join(responses.select("url", "status", "body"), "url", "left")
+    there = F.col("said").isNull() | F.coalesce(F.contains(F.col("body"), F.col("said")), F.lit(False))
+    kind = F.when(F.col("status").isNull(), "skip").when((F.col("status") == F.col("wanted")) & there, "pass").otherwise("fail")
+    return rows.select("claim", kind.alias("kind"))
+
+
+def typechecks(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """claims that the code typechecks, plus kind by results(passed) of the checkers that ran: fail if one failed, skip if none ran."""
+    every = results.agg(F.bool_and("passed").alias("_passed"))  # one row
+    kind = F.when(F.col("_passed").isNull(), "skip").when(F.col("_passed"), "pass").otherwise("fail")
+    return claims.where(F.col("claim").rlike(TYPECHECKS)).join(F.broadcast(every)).withColumn("kind", kind).drop("_passed")

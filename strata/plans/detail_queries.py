@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata import schemas
@@ -66,7 +67,8 @@ def doubts(spark, d):
 def scoped_timeline(spark, d):
     """The records of one agent's session, in order."""
     c = R.table(spark, d, "conversations").select(F.concat(F.lit("s"), _t(F.col("conv_id") % 40)).alias("session"), F.col("role").alias("agent"), F.concat(_t(F.col("conv_id")), F.lit("-"), _t(F.col("turn"))).alias("id"), F.lpad(_t(F.col("turn")), 3, "0").alias("at"))
-    return L.timeline(L.in_scope(c, session="s7", agent="user", branch=None)).limit(25)
+    place = F.rank().over(Window.partitionBy("session").orderBy("at", "id"))
+    return L.timeline(L.in_scope(c, session="s7", agent="user", branch=None)).withColumn("place", place)
 
 
 def priors_and_attestations(spark, d):
@@ -124,7 +126,8 @@ def _gates(spark, d):
 def gate_verdicts(spark, d):
     """Gates with their grades and verdicts, in the order in which a page shows them."""
     g = _gates(spark, d).select("component", "ord", "inv", "grade", "verdict", F.length("inv").alias("reliants"))
-    return g.orderBy(*K.gate_order(g), "ord").limit(40).select("component", "ord", "inv", "grade", "verdict")
+    place = F.rank().over(Window.partitionBy("component").orderBy(*K.gate_order(g), "ord"))
+    return g.select("component", "ord", "inv", "grade", "verdict", place.alias("place"))
 
 
 def gate_reliances(spark, d):
@@ -284,7 +287,7 @@ SQL = {
         CASE WHEN length('long text ' || p_partkey) > 12 THEN substr('long text ' || p_partkey, 1, 11) || '…' ELSE 'long text ' || p_partkey END AS clip FROM part""",
     "doubts": """WITH s AS (SELECT p_partkey AS k, p_partkey % 6 AS m, list_extract(['the decoder broke', 'the decoder is fine', '[instrument] off', 'weather', 'the instrument is wrong', 'a miscount of it'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS said FROM part)
         SELECT k, m IN (0, 2, 4, 5) AS doubt, CASE WHEN m IN (2, 4) THEN '' ELSE 'the instrument is wrong|' END || said || '|x' AS candidates FROM s""",
-    "scoped_timeline": """SELECT 's7' AS session, role AS agent, conv_id || '-' || turn AS id, lpad(CAST(turn AS VARCHAR), 3, '0') AS "at" FROM conversations WHERE conv_id % 40 = 7 AND role = 'user' ORDER BY 4, 3 LIMIT 25""",
+    "scoped_timeline": """SELECT 's7' AS session, role AS agent, conv_id || '-' || turn AS id, lpad(CAST(turn AS VARCHAR), 3, '0') AS "at", CAST(rank() OVER (ORDER BY lpad(CAST(turn AS VARCHAR), 3, '0'), conv_id || '-' || turn) AS INTEGER) AS place FROM conversations WHERE conv_id % 40 = 7 AND role = 'user'""",
     "priors_and_attestations": """WITH o AS (SELECT 'f' || (o_custkey % 30) AS finding, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS id, lpad(CAST(o_orderkey * 7 % 1000 AS VARCHAR), 4, '0') || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS o, o_orderkey % 4 AS m FROM orders)
         SELECT finding, arg_max(id, o) FILTER (WHERE m = 0) AS open_id, arg_max(id, o) FILTER (WHERE m IN (1, 2)) AS settled_id FROM o GROUP BY finding""",
     "populations": "SELECT CAST((SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS DOUBLE) AS population, true AS refused",
@@ -292,7 +295,7 @@ SQL = {
     "first_boundaries": f"WITH {_CL} SELECT cp AS chokepoint, arg_min(inv, ord) AS inv, (arg_min([verb], ord))[1] AS verb FROM t WHERE is_b GROUP BY cp",
     "boundary_refutations": f"WITH {_CL}, {_REF}, u AS (SELECT DISTINCT node, claim, inv, cp, verb, kind FROM t WHERE is_b) SELECT u.node, u.inv, cp AS chokepoint, CASE verb WHEN 'test' THEN 't' WHEN 'guard' THEN 'g' ELSE '—' END AS oracle, coalesce(kind, '') AS kind, r.inv IS NOT NULL AS refuted FROM u LEFT JOIN r ON r.node = u.node AND r.inv = u.inv",
     "refutation_gaps": f"WITH {_CL}, {_REF}, u AS (SELECT DISTINCT node, claim, inv FROM t WHERE is_b) SELECT node, claim, inv FROM u ANTI JOIN r USING (node, inv)",
-    "gate_verdicts": f"WITH {_GATE} SELECT component, ord, inv, grade, verdict FROM gate ORDER BY verdict = 'fail' DESC, position(grade IN 'UDCBA'), length(inv) DESC, component, inv, ord LIMIT 40",
+    "gate_verdicts": f"WITH {_GATE} SELECT component, ord, inv, grade, verdict, CAST(rank() OVER (PARTITION BY component ORDER BY verdict = 'fail' DESC, position(grade IN 'UDCBA'), length(inv) DESC, inv, ord) AS INTEGER) AS place FROM gate",
     "gate_reliances": f"""WITH {_GATE}, l AS (SELECT DISTINCT p_brand AS source, 'Brand#' || (p_size % 50 + 10) AS target FROM part), h AS (SELECT DISTINCT p_brand AS component, 'z' || (CAST(substr(p_brand, 7, 2) AS INTEGER) % 4) AS zone FROM part),
         w AS (SELECT za, zb, inv AS via FROM gate WHERE za <> zb QUALIFY row_number() OVER (PARTITION BY za, zb ORDER BY component, ord) = 1),
         x AS (SELECT source, target, CASE WHEN b.zone IS NOT NULL THEN a.zone END AS f, CASE WHEN a.zone IS NOT NULL THEN b.zone END AS t FROM l LEFT JOIN h a ON a.component = source LEFT JOIN h b ON b.component = target)

@@ -104,8 +104,8 @@ def _crossings(spark, d):
     down = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("from"), F.col("n_name").alias("to"), (F.col("n_nationkey") / 10.0).alias("heat"))
     names = r.select("r_name", "r_regionkey")
     on = names.alias("x").join(names.alias("y"), F.expr("y.r_regionkey = x.r_regionkey + 1")).select(F.col("x.r_name").alias("from"), F.col("y.r_name").alias("to"), F.lit(1.0).alias("heat"))
-    suppliers = R.table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("i"))
-    tier = lambda n: F.concat(F.lit("tier "), F.lpad(n.cast("string"), 2, "0"))
+    suppliers = R.table(spark, d, "supplier").select(F.col("s_suppkey").alias("i"))
+    tier = lambda n: F.concat(F.lit("tier "), F.lpad(n.cast("string"), 9, "0"))
     chain = suppliers.select(tier(F.col("i")).alias("from"), tier(F.col("i") + 1).alias("to"), (F.col("i") / 4.0).alias("heat"))
     skip = names.alias("x").join(names.alias("y"), F.expr("y.r_regionkey = x.r_regionkey + 2")).select(F.col("x.r_name").alias("from"), F.col("y.r_name").alias("to"), F.lit(5.0).alias("heat"))
     return down.unionByName(on).unionByName(skip).unionByName(chain)
@@ -238,7 +238,7 @@ ready AS (SELECT works.work, CASE WHEN state IN ('completed', 'cancelled') THEN
   LEFT JOIN (SELECT work, bool_or(os IN ('blocked', 'cancelled')) AS stuck, bool_or(os NOT IN ('blocked', 'cancelled', 'completed')) AS open FROM need WHERE os IS NOT NULL GROUP BY work) m ON m.work = works.work)"""
 _CROSS = """cr AS (SELECT r_name AS f, n_name AS t, n_nationkey / 10.0::DOUBLE AS h FROM nation JOIN region ON n_regionkey = r_regionkey
  UNION ALL SELECT x.r_name, y.r_name, 1.0 FROM region x JOIN region y ON y.r_regionkey = x.r_regionkey + 1 UNION ALL SELECT x.r_name, y.r_name, 5.0 FROM region x JOIN region y ON y.r_regionkey = x.r_regionkey + 2
- UNION ALL SELECT 'tier ' || lpad(CAST(s_suppkey AS VARCHAR), 2, '0'), 'tier ' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 2, '0'), s_suppkey / 4.0::DOUBLE FROM supplier WHERE s_suppkey <= 20),
+ UNION ALL SELECT 'tier ' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), 'tier ' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 9, '0'), s_suppkey / 4.0::DOUBLE FROM supplier),
 steps AS (SELECT f, t, sum(h) AS h FROM cr GROUP BY f, t),
 walk AS (SELECT DISTINCT [f] AS path, 0.0::DOUBLE AS heat FROM steps WHERE f NOT IN (SELECT t FROM steps)
  UNION ALL SELECT list_append(path, t), heat + h FROM walk JOIN steps ON f = path[len(path)] WHERE t IN (SELECT f FROM steps) AND NOT list_contains(path, t)),

@@ -124,12 +124,15 @@ def compaction(spark, d):
     return jsonl.compaction_plan(files, F.timestamp_seconds(F.lit(1704067200))).select("file", "skip", "target")
 
 
+_TARGETS = (("main", "2024-01", None), ("main", "2024-01", None), ("dev", "2024-02", "still warm"), ("dev", "2024-02", None), ("main", "2024-03", None), ("dev", "2024-02", None), ("main", "2024-01", "never committed"))
+
+
 def compacted_lines(spark, d):
     """Events folded into one file for each branch and month, as they were, in order of time."""
-    e = R.table(spark, d, "events").where("event_id % 7 < 3").select(F.col("event_id").alias("k"), "event_type")
+    e = R.table(spark, d, "events").select(F.col("event_id").alias("k"), "event_type")
     k = F.col("k")
     rows = e.select(F.concat(F.lit("f"), _t(k % 7)).alias("file"), F.concat(F.lit("{ "), _t(k), F.lit(" }  ")).alias("text"), _t(k % 10).alias("at"), F.lpad(_t(k), 9, "0").alias("id"), F.lit("s").alias("session"))
-    plan = spark.createDataFrame([("f0", "main", "2024-01", None), ("f1", "main", "2024-01", None), ("f2", "dev", "2024-02", "still warm")], "file string, branch string, month string, skip string")
+    plan = spark.createDataFrame([(f"f{i}", b, m, s) for i, (b, m, s) in enumerate(_TARGETS)], "file string, branch string, month string, skip string")
     path = folder(spark, "compacted")
     jsonl.compact(rows, plan, path)
     got = spark.read.text(path, wholetext=True)
@@ -214,16 +217,25 @@ _SCANNED: dict = {}
 
 
 def _scanned(spark, d):
-    """The files above on disk, a few hundred of them, scanned. They are written by one task from rows in order."""
+    """The files above on disk, scanned. Tasks write them under names of their own first, so one can run again."""
     import os
+    import uuid
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = f"{root}/{path}"
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                part = f"{os.path.dirname(at)}/.{uuid.uuid4().hex}"
+                with open(part, "w", encoding="utf-8") as f:
+                    f.write(text)
+                os.replace(part, at)
+            yield batch.slice(0, 0)
 
     key = (spark.sparkContext.applicationId, d)
     if key not in _SCANNED:
         root = folder(spark, "tree").replace("file:", "")
-        for path, text in _files(spark, d).where("k < 400").select("path", "text").toLocalIterator():
-            os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
-            with open(f"{root}/{path}", "w", encoding="utf-8") as f:
-                f.write(text)
+        _files(spark, d).select("path", "text").mapInArrow(write, "path string, text string").count()
         _SCANNED[key] = root
     return project.scan(spark, _SCANNED[key], ignore=("node_modules",))
 
@@ -365,7 +377,7 @@ QUERIES = {
     )
 }
 
-_KEPT = "f AS (SELECT CASE WHEN p_partkey % 23 = 0 THEN 'c' || (p_partkey % 9) || '/node_modules' WHEN p_partkey % 29 = 0 THEN 'c' || (p_partkey % 9) || '/.git' ELSE 'c' || (p_partkey % 9) END AS dir, p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN '.test.ts' WHEN p_partkey % 31 = 0 THEN '.spec.md' ELSE '.ts' END AS tail FROM part), g AS (SELECT *, dir || '/m' || k || tail AS path, '// Part ' || k || ' of it.' || chr(10) || '// Second line.' || chr(10) || 'import { x } from ''./m' || (k + 9) || ''';' || chr(10) || 'export function f' || k || '() {}' || chr(10) || 'export type U' || (k % 50) || ' = ''a'' | ''b'' | ''c' || (k % 7) || ''';' || chr(10) || 'test(''does ' || k || ''', () => {});' || chr(10) AS text FROM f), disk AS (SELECT * FROM g WHERE k < 400 AND NOT contains(dir, '/'))"
+_KEPT = "f AS (SELECT CASE WHEN p_partkey % 23 = 0 THEN 'c' || (p_partkey % 9) || '/node_modules' WHEN p_partkey % 29 = 0 THEN 'c' || (p_partkey % 9) || '/.git' ELSE 'c' || (p_partkey % 9) END AS dir, p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN '.test.ts' WHEN p_partkey % 31 = 0 THEN '.spec.md' ELSE '.ts' END AS tail FROM part), g AS (SELECT *, dir || '/m' || k || tail AS path, '// Part ' || k || ' of it.' || chr(10) || '// Second line.' || chr(10) || 'import { x } from ''./m' || (k + 9) || ''';' || chr(10) || 'export function f' || k || '() {}' || chr(10) || 'export type U' || (k % 50) || ' = ''a'' | ''b'' | ''c' || (k % 7) || ''';' || chr(10) || 'test(''does ' || k || ''', () => {});' || chr(10) AS text FROM f), disk AS (SELECT * FROM g WHERE NOT contains(dir, '/'))"
 _NUM = "n AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'src/node_modules/' ELSE 'src/' END || 'p' || p_partkey || list_extract(['.ts', '.py', '.md', '.js'], CAST(p_partkey % 4 + 1 AS INTEGER)) AS path, p_size AS added, p_partkey % 9 AS deleted FROM part)"
 _TS = "NOT ends_with(path, '.md')"
 
@@ -381,7 +393,8 @@ SQL = {
     "appended_once": "SELECT 's' || (o_custkey % 5) AS session, count(*) AS n, count(*) AS ids, max(o_totalprice) AS most FROM orders GROUP BY 1",
     "compaction": """SELECT 'f' || o_orderkey AS file, s AS skip, CASE WHEN s IS NULL THEN 'b' || (o_orderkey % 3) || '/' || strftime(o_orderdate, '%Y-%m') || '.jsonl' END AS target
         FROM (SELECT *, CASE WHEN o_orderkey % 7 = 0 THEN 'never committed' WHEN (o_orderkey % 40) * 600 < 7200 THEN 'still warm' WHEN o_orderkey % 11 = 0 THEN 'unreadable' END AS s FROM orders)""",
-    "compacted_lines": """SELECT 'main' AS branch, '2024-01' AS month, sha256(string_agg('{ ' || event_id || ' }  ', chr(10) ORDER BY event_id % 10, event_id)) AS digest FROM events WHERE event_id % 7 < 2""",
+    "compacted_lines": """WITH p(i, branch, month) AS (VALUES (0, 'main', '2024-01'), (1, 'main', '2024-01'), (3, 'dev', '2024-02'), (4, 'main', '2024-03'), (5, 'dev', '2024-02'))
+        SELECT branch, month, sha256(string_agg('{ ' || event_id || ' }  ', chr(10) ORDER BY event_id % 10, event_id)) AS digest FROM events JOIN p ON event_id % 7 = i GROUP BY branch, month""",
     "pinned_baseline": "SELECT 'lines|' || p_brand AS key, CAST(sum(p_size) AS DOUBLE) AS value, CAST((SELECT count(DISTINCT p_brand) FROM part) AS INTEGER) AS stamped FROM part GROUP BY p_brand",
     "exported_log": """WITH c AS (SELECT DISTINCT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey ORDER BY l_orderkey DESC LIMIT 1000)
         SELECT 'h' || l_orderkey AS hash, count(DISTINCT l_partkey) AS n, min('p' || l_partkey) AS "first" FROM lineitem SEMI JOIN c USING (l_orderkey) WHERE l_partkey % 2 = 0 GROUP BY l_orderkey""",
