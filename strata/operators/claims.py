@@ -182,6 +182,27 @@ def select_action(observations: DataFrame, rules: DataFrame) -> DataFrame:
     return best.select(F.coalesce("b.action", F.lit("release")).alias("action"), F.col("b.rule").alias("rule"), F.col("b.key").alias("key"))
 
 
+# The rules that readings are held against.
+RULES = ("canonical-lifecycle-control", "significant-growth-needs-address", "swarm-coordination-integrity", "completed-work-needs-explicit-verification")
+
+
+def observe_regulation(readings: DataFrame, *keys: str) -> DataFrame:
+    """(keys, rule, status) of readings(keys, control_readable, target_present, control_present, signal,
+    damaged_sources, graph_problems, conflicts, unsynthesized, contested, unratified, dangling, unverified):
+    satisfied, violated or unavailable. A null signal wasn't measured; a null number of damaged
+    sources means that nothing was read, and of other counts none."""
+    status = lambda off, bad: F.when(off, "unavailable").when(bad, "violated").otherwise("satisfied")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    blind = F.col("damaged_sources").isNull() | (F.col("damaged_sources") > 0)
+    tangled = n("graph_problems") + n("conflicts") + n("unsynthesized") + n("contested") + n("unratified") + n("dangling")
+    seen = (
+        status(~(F.coalesce("control_readable", F.lit(False)) & F.coalesce("target_present", F.lit(False))), ~F.coalesce("control_present", F.lit(False))),
+        status(F.col("signal").isNull(), F.col("signal") == "needs-decision"), status(blind, tangled > 0), status(blind, n("unverified") > 0),
+    )
+    rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), s.alias("status")) for r, s in zip(RULES, seen, strict=True)]))
+    return readings.select(*keys, rows.alias("o")).select(*keys, "o.*")
+
+
 def claim_crossings(claims: DataFrame) -> DataFrame:
     """The first boundary of each chokepoint of claims(ord, claim)."""
     rows = claims.withColumn("b", boundary(F.col("claim"))).where("b is not null")

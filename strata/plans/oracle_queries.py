@@ -3,12 +3,17 @@ there are now and were before, and claims that need what was measured elsewhere.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import claims as K
 from strata.plans import roles as R
 from strata.sources import extractors as E
+from strata.sources import jsonl, strict
 from strata.sources import oracles as O
+from strata.sources.shared import folder
 
 #: Loops of a test, by the part's key modulo their number: TypeScript, then Python.
 LOOPS = (
@@ -100,7 +105,46 @@ def external_claims(spark, d):
     return K.responds(claims, answers).unionByName(K.typechecks(checks, o.select((F.col("k") % 9 != 0).alias("passed"))))
 
 
-QUERIES = {f.__name__: f for f in (oracle_domains, parity_oracles, prior_owners, static_resolution, facts_at_refs, external_claims)}
+def regulation_readings(spark, d):
+    """Orders as readings of a project, against the rules."""
+    k = F.col("o_orderkey")
+    n = lambda m: F.when(k % m == 0, (k % 3 + 1).cast("int"))
+    signals = F.element_at(F.array(F.lit("quiet"), F.lit("anchored"), F.lit("needs-decision"), F.lit(None).cast("string")), (k % 4 + 1).cast("int"))
+    readings = R.table(spark, d, "orders").select(
+        k.alias("k"), (k % 7 > 0).alias("control_readable"), (k % 11 > 0).alias("target_present"), (k % 13 > 0).alias("control_present"), signals.alias("signal"),
+        F.when(k % 17 > 0, (k % 19 == 0).cast("int")).alias("damaged_sources"), n(23).alias("graph_problems"), n(29).alias("conflicts"), n(31).alias("unsynthesized"),
+        n(37).alias("contested"), n(41).alias("unratified"), n(43).alias("dangling"), n(5).alias("unverified"),
+    )
+    return K.observe_regulation(readings, "k")
+
+
+_DEFECT = '{"agent":"a","at":"2024-01-02T03:04:05.678Z","basis":"agent-assessed","event":"recorded","evidence":"seen %s","files":["f%s.ts"],%s"job":"j","repo":{"branch":null,"commit":null,"dirty":null},"session":"%s","summary":"%s","version":1}'
+
+
+def _defects(spark, d, sound):
+    k = F.col("c_custkey")
+    session = F.concat(F.lit("s"), _t(k % 4))
+    said = F.lit("it broke") if sound else F.when(k % 14 == 3, " padded ").otherwise("it broke")
+    body = lambda ident: F.format_string(_DEFECT, _t(k), _t(k % 9), ident, session, said)
+    ident = F.concat(F.lit("def-"), F.substring(F.sha2(body(F.lit("")), 256), 1, 12))
+    line = body(F.concat(F.lit('"id":"'), ident if sound else F.when(k % 21 == 5, "def-000000000000").otherwise(ident), F.lit('",')))
+    return R.table(spark, d, "customer").select(session.alias("session"), (line if sound else F.when(k % 33 == 1, "{").otherwise(line)).alias("value"))
+
+
+def defects_trusted(spark, d):
+    """Defects in ledgers of four sessions, first sound, then with damaged lines: all or none."""
+    out = []
+    for name in ("sound", "damaged"):
+        path = folder(spark, "defects")
+        _defects(spark, d, name == "sound").repartition("session").write.partitionBy("session").text(path)
+        rows = jsonl.lines(spark, path)
+        rows = rows.withColumn("file", F.regexp_replace("file", r"/session=([^/]+)/[^/]+$", "/$1"))  # sessions are folders here
+        kept, damage = strict.strict(rows, "defect", F.col("session"))
+        out += [kept.agg(F.count("*").alias("n")).select(F.lit(f"{name}:rows").alias("what"), "n"), damage.groupBy(F.concat(F.lit(f"{name}:"), F.col("code")).alias("what")).agg(F.count("*").alias("n"))]
+    return reduce(DataFrame.unionByName, out)
+
+
+QUERIES = {f.__name__: f for f in (oracle_domains, parity_oracles, prior_owners, static_resolution, facts_at_refs, external_claims, regulation_readings, defects_trusted)}
 
 _NAMED = """n AS (SELECT p_partkey AS k, p_partkey % 4 = 3 AS py, p_partkey % 7 AS s, p_partkey % 3 AS p, p_partkey % 11 = 0 AS none,
   CASE WHEN p_partkey % 11 = 0 THEN 'no such test' WHEN p_partkey % 4 = 3 THEN 'test_covers_' || p_partkey ELSE 'covers ' || p_partkey END AS name,
@@ -117,6 +161,13 @@ SQL = {
         UNION ALL SELECT 'never <' || c_custkey || '>', 'unknown' FROM customer""",
     "facts_at_refs": """SELECT 'head' AS ref, f AS fact, count(*) AS n, count(*) AS names FROM customer, (VALUES ('symbol'), ('test')) AS x(f) GROUP BY f
         UNION ALL SELECT 'now', f, count(*), count(*) FROM customer, (VALUES ('symbol'), ('test')) AS x(f) WHERE c_custkey % 5 <> 3 AND (f = 'symbol' OR c_custkey % 5 <> 2) GROUP BY f""",
+    "regulation_readings": """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 AS blind FROM orders)
+        SELECT k, 'canonical-lifecycle-control' AS rule, CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN 'unavailable' WHEN k % 13 = 0 THEN 'violated' ELSE 'satisfied' END AS status FROM r
+        UNION ALL SELECT k, 'significant-growth-needs-address', CASE k % 4 WHEN 3 THEN 'unavailable' WHEN 2 THEN 'violated' ELSE 'satisfied' END FROM r
+        UNION ALL SELECT k, 'swarm-coordination-integrity', CASE WHEN blind THEN 'unavailable' WHEN 0 IN (k % 23, k % 29, k % 31, k % 37, k % 41, k % 43) THEN 'violated' ELSE 'satisfied' END FROM r
+        UNION ALL SELECT k, 'completed-work-needs-explicit-verification', CASE WHEN blind THEN 'unavailable' WHEN k % 5 = 0 THEN 'violated' ELSE 'satisfied' END FROM r""",
+    "defects_trusted": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 33 = 1 THEN 'corrupt' WHEN c_custkey % 14 = 3 THEN 'summary' WHEN c_custkey % 21 = 5 THEN 'forged' END AS code FROM customer)
+        SELECT 'sound:rows' AS what, count(*) AS n FROM c UNION ALL SELECT 'damaged:rows', CASE WHEN count(code) = 0 THEN count(*) ELSE 0 END FROM c UNION ALL SELECT 'damaged:' || code, count(*) FROM c WHERE code IS NOT NULL GROUP BY code""",
     "external_claims": """WITH c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 404 ELSE 200 END AS wanted, CASE WHEN o_orderkey % 14 = 0 THEN 404 ELSE 200 END AS got, o_orderkey % 3 = 0 AS said FROM orders)
         SELECT 'http://h/' || k || ' responds ' || wanted || CASE WHEN said THEN ' with "ok ' || (k % 10) || '"' ELSE '' END AS claim,
           CASE WHEN k % 5 = 0 THEN 'skip' WHEN wanted = got AND (NOT said OR contains('<b>ok ' || (k % 20) || '</b>', 'ok ' || (k % 10))) THEN 'pass' ELSE 'fail' END AS kind FROM c

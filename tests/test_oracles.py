@@ -117,3 +117,11 @@ def test_claim_forms(spark):
     said = {'passes test "say "hi" twice"': "passes", 'u responds 1000 with ""': "responds", "conforms to 9x": None, "conforms to a-b_9": "conforms", "conforms to a.b": None, "u responds ok": None}
     rows = spark.createDataFrame([(c,) for c in said], "claim string").select("claim", K.form(F.col("claim")).alias("form"))
     assert {r.claim: r.form for r in rows.collect()} == said
+
+
+def test_regulation(spark):
+    columns = "k int, control_readable boolean, target_present boolean, control_present boolean, signal string, damaged_sources int, graph_problems int, conflicts int, unsynthesized int, contested int, unratified int, dangling int, unverified int"
+    readings = spark.createDataFrame([(1, True, True, True, "quiet", 0, 0, 0, 0, 0, 0, None, 0), (2, True, True, False, "needs-decision", 0, 0, 0, 0, 0, 0, 2, 1), (3, *[None] * 12), (4, True, False, True, "quiet", 1, 0, 0, 0, 0, 0, 0, 0)], columns)
+    got = {(r.k, r.rule): r.status for r in K.observe_regulation(readings, "k").collect()}
+    said = lambda k: [got[k, r][0] for r in K.RULES]
+    assert [said(k) for k in (1, 2, 3, 4)] == [list("ssss"), list("vvvv"), list("uuuu"), list("usuu")]
