@@ -214,9 +214,37 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.middle import fill_in_middle, restore
+
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.col("fim_n").alias("n"),
+        F.col("fim_form").alias("form"),
+        F.length("fim_prefix").cast("long").alias("prefix_chars"),
+        F.length("fim_middle").cast("long").alias("middle_chars"),
+        F.sha2("fim_output", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("fim_output"), F.col("fim_form")), 256).alias("restored_sha256"),
+    )
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+n AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, left(t, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1, n - b) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
+
 _ALL = (
     op1_minhash_neardup, op2_topk_search, op3_bestfit_packing, op4_license_scan, op5_language_id,
     op6_toxicity, op7_quality_rules, op8_bpe_chunks, op9_substring_dedup, op10_chat_format,
+    op12_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
