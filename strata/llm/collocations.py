@@ -29,7 +29,7 @@ from strata.llm.memory import give_back
 from strata.llm.store import input_bytes, materialize, partitions
 
 #: Bytes of text that one load is made of, buckets that one load is dealt to at once, frequent prefixes of one length at most.
-SLICE, FAN, HOT = 4 << 20, 1024, 1 << 16
+SLICE, FAN, HOT = 2 << 20, 1024, 1 << 16
 UNKNOWN = "und"
 _LOADS = "co_bucket int, co_depth int, co_load binary"
 _PHRASES = "lang string, phrase string, words int, f long"
@@ -242,7 +242,7 @@ def _slices(batches, max_n: int, size: int):
         offsets, data = W.text_bytes(batch.column(1))
         for i, j, a, b in ranges(offsets, data, size):
             yield Suffixes.of_texts(np.clip(offsets[i : j + 1], a, b) - a, data[a:b], langs[i:j], names, max_n)
-        give_back()
+            give_back()
 
 
 def frequent_prefixes(texts: DataFrame, max_n: int, buckets: int, share: float) -> list[np.ndarray]:
