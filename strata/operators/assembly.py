@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.columns import glob_regex, looks_like_test, sorted_set
-from strata.operators.claims import CONFORMS, boundary, containing, form, grade, normalized, parity
+from strata.functions.columns import looks_like_test, sorted_set
+from strata.operators.claims import CONFORMS, boundary, form, grade, normalized, parity
 from strata.operators.graph import ENDED, graph_problems, overlaps, readiness, root_of
+from strata.operators.globs import matching
+from strata.operators.patterns import containing
 from strata.sources.shared import materialize
 
 # How names of guards begin, and how functions are declared.
@@ -57,8 +59,10 @@ def convention_ratchet(now: DataFrame, pinned: DataFrame) -> DataFrame:
 
 def artifacts_of(paths: DataFrame, artifacts: dict[str, list[str]]) -> DataFrame:
     """(path, artifacts): the artifacts whose globs a path fits, sorted."""
-    made = [F.when(F.col("path").rlike("|".join(f"(?:{glob_regex(g)})" for g in globs)), F.lit(name)) for name, globs in sorted(artifacts.items())]
-    return paths.select("path", F.array_compact(F.array(*made)).alias("artifacts"))
+    flat = [(g, name) for name, globs in sorted(artifacts.items()) for g in globs]
+    names = paths.sparkSession.createDataFrame([(i, name) for i, (_, name) in enumerate(flat)], "number int, name string")
+    met = matching(paths, [g for g, _ in flat]).join(names, "number").groupBy("path").agg(F.array_sort(F.collect_set("name")).alias("artifacts"))
+    return paths.select("path").join(met, "path", "left").select("path", F.coalesce("artifacts", F.array().cast("array<string>")).alias("artifacts"))
 
 
 def contracts(declared: DataFrame, symbols: DataFrame, placed: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.operators.patterns import containing
+
 # The forms of the claim language.
 BOUNDARY = r'^boundary\s+"([^"]+)"\s+at\s+(\S+)(?:\s+crossing\s+(\S+)\s+->\s+(\S+))?(?:\s+via (test|guard)\s+"([^"]+)")?$'
 PARITY = r'^parity\s+"([^"]+)"\s+over\s+(\S+)\s+between\s+(\S+)\s+and\s+(\S+)\s+via test\s+"([^"]+)"$'
@@ -67,21 +69,6 @@ def never_red_rank(claim: Column) -> Column:
     return out
 
 
-def containing(names: DataFrame, texts: DataFrame, longest: int = 12) -> DataFrame:
-    """(name, text): which of the distinct texts(text) contain which of the distinct names(name).
-
-    An equi-join: of a name its first `longest` characters (all of a shorter one), of a text its
-    pieces of those lengths at every place; what meets is then checked. A null or empty name is in none.
-    """
-    few = names.select("name").where("length(name) > 0").distinct().withColumn("piece", F.substring("name", 1, longest))
-    lengths = [r[0] for r in few.select(F.length("piece").alias("n")).distinct().collect()]  # at most `longest` numbers
-    said = texts.select("text").where("text is not null").distinct()
-    cut = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n))))
-    pieces = [F.coalesce(cut(n), F.array().cast("array<string>")) for n in lengths]
-    met = said.withColumn("piece", F.explode(F.array_distinct(F.concat(*pieces)) if pieces else F.array().cast("array<string>")))
-    return few.join(met, "piece").where(F.contains(F.col("text"), F.col("name"))).select("name", "text")
-
-
 def oracle_results(names: DataFrame, results: DataFrame) -> DataFrame:
     """(name, verdict, ms) of names(name) against results(full_name, status, duration): tests whose full
     name contains it. One failed: fail; none ran: none-ran; no test: vanished."""

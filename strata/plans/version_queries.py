@@ -1,10 +1,10 @@
-"""Queries over histories with versions and merges, made from the driver's tables."""
+"""Queries over histories with versions and merges, and over many patterns at once, made from the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import ancestry, versions
+from strata.operators import ancestry, globs, patterns, versions
 from strata.plans import roles as R
 from strata.sources.shared import materialize
 
@@ -62,7 +62,28 @@ def merged_ancestors(spark, d):
     return ancestry.ancestors_of(pairs, labels, places)
 
 
-QUERIES = {f.__name__: f for f in (snapshots_at_refs, differences_of_refs, merged_commits_since, merged_ancestors)}
+def _globs():
+    """Ten thousand globs by a rule: of each number a page of one language, a page with an address of its own, a page
+    that is asked for with a parameter, and a host's pages."""
+    langs = ("en", "de", "fr", "es")
+    return [g for n in range(2500) for g in (f"*/{langs[n % 4]}/{n}#*", f"**/{n}.html", f"*.example.com/**/{n}?page=*", f"blog.**.net/*/{n}?*")]
+
+
+def pages_by_glob(spark, d):
+    """The first of ten thousand globs that each page's address fits."""
+    pages = R.table(spark, d, "pages").select(F.regexp_replace("url", "^https?://", "").alias("path"))
+    return globs.first_match(pages, _globs())
+
+
+def names_in_texts(spark, d):
+    """Which texts of the benchmark, whole, and which single words, how many documents hold."""
+    item = R.table(spark, d, "benchmark").select("text")
+    names = item.select(F.col("text").alias("name")).unionByName(item.select(F.substring_index("text", " ", 1).alias("name")))
+    met = patterns.containing(names, R.table(spark, d, "documents").select("text"))
+    return met.groupBy("name").agg(F.count("*").alias("texts"))
+
+
+QUERIES = {f.__name__: f for f in (pages_by_glob, names_in_texts, snapshots_at_refs, differences_of_refs, merged_commits_since, merged_ancestors)}
 
 _CHANGES = """c AS (SELECT 'p' || l_partkey AS path, l_orderkey AS ord, max(CASE WHEN l_returnflag <> 'R' THEN 'q' || (CAST(l_quantity AS INTEGER) % 7) END) AS content FROM lineitem GROUP BY 1, 2),
     r AS (SELECT i AS ref, n * i // 50 AS ord FROM (SELECT max(o_orderkey) AS n FROM orders), range(1, 51) t(i)),
@@ -70,6 +91,14 @@ _CHANGES = """c AS (SELECT 'p' || l_partkey AS path, l_orderkey AS ord, max(CASE
 _CLOSURE = "p AS (SELECT p_partkey AS k, unnest(CASE WHEN p_partkey % 5 = 0 THEN [p_partkey - 16, p_partkey - 49] ELSE [p_partkey - 16] END) AS up FROM part), a(r, k) AS (SELECT p_partkey, p_partkey FROM part WHERE {} UNION SELECT a.r, p.up FROM a JOIN p ON p.k = a.k JOIN part ON p_partkey = p.up)"
 
 SQL = {
+    "pages_by_glob": r"""WITH p AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages), s AS (SELECT path, string_split(path, '/') AS s, len(string_split(path, '/')) AS k FROM p),
+        g AS (SELECT n, ['en', 'de', 'fr', 'es'][n % 4 + 1] AS lang FROM range(2500) t(n)),
+        m AS (SELECT path, 4 * n AS number FROM s, g WHERE k = 3 AND s[2] = lang AND starts_with(s[3], n || '#')
+              UNION ALL SELECT path, 4 * n + 1 FROM s, g WHERE k >= 2 AND s[k] = n || '.html'
+              UNION ALL SELECT path, 4 * n + 2 FROM s, g WHERE k >= 3 AND s[1] LIKE '%.example.com' AND s[k] LIKE n || '_page=%'
+              UNION ALL SELECT path, 4 * n + 3 FROM s, g WHERE k >= 3 AND starts_with(s[1], 'blog.') AND array_to_string(s[1:k-2], '/') LIKE 'blog.%.net' AND s[k] LIKE n || '_%')
+        SELECT path, CAST(min(number) AS INTEGER) AS number FROM m GROUP BY path""",
+    "names_in_texts": "WITH n AS (SELECT DISTINCT text AS name FROM benchmark UNION SELECT string_split(text, ' ')[1] FROM benchmark), d AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) SELECT name, count(*) AS texts FROM n JOIN d ON contains(text, name) WHERE length(name) > 0 GROUP BY name",
     "snapshots_at_refs": f"WITH {_CHANGES} SELECT ref, count(*) AS files, CAST(sum(CAST(substr(content, 2) AS BIGINT)) AS BIGINT) AS total, min(path) AS \"first\" FROM s WHERE content IS NOT NULL GROUP BY ref",
     "differences_of_refs": f"""WITH {_CHANGES}, q AS (SELECT ref AS pair, ref % 50 + 1 AS other FROM r), x AS (SELECT pair, path, content FROM q JOIN s ON s.ref = pair WHERE content IS NOT NULL), y AS (SELECT pair, path, content FROM q JOIN s ON s.ref = other WHERE content IS NOT NULL),
         f AS (SELECT coalesce(x.pair, y.pair) AS pair, x.content AS b, y.content AS a FROM x FULL JOIN y ON x.pair = y.pair AND x.path = y.path WHERE x.content IS DISTINCT FROM y.content)

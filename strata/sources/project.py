@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.columns import glob_regex, is_test_path
+from strata.functions.columns import is_test_path
+from strata.operators.globs import first_match
 
 
 @dataclass(frozen=True)
@@ -103,10 +104,10 @@ def rebase(commit_files: DataFrame, prefix: str) -> DataFrame:
 
 def component_of(files: DataFrame, overrides: list[tuple[str, str]]) -> DataFrame:
     """files(path, component) with the component of the first override (glob, component) that fits."""
-    out = F.col("component")
-    for glob, name in reversed(overrides):
-        out = F.when(F.col("path").rlike(glob_regex(glob)), F.lit(name)).otherwise(out)
-    return files.withColumn("component", out)
+    first = first_match(files, [g for g, _ in overrides])
+    named = files.sparkSession.createDataFrame([(i, name) for i, (_, name) in enumerate(overrides)], "number int, _name string")
+    by = first.join(named, "number").select("path", "_name")
+    return files.join(by, "path", "left").withColumn("component", F.coalesce("_name", "component")).select(*files.columns)
 
 
 def loc_delta(numstat: DataFrame, extensions: tuple[str, ...], ignore: tuple[str, ...]) -> DataFrame:
