@@ -2,7 +2,7 @@
 
 Prefix joins are equi-joins on exploded ancestors, so they stay hash joins. Recursions are rounds of
 joins that the driver starts until a round finds nothing new; what must be walked in one order by
-definition (cycles, the spine) is reduced first and walked in one task.
+definition is reduced first and walked in a task for each connected part.
 """
 
 from __future__ import annotations
@@ -81,28 +81,70 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return found
 
 
-#: Edges that one task walks; more are first freed from what leads to no cycle.
-WALKED = 1 << 20
+def parts(edges: DataFrame) -> DataFrame:
+    """(node, part): the weakly connected part of each node of edges(source, target), named by its least node.
+
+    In each round every node points to the least of what it and its neighbours point to, and so does what
+    it pointed to itself; then pointers are followed once more. Chains of pointers so halve, and the rounds
+    follow the logarithm of a part's width.
+    """
+    both = materialize(edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "links")
+    up = materialize(both.groupBy("source").agg(F.min("target").alias("low")).select(F.col("source").alias("node"), F.least("source", "low").alias("up")), "parts")
+    while True:
+        # What each node's neighbours point to, at best; and the same for what it points to.
+        seen = both.join(up.toDF("target", "theirs"), "target").groupBy("source").agg(F.min("theirs").alias("low")).withColumnRenamed("source", "node")
+        own = up.join(seen, "node").select("node", "up", F.least("up", "low").alias("low"))
+        hooked = own.select(F.col("up").alias("node"), "low").unionByName(own.select("node", "low")).groupBy("node").agg(F.min("low").alias("low"))
+        new = hooked.join(hooked.select(F.col("node").alias("low"), F.col("low").alias("further")), "low").select("node", F.least("low", "further").alias("low"))
+        now = materialize(up.join(new, "node").select("node", F.least("up", "low").alias("low"), (F.col("low") < F.col("up")).alias("moved")), "parts")
+        up = now.select("node", F.col("low").alias("up"))
+        if now.where("moved").isEmpty():
+            return up.select("node", F.col("up").alias("part"))
+
+
+def _trimmed(edges: DataFrame, *ends: tuple[str, str], least: float = 0.2) -> DataFrame:
+    """edges without those whose node `of` is no other edge's `at`, for each (of, at), again and again, as long as
+    that takes away a fifth of what is left. None is left where it goes on to the end."""
+    left, n = edges, edges.count()
+    while n:
+        kept = left
+        for of, at in ends:
+            kept = kept.join(left.select(F.col(at).alias(of)).distinct(), of, "left_semi").select("source", "target")
+        left = materialize(kept, "trimmed")
+        n, before = left.count(), n
+        if before - n < least * before:
+            break
+    return left
+
+
+def _one_way(edges: DataFrame) -> bool:
+    """Whether all edges lead up, or all down, in the order of the nodes or in that by length first, which
+    numbers as text follow. Nothing that leads one way only comes back."""
+    orders = [lambda c: F.struct(F.col(c)), lambda c: F.struct(F.length(F.col(c).cast("string")), F.col(c))]
+    up = [F.bool_and(order("source") < order("target")) for order in orders]
+    down = [F.bool_and(order("source") > order("target")) for order in orders]
+    return any(x is not False for x in edges.agg(*[x.alias(f"x{i}") for i, x in enumerate(up + down)]).first())
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(cycle): those that one walk of edges(source, target) finds, each from its least node on.
+    """(cycle): those that a walk of edges(source, target) finds, each from its least node on.
 
     The walk goes depth first from every node in order, over the targets in order, and never enters
     a node twice; an edge to a node that the walk is inside of closes a cycle. So there is at most one
-    for each edge, and one at least if there is a cycle at all, of any length. Such a walk is sequential by
-    definition. Nodes without an edge onwards lead to no cycle and don't change the walk, so they
-    are taken away round by round until no more than WALKED edges are left or none can go; the
-    rest meets in one task. Nodes sort as what they are, numbers or text.
+    for each edge, and one at least if there is a cycle at all, of any length. An edge from a node to
+    itself is a cycle wherever the walk is. Others have none if they all lead one way in an order of the
+    nodes, or if all can be trimmed from both ends. Otherwise nodes that lead nowhere, which don't change
+    the walk, go as far as few rounds take them, and every weakly connected part, which no other meets,
+    is walked by a task of its own: it is a walk in one order by definition, so its edges must fit a
+    task. Nodes sort as what they are, numbers or text.
     """
     kind = dict(edges.dtypes)["source"]
-    left = edges.select("source", "target").where("source is not null and target is not null").distinct()
-    n = left.count()
-    while n > WALKED:
-        left = materialize(left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "cycles")
-        n, before = left.count(), n
-        if n == before:
-            break
+    all_ = materialize(edges.select("source", "target").where("source is not null and target is not null").distinct(), "cycles")
+    loops = all_.where("source = target").select(F.array("source").alias("cycle"))
+    others = all_.where("source <> target")
+    if _one_way(others) or _trimmed(others, ("target", "source"), ("source", "target")).isEmpty():
+        return loops
+    left = materialize(_trimmed(others, ("target", "source")), "cycles")
 
     def walk(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         onward: dict = {}
@@ -130,7 +172,8 @@ def cycles(edges: DataFrame) -> DataFrame:
                     todo.append(iter(onward.get(t, ())))
         return pa.table({"cycle": pa.array([list(c) for c in sorted(found)], pa.list_(table.schema.field("source").type))})
 
-    return left.groupBy(F.lit(0).alias("all")).applyInArrow(walk, f"cycle array<{kind}>")
+    of = parts(left).withColumnRenamed("node", "source")
+    return left.join(of, "source").groupBy("part").applyInArrow(walk, f"cycle array<{kind}>").unionByName(loops)
 
 
 def readiness(works: DataFrame, needs: DataFrame, invalid: DataFrame | None = None) -> DataFrame:

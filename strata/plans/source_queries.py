@@ -8,6 +8,7 @@ from strata import schemas
 from strata.functions import columns as C
 from strata.functions import markdown as M
 from strata.operators import graph as G
+from strata.operators.history import places
 from strata.sources import extractors as E
 from strata.sources import jsonl, project, records, strict
 from strata.sources.shared import folder, shared_folder
@@ -190,17 +191,12 @@ def changed_paths(spark, d):
 
 
 def commits_since(spark, d):
-    o = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("hash"), (F.row_number().over(_by_key()) - 1).alias("ord"))
+    placed, _ = places(R.table(spark, d, "orders").select(F.col("o_orderkey").alias("hash")), F.desc("hash"))
+    o = placed.select("hash", (F.col("place") - 1).cast("int").alias("ord"))
     refs = R.table(spark, d, "customer").select(F.col("c_custkey").alias("hash"))
     return records.commits_since(o, refs)
 
 
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.orderBy(F.desc("o_orderkey"))
-
-
 def _files(spark, d):
     """Parts as source files with a header, imports and exports; some in ignored and hidden folders."""
     k = F.col("p_partkey")

@@ -7,9 +7,11 @@ import os
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.history import places
+
 
 def read(path: str) -> dict | list | None:
     """A record: None if absent; a damaged one is refused, never taken for an empty one."""
@@ -72,12 +74,13 @@ def commits_since(commits: DataFrame, refs: DataFrame) -> DataFrame:
 
 def commits_after(commits: DataFrame, times: DataFrame) -> DataFrame:
     """(at, n) of times(at): how many of commits(hash, committed) are of that time or later."""
-    marks = times.select("at").distinct()
-    both = commits.select(F.col("committed").alias("t"), F.lit(1).alias("c")).unionByName(marks.select(F.col("at").alias("t"), F.lit(0).alias("c")))
-    by = both.groupBy("t").agg(F.sum("c").alias("c"))
-    # One row for each time there is; a running sum from the latest.
-    run = by.withColumn("n", F.sum("c").over(Window.orderBy(F.desc("t"))))
-    return times.join(run.select(F.col("t").alias("at"), "n"), "at")
+    # Sorted together, latest first and commits before times, a time's place counts the commits wanted and the times.
+    marks = times.select("at").where("at is not null").distinct()
+    both = commits.select(F.col("committed").alias("at"), F.lit(0).alias("mark")).where("at is not null").unionByName(marks.withColumn("mark", F.lit(1)))
+    among_all, _ = places(both, F.desc("at"), "mark")
+    among_marks, _ = places(marks, F.desc("at"))
+    met = among_all.where("mark = 1").select("at", F.col("place").alias("all")).join(among_marks.select("at", "place"), "at")
+    return times.join(met.select("at", (F.col("all") - F.col("place")).alias("n")), "at")
 
 
 def dependency_dims(manifests: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small hand-built tables with the exact rows that must come out."""
 
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +224,47 @@ def test_cycles_and_reach(spark):
     assert rows(graph.reach(edges, spark.createDataFrame([("a",)], "node string"))) == [("a",), ("b",), ("c",)]
 
 
+def walked(edges):
+    """The cycles that one walk over everything finds."""
+    onward, found, left = {}, set(), set()
+    for s, t in sorted(set(edges)):
+        onward.setdefault(s, []).append(t)
+
+    def visit(node, path):
+        for t in onward.get(node, ()):
+            if t in path:
+                loop = path[path.index(t) :]
+                k = loop.index(min(loop))
+                found.add(tuple(loop[k:] + loop[:k]))
+            elif t not in left:
+                visit(t, [*path, t])
+        left.add(node)
+
+    for n in sorted({x for e in edges for x in e}):
+        if n not in left:
+            visit(n, [n])
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_by_parts_are_those_of_one_walk(spark, seed):
+    rng = random.Random(seed)
+    edges = [(12 * p + rng.randrange(12), 12 * p + rng.randrange(12)) for p in range(8) for _ in range(rng.randrange(2, 18))]
+    got = graph.cycles(spark.createDataFrame(edges, "source long, target long"))
+    assert sorted(tuple(r.cycle) for r in got.collect()) == walked(edges)
+    part = {r.node: r.part for r in graph.parts(spark.createDataFrame(edges, "source long, target long")).collect()}
+    for s, t in edges:
+        assert part[s] == part[t] <= min(s, t)
+    assert all(part[part[n]] == part[n] for n in part)
+
+
+def test_edges_that_lead_one_way(spark):
+    df = lambda e: spark.createDataFrame(e, "source string, target string")
+    assert graph._one_way(df([("10", "9"), ("9", "1")])) and graph._one_way(df([("a", "b"), ("b", "c")]))
+    assert not graph._one_way(df([("a", "b"), ("c", "b")]))
+    assert graph.cycles(df([("10", "9"), ("9", "9")])).collect()[0].cycle == ["9"]
+
+
 def test_first_candidate(spark):
     df = spark.createDataFrame([("m.ts", "./x", ["x.js", "x.ts", "m.ts"]), ("m.ts", "./m", ["m.ts"])], "source string, spec string, candidates array<string>")
     paths = spark.createDataFrame([("x.ts",), ("m.ts",)], "path string")
