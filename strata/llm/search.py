@@ -1,11 +1,13 @@
 """Exact top-k inner products by multi-resolution segment statistics.
 
-A vector is cut into segments, at first one, then 4 times as many at each finer level. With the
+Vectors are turned to the principal axes of a sample, so that those with most energy come first, and
+cut into segments there: at first one, then 4 times as many at each finer level, and last the leading
+half, three quarters and seven eighths of the axes one by one with the rest in fours. With the
 mean m and the deviation s of a segment of length n, the squared distance of two vectors is at
 least the sum of n((m - m')^2 + (s - s')^2), so their inner product is at most the sum of
-n(m m' + s s'): a short inner product of statistics. Levels go from coarse to fine; a pair whose
-bound is below what its query already has k times is dropped, and exact integer products are
-computed for the survivors.
+n(m m' + s s'): a short inner product of statistics. Levels go from coarse to fine, without those that
+drop next to nothing of the sample; a pair whose bound is below what its query already has k times
+is dropped, and exact integer products of the vectors as they were are computed for the survivors.
 
 Queries are taken in blocks of at most about `block_bytes`; one block at a time is broadcast and
 the table streams past it, so what is broadcast or held doesn't grow with the table. Each query
@@ -29,23 +31,58 @@ from strata.llm.store import folder, materialize
 _SAFE = 1 << 20
 #: Queries that are held against a batch of the table at once.
 _STRIP = 2048
+#: Where more than this share of a batch's pairs survives all levels (no bar yet, or so few vectors that all
+#: belong to the result), their exact products are taken as one product of matrices.
+DENSE = 0.5
 
 
 def levels(dim: int) -> list[np.ndarray]:
-    """Starts of the segments of each level: 1, 4, 16, ... segments of 4 components at least."""
+    """Starts of the segments of each level: 1, 4, 16, ... segments of 4 components at least; then leading
+    components one by one, and the rest in fours."""
     out, n = [], 1
     while dim and (n == 1 or dim // n >= 4):
         out.append(np.unique(np.linspace(0, dim, n + 1).astype(int)[:-1]))
         n *= 4
+    for eighths in (4, 6, 7) if dim >= 8 else ():
+        one = dim * eighths // 8
+        out.append(np.r_[np.arange(one), np.arange(one, dim, 4)])
     return out
 
 
 def statistics(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rows whose inner products bound those of x's rows: sqrt(n) times means, then deviations."""
+    """Rows whose inner products bound those of x's rows: sqrt(n) times means, then the deviations of segments
+    of more than one component."""
     n = np.diff(np.r_[starts, x.shape[1]]).astype(np.float64)
     mean = np.add.reduceat(x, starts, axis=1) / n
-    var = np.add.reduceat(x * x, starts, axis=1) / n - mean * mean
-    return np.concatenate([mean * np.sqrt(n), np.sqrt(np.maximum(var, 0.0) * n)], axis=1)
+    several = n > 1
+    square = np.add.reduceat(x * x, starts, axis=1)[:, several]
+    var = square / n[several] - mean[:, several] ** 2
+    return np.concatenate([mean * np.sqrt(n), np.sqrt(np.maximum(var, 0.0) * n[several])], axis=1)
+
+
+def axes(sample: np.ndarray) -> np.ndarray:
+    """Principal axes of some vectors as columns, those with most energy first."""
+    scale = max(1.0, float(np.abs(sample).max(initial=0)))
+    return np.linalg.eigh((sample / scale).T @ (sample / scale))[1][:, ::-1].copy()
+
+
+def useful(queries: np.ndarray, sample: np.ndarray, turn: np.ndarray, k: int, least: float = 0.1) -> tuple[list[np.ndarray], list[float]]:
+    """(the levels that drop a tenth at least of the pairs of queries and sample that those before left, what share is
+    left after each). All levels if the sample is too small to say."""
+    every = levels(sample.shape[1])
+    if len(sample) <= k or not len(queries):
+        return every, []
+    score = queries @ sample.T
+    bar = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+    q, v = queries @ turn, sample @ turn
+    alive, kept, shares = np.ones(score.shape, bool), [], []
+    for starts in every:
+        now = alive & (statistics(q, starts) @ statistics(v, starts).T >= bar)
+        if now.sum() <= (1 - least) * alive.sum():
+            alive = now
+            kept.append(starts)
+            shares.append(float(alive.mean()))
+    return kept or every[-1:], shares
 
 
 def quantized(column: pa.Array, scale: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -79,10 +116,14 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Best:
     """The best k of each of some queries of one length, against batches of vectors of that length."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, turn: np.ndarray | None = None, starts: list[np.ndarray] | None = None) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
-        self.starts = levels(vectors.shape[1])
-        self.stats = [statistics(vectors, s) for s in self.starts]
+        self.turn = np.eye(vectors.shape[1]) if turn is None else turn
+        self.starts = levels(vectors.shape[1]) if starts is None else starts
+        turned = vectors @ self.turn
+        self.stats = [statistics(turned, s) for s in self.starts]
+        #: Pairs that were met, and that were left after each level.
+        self.pairs, self.left = 0, [0] * len(self.starts)
         self.query, self.id, self.score = (np.zeros(0, np.int64) for _ in range(3))
         self.least = np.full(len(ids), -np.inf)
         self.largest = float(np.abs(vectors).max(initial=0))
@@ -111,15 +152,17 @@ class Best:
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         alive = self.ids[:, None] != ids[None, :]
         margin = 1e-9 * max(1.0, self.largest) * np.abs(vectors).max(initial=1.0) * vectors.shape[1] + 1e-6
-        for starts, mine in zip(self.starts, self.stats, strict=True):
-            theirs = statistics(vectors, starts)
+        self.pairs += alive.size
+        turned = vectors @ self.turn
+        for at, (starts, mine) in enumerate(zip(self.starts, self.stats, strict=True)):
+            theirs = statistics(turned, starts)
             if alive.mean() > 0.05:
                 alive &= mine @ theirs.T + margin >= self.least[:, None]
             else:
                 q, i = np.nonzero(alive)
                 alive[q, i] = np.einsum("ij,ij->i", mine[q], theirs[i]) + margin >= self.least[q]
-        if alive.mean() > 0.01 and self.exact(vectors):
-            # So many survivors that one product of matrices, exact for these numbers, is the cheapest way.
+            self.left[at] += int(alive.sum())
+        if alive.mean() > DENSE and self.exact(vectors):
             score = np.where(alive, self.vectors @ vectors.T, -np.inf)
             if len(ids) > self.k:
                 alive &= score >= -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1 : self.k]
@@ -147,7 +190,8 @@ def top_k(
     with the same id the least vector asks; repeated rows of vectors are candidates each. Scores
     beyond 64 bits are cut to them. An empty table gives no rows; other columns play no part.
 
-    About `sample` vectors, drawn by a hash of the id, set the bars; the result doesn't depend on them.
+    About `sample` vectors, drawn by a hash of the id, set the bars, the axes and the levels; the result
+    doesn't depend on them.
     """
     spark = vectors.sparkSession
     plain = lambda df: df.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"))
@@ -174,11 +218,16 @@ def top_k(
         block = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
         ids = block.column("id").to_numpy()
         by_length = quantized(block.column("v"), scale)[1] if len(ids) else {}
-        shared = spark.sparkContext.broadcast(({d: (ids[at], x) for d, (at, x) in by_length.items()}, {d: sampled[d] for d in by_length if d in sampled}))
+        ways = {}
+        for d, (_, x) in by_length.items():
+            drawn_of = sampled[d][1] if d in sampled else np.zeros((0, d))
+            turn = axes(drawn_of)
+            ways[d] = (turn, useful(x[:256], drawn_of[:2048], turn, k)[0])
+        shared = spark.sparkContext.broadcast(({d: (ids[at], x) for d, (at, x) in by_length.items()}, {d: sampled[d] for d in by_length if d in sampled}, ways))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted, bars = shared.value
-            best = {d: [Best(i[a : a + _STRIP], x[a : a + _STRIP], k) for a in range(0, len(i), _STRIP)] for d, (i, x) in wanted.items()}
+            wanted, bars, ways = shared.value
+            best = {d: [Best(i[a : a + _STRIP], x[a : a + _STRIP], k, *ways[d]) for a in range(0, len(i), _STRIP)] for d, (i, x) in wanted.items()}
             for d, (i, x) in bars.items():
                 for strip in best[d]:
                     for a in range(0, len(i), 2048):
