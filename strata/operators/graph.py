@@ -61,24 +61,46 @@ def overlaps(scopes: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+#: Hops that reach() goes one by one before it contracts what is left.
+HOPS = 16
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> DataFrame:
     """(node): what can be reached from seeds(node) over edges(source, target), seeds included.
 
-    A round joins only the nodes found last, and drops those known already, until none is new: as
-    many rounds as the farthest node has hops.
+    A round joins only the nodes found last, and drops those known already, until none is new. What is
+    farther than `hops` is contracted first: a node with one way in is reached if and only if that way's
+    source is, so trees and chains hang on the node they begin at, found by doubling pointers. What comes of
+    it is contracted again as long as that helps, so a chain takes rounds in the logarithm of its length.
     """
     found = frontier = seeds.select("node").distinct()
-    turn = 0
-    while True:
-        turn += 1
+    for _ in range(hops):
         step = edges.join(frontier, F.col("source") == F.col("node"), "left_semi").select(F.col("target").alias("node")).distinct()
         frontier = materialize(step.join(found, "node", "left_anti"), "reach")
         if frontier.isEmpty():
-            break
+            return found
         found = found.unionByName(frontier)
-        if turn % 16 == 0:
-            found = materialize(found, "reach")
-    return found
+    found = materialize(found, "reach")
+    # From here on what is found counts as one node, and edges into it say nothing new.
+    left = materialize(edges.where("source <> target").join(found.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target").distinct(), "reach")
+    hung = _hung(left, found)
+    if hung is None:
+        return reach(left, found, 1 << 30)
+    ends = left.join(hung.toDF("source", "root"), "source", "left").select(F.coalesce("root", "source").alias("source"), "target")
+    above = materialize(ends.join(hung.toDF("target", "root"), "target", "left_anti").where("source <> target").distinct(), "reach")
+    tops = reach(above, found, hops)
+    return tops.unionByName(hung.join(tops.toDF("root"), "root", "left_semi").select(F.col("id").alias("node")).join(tops, "node", "left_anti"))
+
+
+def _hung(edges: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(id, root) of the nodes with one way in, other than found ones, and the node that their tree begins at; None
+    if there are none. A ring that nothing leads into begins nowhere, has no row and isn't reached."""
+    ways = edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"), F.min("source").alias("parent")).where("n = 1").select("id", "parent")
+    one = materialize(ways.join(found.toDF("id"), "id", "left_anti"), "ways")
+    if one.isEmpty():
+        return None
+    tops = one.select(F.col("parent").alias("id")).distinct().join(one.select("id"), "id", "left_anti").withColumn("parent", F.lit(None).cast(dict(one.dtypes)["parent"]))
+    return materialize(root_of(one.unionByName(tops)).where("hops > 0").select("id", "root"), "hung")
 
 
 def parts(edges: DataFrame) -> DataFrame:

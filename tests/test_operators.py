@@ -1,6 +1,7 @@
 """Small hand-built tables with the exact rows that must come out."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import columns as C
 from strata.functions import markdown as M
-from strata.operators import claims, graph, history, ledger, ratchet, similarity
+from strata.operators import claims, graph, history, ledger, quantiles, ratchet, similarity
 
 
 def rows(df):
@@ -258,6 +259,55 @@ def test_cycles_by_parts_are_those_of_one_walk(spark, seed):
     assert all(part[part[n]] == part[n] for n in part)
 
 
+def reached(edges, seeds):
+    onward = {}
+    for s, t in edges:
+        onward.setdefault(s, []).append(t)
+    found, todo = set(seeds), list(seeds)
+    while todo:
+        for t in onward.get(todo.pop(), ()):
+            if t not in found:
+                found.add(t)
+                todo.append(t)
+    return found
+
+
+@pytest.mark.parametrize("hops", [2])
+def test_reach_contracts_what_is_far(spark, hops):
+    rng = random.Random(hops)
+    edges = [(i, i + 1) for i in range(60)] + [(i, 1000 + i) for i in range(0, 60, 3)]  # a chain with leaves
+    edges += [(60, 200), (60, 201), *((200 + i, 202 + i) for i in range(20)), (221, 300), (220, 300), (300, 301)]  # two ways that meet again
+    edges += [(400, 401), (401, 402), (402, 400), (402, 5)]  # a ring that isn't reached
+    edges += [(500 + rng.randrange(20), 500 + rng.randrange(20)) for _ in range(25)] + [(301, 505)]
+    df = spark.createDataFrame(edges, "source long, target long")
+    for seeds in ([0], [30, 510], [9999]):
+        got = [r.node for r in graph.reach(df, spark.createDataFrame([(x,) for x in seeds], "node long"), hops).collect()]
+        assert len(got) == len(set(got)) and set(got) == reached(edges, seeds)
+
+
+def test_reach_takes_few_rounds_for_a_long_chain(spark, monkeypatch):
+    rounds, real = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: rounds.append(label) or real(df, label))
+    line = spark.range(5000).select(F.col("id").alias("source"), (F.col("id") + 1).alias("target"))
+    assert graph.reach(line, spark.createDataFrame([(0,)], "node long"), 4).count() == 5001
+    assert len(rounds) < 40
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(5)
+    sets = [[rng.gauss(0, 1) for _ in range(900)], [rng.paretovariate(0.3) for _ in range(900)], [float(rng.randrange(3)) for _ in range(900)], [7.0] * 50, [1.5], [1.0] * 400 + [2.0] + [3.0] * 400]
+    shares = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.9, 0.999, 1.0]
+    for values in sets:
+        df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+        s, n = sorted(values), len(values)
+        for p, between, nearest in quantiles.quantiles(df, "v", shares, kept=20):
+            at = p * (n - 1)
+            a, b = s[math.floor(at)], s[math.ceil(at)]
+            assert between == pytest.approx(a + (b - a) * (at - math.floor(at)), rel=1e-12)
+            assert nearest == s[max(0, math.ceil(p * n) - 1)]
+    assert quantiles.quantiles(df.limit(0), "v", [0.5]) == [(0.5, None, None)]
+
+
 def test_edges_that_lead_one_way(spark):
     df = lambda e: spark.createDataFrame(e, "source string, target string")
     assert graph._one_way(df([("10", "9"), ("9", "1")])) and graph._one_way(df([("a", "b"), ("b", "c")]))
