@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import ancestry, globs, patterns, versions
+from strata.operators import ancestry, digests, globs, patterns, versions
 from strata.plans import roles as R
 from strata.sources.shared import materialize
 
@@ -39,6 +39,15 @@ def differences_of_refs(spark, d):
     return diff.groupBy("pair").agg(F.count_if(F.col("before").isNull()).alias("added"), F.count_if(F.col("after").isNull()).alias("removed"), F.count_if(F.col("before") != F.col("after")).alias("changed"))
 
 
+def tree_changes(spark, d):
+    """Orders as files under their customers at two times: what came, went and changed, by trees of digests."""
+    k = F.col("o_orderkey")
+    o = R.table(spark, d, "orders").select(k.alias("k"), F.concat_ws("/", F.concat(F.lit("r"), _t(F.col("o_custkey") % 10)), F.concat(F.lit("c"), _t(F.col("o_custkey"))), F.concat(F.lit("o"), _t(k))).alias("path"), _t(F.col("o_orderdate")).alias("content"))
+    old = o.where("k % 101 <> 1")
+    new = o.where("k % 103 <> 1").withColumn("content", F.when(F.col("k") % 97 == 1, "changed").otherwise(F.col("content")))
+    return digests.changed(spark, digests.tree(old.select("path", "content")), digests.tree(new.select("path", "content")))
+
+
 def _commits(spark, d):
     """Parts as commits of sixteen lanes, each fifth a merge of the lane beside it."""
     k = F.col("p_partkey").cast("long")
@@ -83,7 +92,7 @@ def names_in_texts(spark, d):
     return met.groupBy("name").agg(F.count("*").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (pages_by_glob, names_in_texts, snapshots_at_refs, differences_of_refs, merged_commits_since, merged_ancestors)}
+QUERIES = {f.__name__: f for f in (tree_changes, pages_by_glob, names_in_texts, snapshots_at_refs, differences_of_refs, merged_commits_since, merged_ancestors)}
 
 _CHANGES = """c AS (SELECT 'p' || l_partkey AS path, l_orderkey AS ord, max(CASE WHEN l_returnflag <> 'R' THEN 'q' || (CAST(l_quantity AS INTEGER) % 7) END) AS content FROM lineitem GROUP BY 1, 2),
     r AS (SELECT i AS ref, n * i // 50 AS ord FROM (SELECT max(o_orderkey) AS n FROM orders), range(1, 51) t(i)),
@@ -91,6 +100,8 @@ _CHANGES = """c AS (SELECT 'p' || l_partkey AS path, l_orderkey AS ord, max(CASE
 _CLOSURE = "p AS (SELECT p_partkey AS k, unnest(CASE WHEN p_partkey % 5 = 0 THEN [p_partkey - 16, p_partkey - 49] ELSE [p_partkey - 16] END) AS up FROM part), a(r, k) AS (SELECT p_partkey, p_partkey FROM part WHERE {} UNION SELECT a.r, p.up FROM a JOIN p ON p.k = a.k JOIN part ON p_partkey = p.up)"
 
 SQL = {
+    "tree_changes": """SELECT 'r' || (o_custkey % 10) || '/c' || o_custkey || '/o' || o_orderkey AS path, CASE WHEN o_orderkey % 101 = 1 THEN 'added' WHEN o_orderkey % 103 = 1 THEN 'removed' ELSE 'changed' END AS change
+        FROM orders WHERE (o_orderkey % 101 = 1) <> (o_orderkey % 103 = 1) OR (o_orderkey % 97 = 1 AND o_orderkey % 101 <> 1 AND o_orderkey % 103 <> 1)""",
     "pages_by_glob": r"""WITH p AS (SELECT DISTINCT regexp_replace(url, '^https?://', '') AS path FROM pages), s AS (SELECT path, string_split(path, '/') AS s, len(string_split(path, '/')) AS k FROM p),
         g AS (SELECT n, ['en', 'de', 'fr', 'es'][n % 4 + 1] AS lang FROM range(2500) t(n)),
         m AS (SELECT path, 4 * n AS number FROM s, g WHERE k = 3 AND s[2] = lang AND starts_with(s[3], n || '#')
