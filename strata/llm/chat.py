@@ -116,8 +116,8 @@ def format_chats(turns: DataFrame, template: Template | None = None) -> DataFram
     """One row for each conv_id: n_turns, segments array<struct<text, loss>>, formatted, bad_turn.
 
     Turns go by (turn, role, text), nulls first; a null text or role counts as empty, repeated
-    rows are turns of their own, rows with a null conv_id are one conversation. An empty table has
-    no conversations; other columns play no part. Every conversation is formatted; bad_turn says
+    rows are turns of their own, rows with a null conv_id are one conversation. A very long conversation
+    is one row, whose turns one task holds. An empty table has no conversations; other columns play no part. Every conversation is formatted; bad_turn says
     where the machine refused it (null: valid). A foreign role that reads like a title, such as
     "Assistant", is marked and stays apart from the role it resembles.
     """

@@ -173,7 +173,9 @@ def identify(
     themselves by default), and its probability.
 
     A text that is null or has no letter is `und` with score 0. If there is no row to learn from, every
-    other text is `untrained`, with score 0. The prediction reads the text only. Bounds of the sample: per_language texts of each
+    other text is `untrained`, with score 0. The prediction reads the text only, so repeated rows get equal
+    ones; of languages with equal probabilities the first by name is said. A very long text is read window by
+    window, all of it. An empty table gives no rows. Bounds of the sample: per_language texts of each
     language, `windows` windows of each. Columns of docs stay; one with a name of the result's is
     overwritten.
     """

@@ -106,7 +106,9 @@ def quality(
 
     A null text counts as empty. A text without words has fewer than min_words and isn't kept.
     clean_text is the text without the failing lines, unchanged if none fails; null stays null.
-    Input columns stay, but for those whose names begin with the prefix.
+    Every row is judged by its own text, so repeated rows get equal verdicts; a text that loses exactly
+    max_lost is kept. A very long text is one row: its words and windows are arrays in one task. An empty
+    table gives no rows. Input columns stay, but for those whose names begin with the prefix.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     spaces = F.lit(f"{SPACE}+")

@@ -51,6 +51,21 @@ def test_quality_lines(spark):
     assert out[0].n_words == "clash"
 
 
+def test_quality_of_repeated_rows_and_of_a_very_long_text(spark):
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(10**6)}" + (".\n" if i % 12 == 11 else "") for i in range(250_000))
+    rows = spark.createDataFrame([(1, long, "a"), (2, "same words " * 8, "b"), (2, "same words " * 8, "b"), (None, None, None)], "doc_id long, text string, q_kept string")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = [(r.doc_id, tuple(r[f"q_{x}"] for x in names)) for r in quality.quality(rows).collect()]
+    assert sorted(got, key=repr) == sorted([(1, brute_quality(long)), *[(2, brute_quality("same words " * 8))] * 2, (None, brute_quality(None))], key=repr)
+
+
+def test_a_very_long_conversation(spark):
+    turns = [(5, i, ["user", "assistant"][i % 2], f"text {i} </turn> #") for i in range(4000)]
+    out = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(4)).withColumn("read", chat.read_turns(F.col("formatted"))).first()
+    assert out.n_turns == 4000 and out.bad_turn is None and [(r.role, r.text) for r in out["read"]] == [(t[2], t[3]) for t in turns]
+
+
 def brute_base(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
