@@ -45,7 +45,7 @@ def tree_changes(spark, d):
     o = R.table(spark, d, "orders").select(k.alias("k"), F.concat_ws("/", F.concat(F.lit("r"), _t(F.col("o_custkey") % 10)), F.concat(F.lit("c"), _t(F.col("o_custkey"))), F.concat(F.lit("o"), _t(k))).alias("path"), _t(F.col("o_orderdate")).alias("content"))
     old = o.where("k % 101 <> 1")
     new = o.where("k % 103 <> 1").withColumn("content", F.when(F.col("k") % 97 == 1, "changed").otherwise(F.col("content")))
-    return digests.changed(spark, digests.tree(old.select("path", "content")), digests.tree(new.select("path", "content")))
+    return digests.changed(spark, *(digests.tree(x.select("path", "content"), 16) for x in (old, new)))
 
 
 def _commits(spark, d):
