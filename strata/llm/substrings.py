@@ -1,4 +1,4 @@
-"""Substring dedup: seed with winnowed anchors, extend both ways, keep maximal repeats.
+"""Substring dedup: seed with winnowed anchors, compare what stands around joined ones, keep maximal repeats.
 
 Every `width` consecutive words hold `width - seed + 1` runs of `seed` words; the least hash of
 these is their anchor. Equal runs of `width` words have equal anchors, so whatever repeats over the
@@ -8,14 +8,14 @@ reused):
 
 1. seeds: each block sends its distinct anchors to the buckets of their hashes;
 2. join: a bucket answers each block with those anchors that two texts have;
-3. extend: around each joined anchor a block extends by l words to the left and width - seed - l to
-   the right, for every l that keeps it the anchor, and sends each extension once with the least id
-   that has it there; a bucket answers with the extensions that a smaller id has elsewhere;
-4. cover: a matched extension is a repeat of `width` words; those that overlap or adjoin are
-   extended into one, the maximal repeat, whose words go.
-
-Extensions are compared by hash, not pair by pair: the texts that share an anchor fall into groups
-that share its extension, and a group of any size is one row for each block. So a passage that a
+3. extend: of each joined anchor a block takes the runs of `width` words that hold it, l words to the
+   left and width - seed - l to the right, for every l that keeps it the anchor, and sends each run once
+   with the least id that has it there; a bucket answers with those that a smaller id has elsewhere;
+4. cover: a matched run is a repeat of `width` words; those that overlap or adjoin are one maximal
+   repeat, whose words go. What a block has twice itself is found among all of its runs, seeds or not.
+
+A match isn't grown word by word and pair by pair: runs are compared by hash, so the texts that share an
+anchor fall into groups that share a run around it, and a group of any size is one row for each block. So a passage that a
 third of all texts share costs each block one row, and no pairs of texts are ever made. Blocks
 hold about `block_bytes` of input, and buckets are as many as the shuffle has partitions or the
 input asks for. A block does work by its words and by the buckets that it meets, never by all.
@@ -71,7 +71,7 @@ class Block:
         return _anchored(W.runs(self.hashes, self.seed), self.at, self.width, self.seed)
 
     def extended(self, which: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the runs of `width` words (those of `which`): the anchor inside each, extended both ways."""
+        """Hashes of the runs of `width` words (those of `which`), each with its anchor inside."""
         return W.runs(self.hashes, self.width)[self.at if which is None else self.at[which]]
 
 
