@@ -69,13 +69,13 @@ def looks_like_test(path: Column) -> Column:
 
 
 def glob_regex(glob: str) -> str:
-    """An anchored pattern: ** crosses path segments, * and ? don't."""
+    """An anchored pattern: ** crosses path segments, * doesn't; all else stands for itself."""
     out, i = "^", 0
     while i < len(glob):
         if glob[i : i + 2] == "**":
             out, i = out + ".*", i + 2
         else:
-            out += {"*": "[^/]*", "?": "[^/]"}.get(glob[i]) or (f"\\{glob[i]}" if not (glob[i].isalnum() or glob[i] in "_/") else glob[i])
+            out += {"*": "[^/]*"}.get(glob[i]) or (f"\\{glob[i]}" if not (glob[i].isalnum() or glob[i] in "_/") else glob[i])
             i += 1
     return out + "$"
 

@@ -48,7 +48,7 @@ def _ways(glob: str) -> list[tuple[str, ...]]:
 
 def _key(segment: str) -> str:
     plain = re.sub(r"\*+", "*", segment)
-    return ANY if plain in ("*", "**") else f"~{plain}" if re.search(r"[*?]", plain) else f"={plain}"
+    return ANY if plain in ("*", "**") else f"~{plain}" if "*" in plain else f"={plain}"
 
 
 def trie(globs: list[str]) -> tuple[list[tuple[int, str, int]], list[tuple[int, int]]]:
@@ -74,20 +74,15 @@ def trie(globs: list[str]) -> tuple[list[tuple[int, str, int]], list[tuple[int,
 def _fitting(segments: DataFrame, patterns: list[str]) -> DataFrame:
     """(segment, keys): the wildcard patterns that fit each of segments(segment)."""
     spark = segments.sparkSession
-    plain = [(p, max(re.split(r"[*?]+", p), key=len), glob_regex(p)) for p in patterns]
-    with_text = spark.createDataFrame([x for x in plain if x[1]], "pattern string, name string, regex string")
-    met = containing(with_text.select("name"), segments.select(F.col("segment").alias("text"))).join(with_text, "name").select(F.col("text").alias("segment"), "pattern", "regex")
-    # Patterns of ? and * only say how long a segment is: there are as many different ones as lengths.
-    lengths = [(p, p.count("?"), "*" in p) for p, text, _ in plain if not text]
-    bare = [F.when((F.length("segment") >= n) if more else (F.length("segment") == n), F.lit(f"~{p}")) for p, n, more in lengths]
+    plain = spark.createDataFrame([(p, max(p.split("*"), key=len), glob_regex(p)) for p in patterns], "pattern string, name string, regex string")
+    met = containing(plain.select("name"), segments.select(F.col("segment").alias("text"))).join(plain, "name").select(F.col("text").alias("segment"), "pattern", "regex")
     fits = met.where(F.expr("segment rlike regex")).groupBy("segment").agg(F.collect_set(F.concat(F.lit("~"), "pattern")).alias("keys"))
-    own = segments.select("segment", F.array_compact(F.array(*bare)).alias("bare")) if bare else segments.select("segment", F.array().cast("array<string>").alias("bare"))
-    return own.join(fits, "segment", "left").select("segment", F.concat("bare", F.coalesce("keys", F.array().cast("array<string>"))).alias("keys"))
+    return segments.join(fits, "segment", "left").select("segment", F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
 
 
 def matching(paths: DataFrame, globs: list[str]) -> DataFrame:
     """(path, number): which of the globs fit each distinct of paths(path); a glob's number is its place in the list. Within a
-    segment * is any run of characters and ? any one; ** also crosses segments. A null path fits none."""
+    segment * is any run of characters; ** also crosses segments. A null path fits none."""
     spark = paths.sparkSession
     edges, ends = trie(globs)
     one = paths.select("path").where("path is not null").distinct().withColumn("segs", F.split("path", "/", -1))

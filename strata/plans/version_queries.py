@@ -106,8 +106,8 @@ SQL = {
         g AS (SELECT n, ['en', 'de', 'fr', 'es'][n % 4 + 1] AS lang FROM range(2500) t(n)),
         m AS (SELECT path, 4 * n AS number FROM s, g WHERE k = 3 AND s[2] = lang AND starts_with(s[3], n || '#')
               UNION ALL SELECT path, 4 * n + 1 FROM s, g WHERE k >= 2 AND s[k] = n || '.html'
-              UNION ALL SELECT path, 4 * n + 2 FROM s, g WHERE k >= 3 AND s[1] LIKE '%.example.com' AND s[k] LIKE n || '_page=%'
-              UNION ALL SELECT path, 4 * n + 3 FROM s, g WHERE k >= 3 AND starts_with(s[1], 'blog.') AND array_to_string(s[1:k-2], '/') LIKE 'blog.%.net' AND s[k] LIKE n || '_%')
+              UNION ALL SELECT path, 4 * n + 2 FROM s, g WHERE k >= 3 AND s[1] LIKE '%.example.com' AND starts_with(s[k], n || '?page=')
+              UNION ALL SELECT path, 4 * n + 3 FROM s, g WHERE k >= 3 AND starts_with(s[1], 'blog.') AND array_to_string(s[1:k-2], '/') LIKE 'blog.%.net' AND starts_with(s[k], n || '?'))
         SELECT path, CAST(min(number) AS INTEGER) AS number FROM m GROUP BY path""",
     "names_in_texts": "WITH n AS (SELECT DISTINCT text AS name FROM benchmark UNION SELECT string_split(text, ' ')[1] FROM benchmark), d AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) SELECT name, count(*) AS texts FROM n JOIN d ON contains(text, name) WHERE length(name) > 0 GROUP BY name",
     "snapshots_at_refs": f"WITH {_CHANGES} SELECT ref, count(*) AS files, CAST(sum(CAST(substr(content, 2) AS BIGINT)) AS BIGINT) AS total, min(path) AS \"first\" FROM s WHERE content IS NOT NULL GROUP BY ref",
