@@ -72,29 +72,31 @@ def recent_gestures(spark, d):
     return H.gestures(_rich(spark, d)).select("hash", "kind")
 
 
-def _members(spark, d):
-    return H.closure_members(R.commit_files(spark, d), R.files(spark, d), R.imports(spark, d))
+def _sets(spark, d):
+    return H.closure_sets(R.commit_files(spark, d), R.files(spark, d), R.imports(spark, d))
 
 
 def closure_stats(spark, d):
-    return H.closure_stats(H.closures(_members(spark, d), R.files(spark, d)))
+    return H.closure_stats(H.closure_sizes(_sets(spark, d)[0]))
 
 
 def closure_attribution(spark, d):
-    return H.attribution(_members(spark, d))
+    return H.closure_counts(*_sets(spark, d)[:2])
 
 
 def closure_series(spark, d):
-    return H.closure_series(H.closures(_members(spark, d), R.files(spark, d)), R.commits(spark, d))
+    return H.closure_series(H.closure_sizes(_sets(spark, d)[0]), R.commits(spark, d))
 
 
 def mean_closure_by_component(spark, d):
-    members = _members(spark, d)
-    return H.mean_closure(members, H.closures(members, R.files(spark, d)), R.files(spark, d))
+    sets, _, named = _sets(spark, d)
+    return H.mean_closure_of_sets(sets, named)
 
 
 def read_hubs(spark, d):
-    return H.read_hubs(_members(spark, d), share=0.01)
+    sets, numbered, _ = _sets(spark, d)
+    considered = R.commit_files(spark, d).join(numbered, "path", "left_semi").agg(F.count_distinct("hash").alias("considered"))
+    return H.hubs(H.closure_counts(sets, numbered), considered, share=0.01)
 
 
 def crossing_heat(spark, d):

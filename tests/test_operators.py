@@ -54,6 +54,19 @@ def test_closures(spark):
     assert rows(history.closures(members, f, specs)) == [("1", 3, 7), ("3", 3, 7)]
 
 
+def test_closure_sets(spark):
+    """One row for each commit says what a row for each file of each closure does."""
+    f = spark.createDataFrame([(f"f{i}", f"c{i % 4}" if i % 4 else None, None if i % 9 == 0 else i) for i in range(40)], "path string, component string, lines long")
+    edges = spark.createDataFrame([(f"f{i * 7 % 40}", f"f{i * i % 45}") for i in range(90)], "source string, target string")
+    made = spark.createDataFrame([(i % 25, f"f{i * 11 % 43}") for i in range(70)] + [(99, "f9"), (98, "gone")], "hash long, path string")
+    sets, numbered, named = history.closure_sets(made, f, edges)
+    members = history.closure_members(made, f, edges)
+    closed = history.closures(members, f)
+    assert rows(history.closure_sizes(sets)) == rows(closed)
+    assert rows(history.closure_counts(sets, numbered)) == rows(history.attribution(members))
+    assert rows(history.mean_closure_of_sets(sets, named, 9)) == rows(history.mean_closure(members, closed, f, 9))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 10, 11])
 def test_stats(spark, n):
     closed = spark.createDataFrame([(str(i), i, 2 * i) for i in range(1, n + 1)], "hash string, files long, lines long")
