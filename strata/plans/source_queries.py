@@ -22,12 +22,17 @@ def _t(c):
 
 
 def _written(spark, rows, label, name="value", by="session"):
-    """rows(session, value) as text files, a folder for each session."""
+    """rows(session, value) as text files, a folder for each session, written where the rows are."""
     path = folder(spark, label)
-    rows.select(by, F.col(name).alias("value")).repartition(by).write.partitionBy(by).text(path)
+    rows.select(by, F.col(name).alias("value")).write.partitionBy(by).text(path)
     return path
 
 
+def _by_session(rows):
+    """lines() with a session's folder as its file."""
+    return rows.withColumn("file", F.regexp_replace("file", r"/session=([^/]+)/[^/]+$", "/$1"))
+
+
 def _decisions(spark, d):
     """Events as journal lines of six sessions, some of them damaged."""
     e = R.table(spark, d, "events").select(F.col("event_id").alias("k"), "event_type")
@@ -40,7 +45,7 @@ def _decisions(spark, d):
 
 def journal_rows(spark, d):
     """How many lines of each choice a permissive reader keeps, and how many it can't read."""
-    rows = jsonl.lines(spark, _written(spark, _decisions(spark, d), "journal"))
+    rows = _by_session(jsonl.lines(spark, _written(spark, _decisions(spark, d), "journal")))
     good, bad = jsonl.permissive(rows, schemas.DECISIONS, "id", "chose", "at")
     return good.groupBy("chose").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files")).unionByName(bad.select(F.lit("unreadable").alias("chose"), F.col("unreadable").alias("n"), F.lit(None).cast("long").alias("files")))
 
@@ -68,9 +73,7 @@ def journal_trusted(spark, d):
     """All rows of a journal without damage, none of one with it, and its damage by code."""
     out = None
     for sound in (True, False):
-        rows = jsonl.lines(spark, _written(spark, _trusted(spark, d, sound), "trusted"))
-        # Sessions are folders here.
-        kept, damage = jsonl.strict_decisions(rows.withColumn("file", F.regexp_replace("file", r"/session=([^/]+)/[^/]+$", "/$1")))
+        kept, damage = jsonl.strict_decisions(_by_session(jsonl.lines(spark, _written(spark, _trusted(spark, d, sound), "trusted"))))
         part = kept.agg(F.count("*").alias("n")).select(F.lit(f"{'sound' if sound else 'damaged'}:rows").alias("what"), "n").unionByName(damage.groupBy(F.concat(F.lit("damage:"), F.col("code")).alias("what")).agg(F.count("*").alias("n")))
         out = part if out is None else out.unionByName(part)
     return out
@@ -95,9 +98,7 @@ def _links(spark, d, sound):
 def consequences_trusted(spark, d):
     out = None
     for sound in (True, False):
-        rows = jsonl.lines(spark, _written(spark, _links(spark, d, sound), "links"))
-        # Sessions are folders here.
-        rows = rows.withColumn("file", F.regexp_replace("file", r"/session=([^/]+)/[^/]+$", "/$1"))
+        rows = _by_session(jsonl.lines(spark, _written(spark, _links(spark, d, sound), "links")))
         kept, damage = strict.strict(rows, "consequence", F.col("session"))
         part = kept.groupBy(F.concat(F.lit(f"{'sound' if sound else 'damaged'}:"), F.col("from.kind")).alias("what")).agg(F.count("*").alias("n")).unionByName(damage.groupBy(F.concat(F.lit("damage:"), F.col("code")).alias("what")).agg(F.count("*").alias("n")))
         out = part if out is None else out.unionByName(part)

@@ -75,7 +75,7 @@ def canonical_time(at: Column) -> Column:
     return F.coalesce(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'") == at, F.lit(False))
 
 
-def decision_id(r: Column | None = None) -> Column:
+def decision_id(r: Column | None = None, digits: int = 8) -> Column:
     """The content id of a decision: NUL-joined fields, optional ones only if they are there."""
     from strata.functions.columns import content_id
 
@@ -83,7 +83,7 @@ def decision_id(r: Column | None = None) -> Column:
     listed = lambda n: F.array_join(F.coalesce(c(n), F.array().cast("array<string>")), "\x01")
     tail = [F.when(F.size(F.coalesce(c("could_be"), F.array().cast("array<string>"))) > 0, listed("could_be")), c("discriminated_by"), c("subject"), c("finding")]
     head = F.concat_ws("\0", *[F.coalesce(c(n), F.lit("")) for n in ("kind", "agent", "chose")], listed("over"), F.coalesce(c("because"), F.lit("")))
-    return content_id("d-", 8, F.concat_ws("\0", head, *tail))
+    return content_id("d-", digits, F.concat_ws("\0", head, *tail))
 
 
 def strict_decisions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +92,9 @@ def strict_decisions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Faults: corrupt, torn (no final line feed), missing fields, unknown kinds, times that aren't
     canonical, ids other than the content's, rows in another session's file, conflicting rows of
-    one id, references to no row, and kinds that must refer but don't.
+    one id, references to no row, and kinds that must refer but don't. An id is eight digits of a
+    digest, which among a million decisions some share by chance: rows of one id whose whole digests
+    differ, and that both are right about it, don't conflict, but a reference to such an id is ambiguous.
     """
     d = parsed(rows, schemas.DECISIONS)
     acting = F.col("kind").isin("retraction", "resolution", "dismissal")
@@ -104,10 +106,16 @@ def strict_decisions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     row_faults = d.select("file", "line", F.explode(own).alias("code"))
     body = F.sha2(F.to_json(F.struct(*[c for c in d.columns if c not in ("file", "line", "torn", "text", "_corrupt")])), 256)
-    same = d.where("id is not null").withColumn("_body", body).groupBy("id").agg(F.count_distinct("_body").alias("n"), F.min(F.struct("file", "line")).alias("at_")).where("n > 1")
-    conflicts = same.select("at_.file", "at_.line", F.lit("conflict").alias("code"))
-    lost = d.where("supersedes is not null").select("file", "line", F.col("supersedes").alias("id")).join(d.select("id").distinct(), "id", "left_anti").select("file", "line", F.lit("dangling").alias("code"))
-    damage = reduce(DataFrame.unionByName, (row_faults, conflicts, lost))
+    # The whole digest of what an id is right about; all that is wrong about an id counts as one content.
+    content = F.when(decision_id() == F.col("id"), decision_id(digits=64))
+    each = d.where("id is not null").withColumns({"_body": body, "_content": content}).groupBy("id", "_content").agg(F.count_distinct("_body").alias("n"), F.min(F.struct("file", "line")).alias("at_"))
+    same = each.groupBy("id").agg(F.max("n").alias("n"), F.count("*").alias("contents"), F.bool_or(F.col("_content").isNull()).alias("wrong"), F.min("at_").alias("at_")).where("contents > 1 or n > 1")
+    clash = F.expr("n > 1 or wrong")
+    conflicts = same.where(clash).select("at_.file", "at_.line", F.lit("conflict").alias("code"))
+    refers = d.where("supersedes is not null").select("file", "line", F.col("supersedes").alias("id"))
+    vague = refers.join(same.where(~clash).select("id"), "id", "left_semi").select("file", "line", F.lit("ambiguous").alias("code"))
+    lost = refers.join(d.select("id").distinct(), "id", "left_anti").select("file", "line", F.lit("dangling").alias("code"))
+    damage = reduce(DataFrame.unionByName, (row_faults, conflicts, lost, vague))
     return when_sound(d.drop("_corrupt", "text", "torn"), damage), damage
 
 

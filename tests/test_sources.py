@@ -51,6 +51,22 @@ def test_strict(spark, tmp_path):
     assert {r.code for r in read("torn")[1].collect()} == {"torn"}
 
 
+def test_ids_shared_by_chance(spark, tmp_path):
+    """Eight digits of the digests of these two are the same; what refers to them can't say which it means."""
+    a, b = decision(spark, chose="x21694"), decision(spark, chose="x94231")
+    assert a["id"] == b["id"]
+    write(f"{tmp_path}/two/s1.jsonl", a, b, a)
+    kept, damage = jsonl.strict_decisions(jsonl.lines(spark, f"{tmp_path}/two"))
+    assert damage.count() == 0 and kept.count() == 3
+    for code, more in {"ambiguous": decision(spark, kind="retraction", supersedes=a["id"]), "conflict": b | {"job": "k"}}.items():
+        write(f"{tmp_path}/{code}/s1.jsonl", a, b, more)
+        kept, damage = jsonl.strict_decisions(jsonl.lines(spark, f"{tmp_path}/{code}"))
+        assert [r.code for r in damage.collect()] == [code] and kept.count() == 0
+    forged = decision(spark, chose="other") | {"id": a["id"]}
+    write(f"{tmp_path}/forged/s1.jsonl", a, forged)
+    assert sorted(r.code for r in jsonl.strict_decisions(jsonl.lines(spark, f"{tmp_path}/forged"))[1].collect()) == ["conflict", "forged"]
+
+
 def test_append_once(spark, tmp_path):
     df = spark.createDataFrame([("a", "s", 1), ("b", "s", 2)], "id string, session string, n int")
     jsonl.append(df.limit(1), str(tmp_path))
