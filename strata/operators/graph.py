@@ -309,7 +309,7 @@ def root_of(nodes: DataFrame) -> DataFrame:
     return now.join(top.toDF("up"), "up", "left_semi").select("id", F.col("up").alias("root"), "hops")
 
 
-# Fixed value: the steps after which the search for the longest path ends.
+# Fixed value: the steps after which the search for the longest path ends where regions lead in circles.
 SPINE_STEPS = 40_000
 
 
@@ -318,45 +318,109 @@ def longest_spine(crossings: DataFrame, steps: int = SPINE_STEPS) -> DataFrame:
 
     It starts at regions that nothing leads to (all regions if every one is led to) and goes on
     only through regions that lead further. Of equally long ones the hottest wins, then the one
-    whose path is least by name. Longest paths are found by trying all, so the search ends after
-    `steps` steps: then complete is false and a longer path may exist. Regions and their links, summed
-    before, are walked in one task.
+    whose path is least by name. Where nothing leads in a circle the best path to each region follows
+    from the best ones to those before it, so one pass over the links finds it, of any length. Otherwise
+    longest paths are found by trying all, so the search ends after `steps` steps: then complete is false
+    and a longer path may exist. Regions and their links, summed before, are walked in one task.
     """
     linked = crossings.where("from <> to").groupBy("from", "to").agg(F.sum(F.coalesce("heat", F.lit(0.0))).alias("heat"))
     alone = crossings.where("from = to").select("from", "to", F.lit(0.0).alias("heat")).distinct()
 
     def search(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        heat = dict(zip(zip(table.column("from").to_pylist(), table.column("to").to_pylist(), strict=True), table.column("heat").to_pylist(), strict=True))
-        regions = sorted({r for pair in heat for r in pair})
-        onward = {r: sorted(t for f, t in heat if f == r and t != r) for r in regions}
-        led = {t for f, t in heat if f != t}
-        best, left = ((0, 0.0), []), steps
-        for start in [r for r in regions if r not in led] or regions:
-            if left <= 0:
-                break
-            left -= 1
-            path, warmth, todo = [start], [0.0], [iter(onward[start])]
-            best = max(best, ((1, 0.0), [start]), key=lambda b: b[0])
-            while path:
-                t = next(todo[-1], None)
-                if t is None:
-                    path.pop(), warmth.pop(), todo.pop()
-                elif t not in path and onward[t] and left > 0:
-                    left -= 1
-                    warmth.append(warmth[-1] + heat[path[-1], t])
-                    path.append(t)
-                    todo.append(iter(onward[t]))
-                    best = max(best, ((len(path), warmth[-1]), list(path)), key=lambda b: b[0])
-        return pa.table({"pos": pa.array(range(len(best[1])), pa.int32()), "region": pa.array(best[1], pa.string()), "complete": pa.array([left > 0] * len(best[1]), pa.bool_())})
+        links = sorted(zip(table.column("from").to_pylist(), table.column("to").to_pylist(), table.column("heat").to_pylist(), strict=True))
+        onward: dict[str, list[tuple[str, float]]] = {r: [] for pair in links for r in pair[:2]}
+        for f, t, h in links:
+            if f != t:
+                onward[f].append((t, h))
+        led = {t for ts in onward.values() for t, _ in ts}
+        starts = sorted(r for r in onward if r not in led) or sorted(onward)
+        path = _spine_of_acyclic(onward, starts)
+        left = 1
+        if path is None:
+            path, left = _spine_by_search(onward, starts, steps)
+        return pa.table({"pos": pa.array(range(len(path)), pa.int32()), "region": pa.array(path, pa.string()), "complete": pa.array([left > 0] * len(path), pa.bool_())})
 
     return linked.unionByName(alone).groupBy(F.lit(0).alias("all")).applyInArrow(search, "pos int, region string, complete boolean")
 
 
+def _spine_of_acyclic(onward: dict[str, list[tuple[str, float]]], starts: list[str]) -> list[str] | None:
+    """The best path of longest_spine(); None if regions lead in a circle."""
+    waits = dict.fromkeys(onward, 0)
+    for ts in onward.values():
+        for t, _ in ts:
+            waits[t] += 1
+    ready = [r for r, n in waits.items() if not n]
+    #: Of each region the length and heat of the best path to it, and the region before it there.
+    best: dict[str, tuple[int, float]] = {r: (1, 0.0) for r in starts}
+    before: dict[str, str | None] = dict.fromkeys(starts)
+
+    def lower(a: str | None, b: str | None) -> bool:
+        """Whether the path to a is less by name than the one of the same length to b: what differs first decides."""
+        less = False
+        while a != b:
+            less, a, b = a < b, before[a], before[b]
+        return less
+
+    done = 0
+    while ready:
+        r = ready.pop()
+        done += 1
+        for t, h in onward[r]:
+            waits[t] -= 1
+            if not waits[t]:
+                ready.append(t)
+            if r in best and onward[t]:
+                new = (best[r][0] + 1, best[r][1] + h)
+                if t not in best or new > best[t] or (new == best[t] and lower(r, before[t])):
+                    best[t], before[t] = new, r
+    if done < len(onward):
+        return None
+    top: str | None = None
+    for r, at in best.items():
+        if top is None or at > best[top] or (at == best[top] and lower(r, top)):
+            top = r
+    path: list[str] = []
+    while top is not None:
+        path.append(top)
+        top = before[top]
+    return path[::-1]
+
+
+def _spine_by_search(onward: dict[str, list[tuple[str, float]]], starts: list[str], left: int) -> tuple[list[str], int]:
+    """The best path of longest_spine() among those that `left` steps try, and the steps that are left."""
+    top: tuple[int, float] = (0, 0.0)
+    found: list[str] = []
+    for start in starts:
+        if left <= 0:
+            break
+        left -= 1
+        path, inside, warmth, todo = [start], {start}, [0.0], [iter(onward[start])]
+        # A path is kept when it is about to be left, so that a long one isn't copied at each step.
+        better = (1, 0.0) > top
+        while path:
+            t, h = next(todo[-1], (None, 0.0))
+            if t is None:
+                if better:
+                    top, found, better = (len(path), warmth[-1]), list(path), False
+                inside.discard(path.pop())
+                warmth.pop(), todo.pop()
+            elif t not in inside and onward[t] and left > 0:
+                left -= 1
+                now = (len(path) + 1, warmth[-1] + h)
+                warmth.append(now[1])
+                path.append(t)
+                inside.add(t)
+                todo.append(iter(onward[t]))
+                better = now > top
+    return found, left
+
+
 def classify_crossings(crossings: DataFrame, spine: DataFrame) -> DataFrame:
     """crossings plus class: supply (from a source that isn't the spine's), promotion (forward on the
     spine), reach (off the spine) or aside."""
     led = crossings.where("from <> to").select(F.col("to").alias("from")).distinct().withColumn("led", F.lit(True))
-    at = lambda c, n: F.broadcast(spine.select(F.col("region").alias(c), F.col("pos").alias(n)))
+    spine = materialize(spine, "spine")
+    at = lambda c, n: spine.select(F.col("region").alias(c), F.col("pos").alias(n))
     rows = crossings.join(at("from", "i"), "from", "left").join(at("to", "j"), "to", "left").join(led, "from", "left")
     ambient = F.col("led").isNull() & ~F.coalesce(F.col("i") == 0, F.lit(False))
     said = F.when(ambient, "supply").when(F.coalesce(F.col("j") > F.col("i"), F.lit(False)), "promotion").when(F.col("i").isNotNull() & F.col("j").isNull(), "reach").otherwise("aside")
