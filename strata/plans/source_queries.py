@@ -158,7 +158,7 @@ def exported_log(spark, d):
     li = R.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_set(F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("app/p"), _t(F.col("l_partkey")))).otherwise(F.concat(F.lit("lib/p"), _t(F.col("l_partkey")))))).alias("files"))
     said = F.concat(F.lit("h"), _t(F.col("k")), F.lit("\x1fchange "), _t(F.col("k")), F.lit("\n"), F.array_join("files", "\n"))
     path = folder(spark, "log")
-    o.join(li, "k").orderBy(F.desc("k")).select(said.alias("value")).coalesce(1).write.option("lineSep", "\x1e").text(path)
+    o.join(li, "k").orderBy(F.desc("k")).select(said.alias("value")).write.option("lineSep", "\x1e").text(path)
     _, touched = project.commit_log(spark, path, 1000)
     return project.rebase(touched, "app/").groupBy("hash").agg(F.count("*").alias("n"), F.min("path").alias("first"))
 

@@ -67,6 +67,13 @@ def test_ids_shared_by_chance(spark, tmp_path):
     assert sorted(r.code for r in jsonl.strict_decisions(jsonl.lines(spark, f"{tmp_path}/forged"))[1].collect()) == ["conflict", "forged"]
 
 
+def test_a_log_in_several_files(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"part-{i}").write_bytes("".join(f"h{i}{k}\x1fsaid\nf{k}\n\x1e" for k in range(3)).encode())
+    commits, touched = project.commit_log(spark, str(tmp_path), 7)
+    assert [r["hash"] for r in commits.orderBy("ord").collect()] == ["h00", "h01", "h02", "h10", "h11", "h12", "h20"] and touched.count() == 7
+
+
 def test_append_once(spark, tmp_path):
     df = spark.createDataFrame([("a", "s", 1), ("b", "s", 2)], "id string, session string, n int")
     jsonl.append(df.limit(1), str(tmp_path))
