@@ -21,6 +21,7 @@ from strata.operators.activity import event_identity
 from strata.operators.assembly import KINDS, RELATIONS
 from strata.sources.jsonl import canonical_time, parsed, when_sound
 from strata.sources.project import python_column
+from strata.sources.shared import materialize
 
 # The fields of each event of each ledger, beside those that all its events have.
 WORK_FIELDS = ("version", "event", "id", "at", "session", "agent", "job", "work")
@@ -153,18 +154,19 @@ def strict(rows: DataFrame, ledger: str, file_of: Column | None = None) -> tuple
     records only if there is no damage.
     """
     own = python_column(lambda t: faults(ledger, t), "array<string>", F.col("text"))
-    judged = parsed(rows, _SCHEMAS[ledger], camel=True).withColumn("_faults", own).drop("_corrupt")
+    body = F.sha2(python_column(lambda t: stable(json.loads(t)), "string", F.when(F.size("_faults") == 0, F.col("text")).otherwise("null")), 256)
+    # Read six times below, so every line is judged and written once.
+    judged = materialize(parsed(rows, _SCHEMAS[ledger], camel=True).withColumn("_faults", own).withColumn("_body", body).drop("_corrupt", "text"), "judged")
     name = F.substring_index("file", "/", -1)
     displaced = (name != file_of) if file_of is not None else ~F.contains(name, slug(F.col("session")))
     at = lambda df, code: df.select("file", "line", F.lit(code).alias("code"))
-    body = F.sha2(python_column(lambda t: stable(json.loads(t)), "string", F.when(F.size("_faults") == 0, F.col("text")).otherwise("null")), 256)
     sound = judged.where(F.size("_faults") == 0)
-    differ = sound.withColumn("_body", body).groupBy("id").agg(F.count_distinct("_body").alias("n"), F.min(F.struct("file", "line")).alias("first")).where("n > 1").select("first.*")
+    differ = sound.groupBy("id").agg(F.count_distinct("_body").alias("n"), F.min(F.struct("file", "line")).alias("first")).where("n > 1").select("first.*")
     damage = reduce(
         DataFrame.unionByName,
-        (judged.select("file", "line", F.explode("_faults").alias("code")), at(rows.where("torn"), "torn"), at(sound.where(displaced), "displaced"), at(differ, "conflict")),
+        (judged.select("file", "line", F.explode("_faults").alias("code")), at(judged.where("torn"), "torn"), at(sound.where(displaced), "displaced"), at(differ, "conflict")),
     )
-    records = judged.dropDuplicates(["id"]).drop("_faults", "text", "torn", "file", "line")
+    records = judged.dropDuplicates(["id"]).drop("_faults", "_body", "torn", "file", "line")
     return when_sound(records, damage), damage
 
 
