@@ -40,7 +40,8 @@ def unique_suffix(tokens: DataFrame, paths: DataFrame) -> DataFrame:
 
 def first_candidate(imports: DataFrame, paths: DataFrame) -> DataFrame:
     """(source, spec, target): the first of imports(source, spec, candidates) that is one of paths(path)."""
-    rows = imports.select("source", "spec", F.posexplode("candidates").alias("ord", "path")).join(paths.select("path"), "path")
+    # Paths are as many as files and their size is guessed from what they are made of, so they are never broadcast.
+    rows = imports.select("source", "spec", F.posexplode("candidates").alias("ord", "path")).join(paths.select("path").hint("merge"), "path")
     return rows.groupBy("source", "spec").agg(F.min_by("path", "ord").alias("target")).where("source <> target")
 
 

@@ -97,3 +97,12 @@ def test_paths(spark):
     assert rows(R.with_untracked(delta, spark.createDataFrame([("x", 5)], "path string, lines long"))) == [(6, 2)]
     commits = spark.createDataFrame([("h0", 0), ("h1", 1)], "hash string, ord int")
     assert rows(R.commits_since(commits, spark.createDataFrame([("h1",), ("zz",)], "hash string"))) == [("h1", 1), ("zz", None)]
+
+
+def test_paths_are_not_broadcast(spark):
+    from strata.operators import graph
+
+    imports = spark.createDataFrame([("a/x.ts", "./y", ["a/y", "a/y.ts"]), ("a/x.ts", "./x", ["a/x.ts"])], "source string, spec string, candidates array<string>")
+    made = graph.first_candidate(imports, spark.createDataFrame([("a/x.ts",), ("a/y.ts",)], "path string"))
+    assert [tuple(r) for r in made.collect()] == [("a/x.ts", "./y", "a/y.ts")]
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
