@@ -125,6 +125,25 @@ def test_prose(spark):
     assert not rows(similarity.prose_pairs(units(spark, *[" ".join(SAID.split()[:11])] * 2)))
 
 
+def test_prose_moves_words_of_pairs_alone(spark):
+    plan = similarity.prose_pairs(units(spark, SAID, SAID))._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "Generate explode" in line and "token" in line.split("[")[-1]]
+    assert len(made) == 2 and all("_words" in line for line in made)
+
+
+def test_prose_across_batches(spark):
+    """A shingle's units are counted over batches of any size, and of frequent ones no more than needed."""
+    said = [SAID] * 6 + [SAID.replace("one", "uno")] * 2 + ["a b c d e f g h i j k l"] * 40
+    given, at = units(spark, *said), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    want, before = {(str(i), str(j)) for i in range(6) for j in range(i + 1, 6)} | {("6", "7")}, spark.conf.get(at)
+    assert {r[:2] for r in rows(similarity.prose_pairs(given))} == want
+    try:
+        spark.conf.set(at, "2")
+        assert {r[:2] for r in rows(similarity.prose_pairs(given))} == want
+    finally:
+        spark.conf.set(at, before)
+
+
 def sites(spark, *given):
     return spark.createDataFrame([(i, n, k, f, sorted(keys), t) for i, (n, k, f, keys, t) in enumerate(given)], "id int, name string, kind string, file string, keys array<string>, type_link string")
 
