@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators.graph import root_of
-from strata.sources.shared import materialize
+from strata.sources.shared import large, materialize
 
 
 def chains(commits: DataFrame) -> DataFrame:
     """(hash, chain, pos) of commits(hash, parents): chain is the hash of its first commit, pos counts from 0.
     Parents that aren't commits of the table count as none; of children with one first parent the least hash goes on."""
-    known = commits.select(F.col("hash").alias("first"))
+    known = large(commits.select(F.col("hash").alias("first")))
     first = commits.select("hash", F.get("parents", F.lit(0)).alias("first")).join(known, "first", "left_semi")
     onward = first.groupBy("first").agg(F.min("hash").alias("id"))
-    links = commits.select(F.col("hash").alias("id")).join(onward.select("id", F.col("first").alias("parent")), "id", "left").select("id", "parent")
+    links = commits.select(F.col("hash").alias("id")).join(large(onward.select("id", F.col("first").alias("parent"))), "id", "left").select("id", "parent")
     return root_of(links).select(F.col("id").alias("hash"), F.col("root").alias("chain"), F.col("hops").alias("pos"))
 
 
@@ -29,7 +29,7 @@ def crossings(commits: DataFrame, places: DataFrame) -> DataFrame:
     """(chain, pos, other, upto): edges from a commit to a parent in another chain."""
     edges = commits.select("hash", F.explode("parents").alias("parent"))
     child, parent = places.toDF("hash", "chain", "pos"), places.toDF("parent", "other", "upto")
-    return edges.join(child, "hash").join(parent, "parent").where("chain <> other").groupBy("chain", "pos", "other").agg(F.max("upto").alias("upto"))
+    return edges.join(large(child), "hash").join(large(parent), "parent").where("chain <> other").groupBy("chain", "pos", "other").agg(F.max("upto").alias("upto"))
 
 
 def reached(commits: DataFrame, refs: DataFrame, places: DataFrame) -> DataFrame:
@@ -39,10 +39,10 @@ def reached(commits: DataFrame, refs: DataFrame, places: DataFrame) -> DataFrame
     over the edges that leave there, until nothing goes further. Unknown refs have no rows.
     """
     cross = materialize(crossings(commits, places), "crossings")
-    found = frontier = materialize(refs.select("hash").distinct().join(places, "hash").select("hash", "chain", F.col("pos").alias("upto"), F.lit(-1).cast("long").alias("since")), "reached")
+    found = frontier = materialize(refs.select("hash").distinct().join(large(places), "hash").select("hash", "chain", F.col("pos").alias("upto"), F.lit(-1).cast("long").alias("since")), "reached")
     while True:
-        step = frontier.join(cross.toDF("chain", "pos", "other", "to"), "chain").where("since < pos and pos <= upto").groupBy("hash", F.col("other").alias("chain")).agg(F.max("to").alias("upto"))
-        new = step.join(found.select("hash", "chain", F.col("upto").alias("had")), ["hash", "chain"], "left").where("had is null or upto > had")
+        step = frontier.join(large(cross.toDF("chain", "pos", "other", "to")), "chain").where("since < pos and pos <= upto").groupBy("hash", F.col("other").alias("chain")).agg(F.max("to").alias("upto"))
+        new = step.join(large(found.select("hash", "chain", F.col("upto").alias("had"))), ["hash", "chain"], "left").where("had is null or upto > had")
         frontier = materialize(new.select("hash", "chain", "upto", F.coalesce("had", F.lit(-1)).cast("long").alias("since")), "reached")
         if frontier.isEmpty():
             return found.select("hash", "chain", "upto")
@@ -52,9 +52,9 @@ def reached(commits: DataFrame, refs: DataFrame, places: DataFrame) -> DataFrame
 def ancestors_of(pairs: DataFrame, labels: DataFrame, places: DataFrame) -> DataFrame:
     """pairs(hash, other) plus is: whether other is hash or an ancestor of it, by the labels that reached() gives for the
     hashes; null if either is unknown."""
-    at = pairs.join(places.toDF("other", "chain", "pos"), "other", "left").join(labels, ["hash", "chain"], "left")
+    at = pairs.join(large(places.toDF("other", "chain", "pos")), "other", "left").join(large(labels), ["hash", "chain"], "left")
     known = labels.select("hash").distinct().withColumn("_known", F.lit(True))
-    rows = at.join(known, "hash", "left")
+    rows = at.join(large(known), "hash", "left")
     there = F.coalesce(F.col("upto") >= F.col("pos"), F.lit(False))
     return rows.select("hash", "other", F.when(F.col("_known") & F.col("pos").isNotNull(), there).alias("is"))
 
@@ -66,8 +66,8 @@ def commits_since(commits: DataFrame, refs: DataFrame, head: DataFrame) -> DataF
     wanted = refs.select("hash").distinct()
     labels = materialize(reached(commits, wanted.unionByName(head.select("hash")), places), "labels")
     size = labels.groupBy("hash").agg(F.sum(F.col("upto") + 1).alias("size"))
-    top = head.select("hash").join(labels, "hash").select("chain", F.col("upto").alias("top"))
-    on = wanted.join(places, "hash").join(top, "chain").where("pos <= top").select("hash").join(size, "hash")
-    total = head.select("hash").join(size, "hash").agg(F.max("size").alias("total"))
+    top = head.select("hash").join(large(labels), "hash").select("chain", F.col("upto").alias("top"))
+    on = wanted.join(large(places), "hash").join(large(top), "chain").where("pos <= top").select("hash").join(large(size), "hash")
+    total = head.select("hash").join(large(size), "hash").agg(F.max("size").alias("total"))
     counted = on.crossJoin(F.broadcast(total)).select("hash", (F.col("total") - F.col("size")).alias("n"))
-    return refs.select("hash").join(counted, "hash", "left")
+    return refs.select("hash").join(large(counted), "hash", "left")
