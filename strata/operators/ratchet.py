@@ -55,11 +55,10 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]
 def surface_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row from surface(kind, name, member): new_exports, removed_exports, new_variants. An export
     has kind 'export'; a variant is a member of a domain that the domain did not have."""
-    a, b = after.distinct(), before.distinct()
-    new = a.join(b, ["kind", "name", "member"], "left_anti").select("kind", F.lit("new").alias("way"))
-    old = b.join(a, ["kind", "name", "member"], "left_anti").select("kind", F.lit("old").alias("way"))
-    is_ = lambda k, w: F.count_if((F.col("kind") == k) & (F.col("way") == w))
-    return new.unionByName(old).agg(is_("export", "new").alias("new_exports"), is_("export", "old").alias("removed_exports"), is_("domain", "new").alias("new_variants"))
+    both = before.withColumn("old", F.lit(True)).unionByName(after.withColumn("old", F.lit(False)))
+    ways = both.groupBy("kind", "name", "member").agg(F.bool_or("old").alias("before"), F.bool_or(~F.col("old")).alias("after"))
+    is_ = lambda k, w: F.count_if((F.col("kind") == k) & ~F.col(w))
+    return ways.agg(is_("export", "before").alias("new_exports"), is_("export", "after").alias("removed_exports"), is_("domain", "before").alias("new_variants"))
 
 
 def novelty(signals: DataFrame, *, min_surface: int = 8, min_loc: int = 400, ratio: int = 12) -> DataFrame:

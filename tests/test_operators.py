@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strata.functions import columns as C
 from strata.functions import markdown as M
-from strata.operators import claims, graph, history, ledger, quantiles, ratchet, similarity
+from strata.operators import ancestry, claims, graph, history, ledger, quantiles, ratchet, similarity
+from strata.sources.shared import dealt
 
 
 def rows(df):
@@ -161,6 +162,37 @@ def test_domains(spark):
     assert rows(similarity.domain_pairs(sites(spark, a, part))) == [(0, 1, 3, 3, 1, 0, 3.0)]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dealt_by_rows(spark):
+    """What is counted for each pair, or path, is dealt first, to more tasks for more rows."""
+    assert dealt(spark.range(9), 9_000_001, "id").rdd.getNumPartitions() == 10
+    a, b = ("A", "union", "f", ["p", "q", "r", "s"], None), ("B", "list", "g", ["p", "q", "r", "t"], None)
+    assert "REPARTITION_BY_NUM" in plan_of(similarity.domain_pairs(sites(spark, a, b)))
+    cf = commit(spark, ("0", "abc"), ("1", "abcd"))
+    assert "REPARTITION_BY_NUM" in plan_of(history.spanning_files(cf, files(spark, a="A", b="B", c="C", d="D")))
+
+
+def test_ancestry_sends_no_table_through_the_driver(spark):
+    c = spark.createDataFrame([(1, []), (2, [1]), (3, [2, 1])], "hash long, parents array<long>")
+    refs = c.select("hash")
+    assert "BroadcastExchange" not in plan_of(ancestry.chains(c))
+    places = ancestry.chains(c)
+    labels = ancestry.reached(c, refs, places)
+    assert "BroadcastExchange" not in plan_of(ancestry.ancestors_of(refs.withColumn("other", F.col("hash") - 1), labels, places))
+    assert "BroadcastHashJoin" not in plan_of(ancestry.commits_since(c, refs, c.where("hash = 3").select("hash")))
+
+
+def test_surface_delta_takes_nulls_for_equal(spark):
+    said = lambda *rows: spark.createDataFrame(rows, "kind string, name string, member string")
+    before, after = said(("export", "f", None), ("domain", "d", "x")), said(("export", "f", None), ("domain", "d", "x"), ("domain", "d", "y"), ("domain", "d", "y"))
+    assert rows(ratchet.surface_delta(before, after)) == [(0, 0, 1)]
+    assert rows(ratchet.surface_delta(after, before)) == [(0, 0, 0)]
+    assert "Join" not in plan_of(ratchet.surface_delta(before, after))
+
+
 def test_round_half_up_on_doubles(spark):
     assert spark.createDataFrame([(1.005,), (2.675,), (0.125,)], "x double").select(C.round2(F.col("x"))).collect() == [(1.0,), (2.68,), (0.13,)]
     assert spark.sql("select 1.005D as x").select(C.round2(F.col("x")).alias("r")).first().r == 1.0
