@@ -11,7 +11,7 @@ from strata.operators import graph as G
 from strata.operators.history import places
 from strata.sources import extractors as E
 from strata.sources import jsonl, project, records, strict
-from strata.sources.shared import folder, shared_folder
+from strata.sources.shared import dealt, folder, shared_folder
 from strata.plans import roles as R
 
 _AT = "2024-01-02T03:04:05.678Z"
@@ -213,7 +213,7 @@ def _files(spark, d):
 _SCANNED: dict = {}
 
 
-def _scanned(spark, d):
+def _scanned(spark, d, extensions=()):
     """The files above on disk, scanned. Tasks write them under names of their own first, so one can run again."""
     import os
     import uuid
@@ -232,9 +232,10 @@ def _scanned(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _SCANNED:
         root = folder(spark, "tree").replace("file:", "")
-        _files(spark, d).select("path", "text").mapInArrow(write, "path string, text string").count()
+        given = _files(spark, d).select("path", "text")
+        dealt(given, 4 * given.count(), "path").mapInArrow(write, "path string, text string").count()
         _SCANNED[key] = root
-    return project.scan(spark, _SCANNED[key], ignore=("node_modules",))
+    return project.scan(spark, _SCANNED[key], extensions=extensions, ignore=("node_modules",))
 
 
 def scanned_files(spark, d):
@@ -242,7 +243,7 @@ def scanned_files(spark, d):
 
 
 def spec_folders(spark, d):
-    return project.spec_dirs(_scanned(spark, d))
+    return project.spec_dirs(_scanned(spark, d, (".spec.md",)))
 
 
 def test_files(spark, d):

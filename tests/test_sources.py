@@ -102,6 +102,17 @@ def test_files(spark, tmp_path):
     assert rows(project.sources(project.scan(spark, str(tmp_path), extensions=(".py",), ignore=("node_modules",))).select("path", "test")) == [("src/a.py", False), ("tests/test_a.py", True)]
 
 
+def test_scan_reads_small_files_in_few_tasks(spark, tmp_path):
+    for i in range(400):
+        at = tmp_path / f"d{i % 3}" / "e" / f"f{i}.py"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_bytes(b"%d" % i)
+    (tmp_path / "d0" / "empty.py").touch()
+    found = project.scan(spark, f"file://{tmp_path}")
+    assert {(r.path, bytes(r.content)) for r in found.collect()} == {(f"d{i % 3}/e/f{i}.py", b"%d" % i) for i in range(400)}
+    assert found.rdd.getNumPartitions() == 4
+
+
 def test_log(spark, tmp_path):
     (tmp_path / "log").write_text("\x1eh2\x1fsecond\napp/a\napp/b\n\x1eh1\x1ffirst\nother\n")
     commits, touched = project.commit_log(spark, str(tmp_path / "log"))
