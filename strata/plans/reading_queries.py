@@ -52,7 +52,7 @@ def work_events(spark, d):
 
 
 def work_items(spark, d):
-    return A.work_history(work_events(spark, d))[0]
+    return A.work_items(work_events(spark, d))
 
 
 def work_problems(spark, d):
