@@ -56,7 +56,7 @@ def work_items(spark, d):
 
 
 def work_problems(spark, d):
-    return A.work_history(work_events(spark, d))[1]
+    return A.work_problems(work_events(spark, d))
 
 
 def work_ledger(spark, d):
