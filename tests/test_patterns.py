@@ -22,6 +22,26 @@ def test_containing(spark):
     assert P.containing(df([], "name"), df(texts, "text")).count() == 0 and P.containing(df(names, "name"), df([], "text")).count() == 0
 
 
+def test_many_names_join_pieces(spark):
+    """Many names of few lengths meet pieces of texts, not automata, with the same result."""
+    from unittest import mock
+
+    rng = random.Random(28)
+    some = lambda n: "".join(rng.choice("ab\U0001f600é") for _ in range(n))
+    texts = [None, "", "a", "aaaaaaa", *(some(rng.randrange(60)) for _ in range(80)), some(3000)]
+    names = [None, "", *(some(rng.randrange(1, 7)) for _ in range(400)), "nowhere"]
+    want = {(n, t) for n in names if n for t in texts if t and n in t}
+    df = lambda rows, c: spark.createDataFrame([(r,) for r in [*rows, *rows]], f"{c} string")
+    with mock.patch.object(P, "_find", side_effect=AssertionError("automata")), mock.patch.object(P, "_by_pieces", wraps=P._by_pieces) as pieces:
+        rows = P.containing(df(names, "name"), df(texts, "text"), automaton=20).collect()
+    assert pieces.call_count == 1 and len(rows) == len(want) and {(r.name, r.text) for r in rows} == want
+
+
+def test_loads_lose_no_text():
+    texts = [b"x" * n for n in (0, P.LOAD - 1, 1, 1, 2 * P.LOAD, 0, 5)]
+    assert [i for start, upto in P._loads(texts) for i in range(start, upto)] == list(range(len(texts))) and list(P._loads([])) == [(0, 0)]
+
+
 def test_globs(spark):
     rng = random.Random(4)
     parts = ["a", "b", "ab", "a.ts", "b.ts", "", "*", "**", "*.ts", "a*", "?", "?b", "a?", "a**b", "**.ts", "a**", "*a*b*", "***", "?*"]
