@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.sources.shared import large, materialize
+from strata.sources.shared import large, materialize, partitions
 
 
 def ancestors(path: Column, itself: bool = True) -> Column:
@@ -64,16 +64,28 @@ def overlaps(scopes: DataFrame) -> DataFrame:
 
 def meetings(scopes: DataFrame, *carried: str) -> DataFrame:
     """(left, right): structs of work, base, tree and what is carried, of each two scopes(work, base, tree, …) of
-    different works that meet as in overlaps(), the lesser work first. Two meet either at one base or by a tree
-    above the other's base, so each pair is made once, where it is joined, and isn't shuffled again."""
-    rows = scopes.select("base", F.struct("work", "base", "tree", *carried).alias("s"), (F.col("tree") | (F.col("base") == "")).alias("over"))
-    side = lambda df, name, at: df.select(F.col("s").alias(name), at.alias("at"))
-    same = side(rows, "x", F.col("base")).join(side(rows, "y", F.col("base")), "at").where("x.work < y.work")
-    above = rows.where("base <> ''").select("s", F.explode(ancestors(F.col("base"), itself=False)).alias("at"))
-    under = side(rows.where("over"), "x", F.col("base")).join(side(above, "y", F.col("at")), "at").where("x.work <> y.work")
-    met = same.unionByName(under)
-    first = F.col("x.work") < F.col("y.work")
-    return met.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("left"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("right"))
+    different works that meet as in overlaps(), the lesser work first. See meetings_flat()."""
+    columns = ("work", "base", "tree", *carried)
+    return meetings_flat(scopes, *columns[1:]).select(*[F.struct(*[F.col(f"{side}_{c}").alias(c) for c in columns]).alias(side) for side in ("left", "right")])
+
+
+def meetings_flat(scopes: DataFrame, *carried: str) -> DataFrame:
+    """(left_work, …, right_work, …): the pairs of meetings() with what is carried as columns. Two scopes meet either at
+    one base or by a tree above the other's base, so each pair is made once, where it is joined, and isn't shuffled again.
+
+    Scopes are dealt by folders to as many tasks as there are partitions and merged there: there are many more pairs than
+    scopes, so neither the few bytes of these nor the files that they are read from tell how many tasks pairs need."""
+    columns, n = ("work", *carried), partitions(scopes)
+    rows = scopes.select("base", (F.col("tree") | (F.col("base") == "")).alias("over"), *[F.col(c).alias(f"_{c}") for c in columns])
+    side = lambda df, name: df.select("at", *[F.col(f"_{c}").alias(f"{name}_{c}") for c in columns])
+    joined = lambda x, y: side(x, "x").join(large(side(y, "y")), "at")
+    pairs = lambda both, a, b: both.where(F.col(f"{a}_work") < F.col(f"{b}_work")).select(*[F.col(f"{x}_{c}").alias(f"{name}_{c}") for x, name in ((a, "left"), (b, "right")) for c in columns])
+    here, below = rows.withColumn("at", F.col("base")).repartition(n, "at"), rows.where("base <> ''")
+    tree = joined(here.where("over and at <> ''"), below.withColumn("at", F.explode(F.slice(ancestors(F.col("base"), itself=False), 2, 1 << 20))).repartition(n, "at"))
+    # The root is above all, so what is at it meets the others in n tasks.
+    root = joined(rows.where("base = ''").withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), below.withColumn("at", F.pmod(F.xxhash64("_work"), F.lit(n)).cast("int")))
+    # Which of the two is less is a condition of two joins: to choose each column of each pair by it takes longer than to test pairs twice.
+    return reduce(DataFrame.unionByName, [pairs(joined(here, here), "x", "y"), pairs(tree, "x", "y"), pairs(tree, "y", "x"), pairs(root, "x", "y"), pairs(root, "y", "x")])
 
 
 def count_meetings(scopes: DataFrame) -> DataFrame:
